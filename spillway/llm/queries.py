@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import language_id, media, packing, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -21,8 +21,18 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(token_store.read_token_shards(manifest))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.feature_columns(media.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op1_language_id": op1_language_id,
+    "op8_media_columns": op8_media_columns,
     "op6_token_output": op6_token_output,
 }
 
