@@ -58,7 +58,7 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """Score vectors of known words and n-grams, by language in name order."""
+    """Log frequencies of known words (order 0) and n-grams, a row each, a column for each language in name order."""
 
     def __init__(self, counts: list[tuple[str, int, str, int]]):
         """counts: (language, order, gram, count), order 0 for whole words."""
@@ -68,19 +68,35 @@ class LanguageModel:
         for lang, order, gram, n in counts:
             row = tables[order].setdefault(gram, np.zeros(len(place)))
             row[place[lang]] += n
-        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        logs, first = [np.zeros((0, len(place)))], 0
         for order, rows in tables.items():
             m = np.array(list(rows.values()))
-            logs = np.log(m + 0.5) - np.log(m.sum(axis=0) + 0.5 * len(m))
-            self.tables[order] = {gram: k for k, gram in enumerate(rows)}, logs.astype(np.float32)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        for n in range(LONGEST + 1):  # the word itself, then its n-grams, the longest first
-            at, logs = self.tables.get((LONGEST + 1 - n) % (LONGEST + 1), ({}, None))
-            grams = _grams(word, LONGEST + 1 - n) if n else [word]
-            if found := [at[g] for g in grams if g in at]:
-                return logs[found].mean(axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+            logs.append(np.log(m + 0.5) - np.log(m.sum(axis=0) + 0.5 * len(m)))
+            self.at[order] = {gram: first + k for k, gram in enumerate(rows)}
+            first += len(m)
+        self.logs = np.concatenate(logs).astype(np.float32)
+
+    def rows_of(self, word: str) -> list[int]:
+        """The rows whose mean scores a word: its own, else those of its longest known n-grams."""
+        known = self.at[0].get(word)
+        if known is not None:
+            return [known]
+        marked = f"^{word}$"
+        for n in range(LONGEST, 0, -1):
+            at = self.at[n]
+            if found := [at[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in at]:
+                return found
+        return []
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        rows = [self.rows_of(w) for w in words]
+        sizes = np.array([len(r) for r in rows])
+        out = np.zeros((len(words), self.logs.shape[1]), dtype=np.float32)
+        if sizes.any():
+            first = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
+            out[sizes > 0] = np.add.reduceat(self.logs[[k for r in rows for k in r]], first) / sizes[sizes > 0, None]
+        return out
 
 
 class Scorer:
@@ -91,27 +107,26 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.languages)), dtype=np.float32)
 
-    def _add(self, words: set[str]) -> None:
+    def add(self, words: set[str]) -> None:
         new = words - self.at.keys()
         if len(self.at) + len(new) > self.limit:
             self.at.clear()
             new = words
-        need = len(self.at) + len(new)
+        first, need = len(self.at), len(self.at) + len(new)
         if need > len(self.scores):
             grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]), dtype=np.float32)
-            grown[: len(self.scores)] = self.scores
+            grown[:first] = self.scores[:first]
             self.scores = grown
-        for w in new:
-            k = len(self.at)
-            self.scores[k] = self.model.word_scores(w)
-            self.at[w] = k
+        ordered = list(new)
+        self.scores[first:need] = self.model.scores(ordered) if ordered else 0
+        self.at.update(zip(ordered, range(first, need), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
             return UNDETERMINED, 0.0
         total, n = np.zeros(len(self.model.languages)), 0
         for words in _words(text):
-            self._add(set(words))
+            self.add(set(words))
             at = self.at
             total += self.scores[[at[w] for w in words]].sum(axis=0, dtype=np.float64)
             n += len(words)
