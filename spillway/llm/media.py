@@ -162,6 +162,12 @@ def _read_objects(batches, schema, fields):
         source.close()
 
 
+def _by_shard(rows: DataFrame) -> DataFrame:
+    """As many partitions as shards: rows are tiny beside the objects they make a task read, so sizes must not merge them."""
+    n = rows.select("shard").distinct().count()
+    return rows.repartition(max(1, n), "shard").sortWithinPartitions("shard", "offset")
+
+
 def header_columns(rows: DataFrame) -> DataFrame:
     """width, height and bits of each row's object, from ranged reads of the header alone."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32())])
@@ -170,7 +176,7 @@ def header_columns(rows: DataFrame) -> DataFrame:
         head = image_header(source.read_at(HEADER_BYTES, row["offset"]))
         return lambda r: (r["digest"], *head)
 
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "offset")
+    ordered = _by_shard(rows)
     return ordered.mapInArrow(lambda b: _read_objects(b, schema, fields), "doc_id long, digest string, width long, height long, bits int")
 
 
@@ -190,5 +196,5 @@ def feature_columns(rows: DataFrame) -> DataFrame:
         own = (len(payload), digest, zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload), width, height)
         return lambda r: (r["n_bytes"], *own)
 
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "offset")
+    ordered = _by_shard(rows)
     return ordered.mapInArrow(lambda b: _read_objects(b, schema, fields), names)

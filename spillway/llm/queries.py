@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, packing, token_store
+from . import language_id, media, packing, quality_rules, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -29,10 +29,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.feature_columns(media.store(table(spark, sf_dir, "documents")))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
     "op8_media_columns": op8_media_columns,
+    "op7_quality_rules": op7_quality_rules,
     "op6_token_output": op6_token_output,
 }
 

@@ -251,7 +251,9 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return shards.select("part", "path", "start").repartition("part").mapInArrow(read, schema)
+    # As many partitions as shards: a row is tiny beside the file it makes a task read, so sizes must not merge them.
+    n = max(1, manifest.count())
+    return shards.select("part", "path", "start").repartition(n, "part").mapInArrow(read, schema)
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
