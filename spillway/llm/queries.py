@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, packing, quality_rules, token_store
+from . import language_id, media, mixing, packing, quality_rules, token_counts, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -33,12 +33,84 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
     "op8_media_columns": op8_media_columns,
     "op7_quality_rules": op7_quality_rules,
+    "op5_mixing": op5_mixing,
+    "op10_token_counts": op10_token_counts,
     "op6_token_output": op6_token_output,
 }
 
 ORACLE: dict[str, str] = {}
+
+_WORDS = r"len(regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+'))"
+
+ORACLE["op10_token_counts"] = f"""
+WITH live AS (
+  SELECT d.source, d.lang,
+         {_WORDS.format("array_to_string(list_distinct(string_split(d.text, chr(10))), chr(10))")} AS words,
+         coalesce(strlen(d.text), 0) AS bytes
+  FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)
+), counted AS (
+  SELECT source, lang, 'words-v1' AS tokenizer, words AS tokens FROM live
+  UNION ALL SELECT source, lang, 'bytes-v1', bytes FROM live
+)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM counted GROUP BY source, lang, tokenizer
+"""
+
+ORACLE["op5_mixing"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST({_WORDS.format("text")} AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w, 2 * source_size AS cap
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM sized GROUP BY source)
+), filled AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
+         coalesce(sum(cap) OVER b, 0) AS full_, coalesce(sum(w) OVER b, 0) AS used
+  FROM per WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * CAST(total AS DOUBLE) - CAST(full_ AS DOUBLE)) / CAST(ws - used AS DOUBLE) AS lev FROM filled
+), level AS (
+  SELECT lev FROM levels WHERE lev <= CAST(cap AS DOUBLE) / w ORDER BY full_, used, lev LIMIT 1
+), goal AS (
+  SELECT source, source_size, n, least(CAST(cap AS DOUBLE), coalesce((SELECT lev FROM level) * w, CAST(cap AS DOUBLE))) AS target FROM per
+), weighed AS (
+  SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
+         CASE WHEN g.source_size > 0 THEN 1 / sqrt(1 + CAST(s.size * g.n AS DOUBLE) / CAST(g.source_size AS DOUBLE)) ELSE 1.0::DOUBLE END AS weight,
+         CASE WHEN g.source_size > 0 THEN greatest(ceil(g.target / g.source_size) - 1, 0) ELSE 0 END AS sure,
+         (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+), massed AS (
+  SELECT *, target - sure * source_size AS rest, sum(CAST(floor(weight * size * 1000) AS BIGINT)) OVER (PARTITION BY source) AS mass FROM weighed
+), odds AS (
+  SELECT *, least(CAST(1 AS DOUBLE), rest * weight * 1000 / CAST(mass AS DOUBLE)) AS p FROM massed
+), ratios AS (
+  SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / ((1 - u) * p) ELSE 1e300::DOUBLE END AS ratio FROM odds
+), one AS (
+  SELECT *, CASE WHEN open_ AND cum <= rest THEN 1 ELSE 0 END AS x1 FROM (
+    SELECT *, sum(CASE WHEN open_ THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+    FROM (SELECT *, size > 0 AND size <= rest AS open_ FROM ratios))
+), two AS (
+  SELECT *, CASE WHEN open2 AND cum2 <= rest2 THEN 1 ELSE 0 END AS x2 FROM (
+    SELECT *, sum(CASE WHEN open2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum2
+    FROM (SELECT *, x1 = 0 AND size > 0 AND size <= rest2 AS open2
+          FROM (SELECT *, rest - sum(x1 * size) OVER (PARTITION BY source) AS rest2 FROM one)))
+), three AS (
+  SELECT *, CASE WHEN open3 AND cum3 <= rest3 THEN 1 ELSE 0 END AS x3 FROM (
+    SELECT *, sum(CASE WHEN open3 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum3
+    FROM (SELECT *, x1 + x2 = 0 AND size > 0 AND size <= rest3 AS open3
+          FROM (SELECT *, rest2 - sum(x2 * size) OVER (PARTITION BY source) AS rest3 FROM two)))
+)
+SELECT doc_id, size, source_size, target, CAST(size * (sure + x1 + x2 + x3) AS BIGINT) AS taken FROM three
+"""
