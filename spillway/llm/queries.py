@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, mixing, packing, quality_rules, sharding, token_counts, token_store
+from . import jaccard_join, language_id, media, mixing, packing, quality_rules, sharding, token_counts, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -45,6 +45,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op10_token_counts": op10_token_counts,
     "op3_sharding": op3_sharding,
+    "op9_jaccard_join": op9_jaccard_join,
     "op6_token_output": op6_token_output,
 }
 
