@@ -69,7 +69,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        missing = words - self.words.keys()
+        missing = [w for w in words if w not in self.words]
         if len(self.words) + len(missing) > self.limit:
             self.words.clear()
             missing = words

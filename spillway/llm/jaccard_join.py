@@ -67,7 +67,7 @@ class Shingler:
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
         kept = self.hash
-        missing = set(words) - kept.keys()
+        missing = [w for w in set(words) if w not in kept]
         if len(kept) + len(missing) > self.limit:
             kept.clear()
             missing = set(words)

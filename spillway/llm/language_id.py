@@ -108,18 +108,18 @@ class Scorer:
         self.scores = np.zeros((1024, len(model.languages)), dtype=np.float32)
 
     def add(self, words: set[str]) -> None:
-        new = words - self.at.keys()
+        new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > self.limit:
             self.at.clear()
-            new = words
+            new = list(words)
         first, need = len(self.at), len(self.at) + len(new)
         if need > len(self.scores):
             grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]), dtype=np.float32)
             grown[:first] = self.scores[:first]
             self.scores = grown
-        ordered = list(new)
-        self.scores[first:need] = self.model.scores(ordered) if ordered else 0
-        self.at.update(zip(ordered, range(first, need), strict=True))
+        if new:
+            self.scores[first:need] = self.model.scores(new)
+            self.at.update(zip(new, range(first, need), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
