@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, media, mixing, packing, quality_rules, sharding, token_counts, token_store
+from . import jaccard_join, language_id, media, mixing, packing, pii, quality_rules, sharding, token_counts, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -49,6 +49,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op3_sharding": op3_sharding,
     "op9_jaccard_join": op9_jaccard_join,
+    "op4_pii": op4_pii,
     "op6_token_output": op6_token_output,
 }
 
