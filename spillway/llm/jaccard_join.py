@@ -13,10 +13,15 @@ later step works on classes, so copies are never compared.
 3. Index-level skipping. In a shingle's list, sorted by size, a set meets only the block of sizes within 3/4 of its
    own; a pair is skipped where positions leave too little overlap, or where both have the same shingle before, which
    lists the pair already.
-4. Answer-level skipping. A list longer than SHORT first yields only pairs with the list's leader. Those are verified
-   and their components taken; then a list's pairs are formed again, but only between different components: what a set
-   shares with its component's other members follows from the leader's answers.
-5. Verification is exact: a pair's two sets meet, recomputed from the texts. A leader's pairs are salted by its degree.
+4. Answer-level skipping. A list longer than SHORT is not paired out at once. In ROUNDS rounds sets propose members of
+   other components in their lists, next to them in size, and keep the PROPOSALS that most of their lists make; the
+   proposals are answered and the components taken anew. Then the remaining pairs of each list are
+   formed, only between different components: what a set shares with its component's other members is not asked. Where
+   both sets of a pair were answered by the same leader L, they share at most what one shares with L plus what the other
+   has beside L, and the pair is skipped if that is too little.
+5. Verification is exact. Parity bitmaps of the sets, two bits an element, bound the intersection of a pair from above
+   and drop most chance pairs; the rest have their sets, recomputed from the texts, meet in one task. A leader's pairs
+   are salted by its degree.
 
 Components: labels fall to the least of the neighbours' and jump to their label's label until none changes; all in
 tables, nothing is collected.
@@ -44,6 +49,10 @@ WORDS = 5
 HOT = 200_000
 #: Lists up to this length yield all their pairs at once.
 SHORT = 16
+#: Rounds of proposals in the longer lists.
+ROUNDS = 4
+#: Proposals of a set that a round answers.
+PROPOSALS = 4
 #: Index entries of a bucket.
 BUCKET = 500_000
 #: Pairs of a leader that one task verifies.
@@ -98,12 +107,28 @@ def class_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), seed=len(found))).astype(np.int64))
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A parity bitmap of at least two bits an element."""
+    bits = 1 << max(8, (2 * len(found)).bit_length())
+    return np.packbits((np.bincount((found >> np.uint64(9)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def most_common(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """An upper bound of the intersection: elements outside it flip at least the bits in which the bitmaps differ."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, cls) and of shingles found more than twice in a task (token, n), by `token`."""
+    """Rows of documents (doc_id, n, cls, bitmap) and of shingles found more than twice in a task (token, n), by `token`."""
 
     def scan(batches):
         shingler, kept, size = Shingler(), [], 0
@@ -112,24 +137,25 @@ def _describe(docs: DataFrame) -> DataFrame:
             found, counts = np.unique(np.concatenate(kept), return_counts=True)
             found, counts = found[counts > 2], counts[counts > 2]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(counts, pa.int64()), none, pa.array(found.astype(np.int64))], names=["doc_id", "n", "cls", "token"])
+            return pa.RecordBatch.from_arrays([none, pa.array(counts, pa.int64()), none, pa.array(found.astype(np.int64))], names=["doc_id", "n", "cls", "token"]).append_column("bitmap", pa.nulls(len(found), pa.binary()))
 
         for batch in batches:
-            n, cls = [], []
+            n, cls, bitmap = [], [], []
             for text in batch.column("text").to_pylist():
                 found, _ = shingler.set_of(text)
                 n.append(len(found))
                 cls.append(class_of(found) if len(found) else None)
+                bitmap.append(sketch(found) if len(found) else None)
                 kept.append(found)
                 size += len(found)
                 if size > 2_000_000:
                     yield frequent()
                     kept, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "cls", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(bitmap, pa.binary())], names=["doc_id", "n", "cls", "token", "bitmap"])
         if kept:
             yield frequent()
 
-    return materialize(_texts(docs).mapInArrow(scan, "doc_id long, n long, cls long, token long"), "jaccard-sets")
+    return materialize(_texts(docs).mapInArrow(scan, "doc_id long, n long, cls long, token long, bitmap binary"), "jaccard-sets")
 
 
 class _Order:
@@ -248,14 +274,6 @@ def _candidates(index: DataFrame, buckets: int) -> DataFrame:
             if j - i <= SHORT:
                 pairs.extend(_pairs_within(run))
                 continue
-            left = run
-            while len(left) > 1:  # a leader for each range of sizes
-                lead = left[left["cls"].argmin()]
-                s, t = int(lead["size"]), left["size"].astype(np.int64)
-                near = (4 * np.minimum(s, t) >= 3 * np.maximum(s, t)) & (left["cls"] != lead["cls"])
-                if near.any():
-                    pairs.append(np.stack([np.full(near.sum(), lead["cls"]), left["cls"][near]], axis=1))
-                left = left[~near & (left["cls"] != lead["cls"])]
             n = len(run)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(run["token"].astype(np.int64) * buckets + bucket), pa.array(run["cls"]), pa.array(run["size"].astype(np.int32)), pa.array(run["pos"].astype(np.int32)), pa.array(run["prev"].astype(np.int64))], schema=_CANDIDATES)
         both = np.concatenate(pairs)
@@ -283,49 +301,112 @@ def _candidates(index: DataFrame, buckets: int) -> DataFrame:
     return materialize(dealt.mapInArrow(meet, CANDIDATES), "jaccard-candidates")
 
 
-def _between(entries: DataFrame) -> DataFrame:
-    """entries: the long lists with each class's label. Pairs between different labels."""
+def _by_list(entries: DataFrame, columns: tuple[str, ...], pairs_of) -> DataFrame:
+    """Pairs (a, b) that pairs_of(run, columns by name) yields for every list of the entries, sorted by size."""
 
     def meet(batches):
         kept, last = [], None
 
-        def run_pairs(rows):
-            run = np.zeros(len(rows[0]), _ENTRY)
-            for k, name in enumerate(("cls", "size", "pos", "prev")):
-                run[name] = rows[k]
-            if len(np.unique(rows[4])) > 1:
-                found = list(_pairs_within(run, rows[4]))
-                if found:
-                    yield _pair_batch(np.concatenate(found)).select(["a", "b"])
+        def answered(parts):
+            rows = dict(zip(columns, (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True))
+            run = np.zeros(len(rows["cls"]), _ENTRY)
+            for name in ("cls", "size", "pos", "prev"):
+                run[name] = rows[name]
+            found = pairs_of(run, rows)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
             token = batch.column("token").to_numpy()
-            cols = [batch.column(c).to_numpy() for c in ("cls", "size", "pos", "prev", "label")]
+            cols = [batch.column(c).to_numpy() for c in columns]
             edge = [0, *(np.flatnonzero(np.diff(token)) + 1), len(token)]
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 if i == j:
                     continue
                 if kept and token[i] != last:
-                    yield from run_pairs([np.concatenate(c) for c in zip(*kept, strict=True)])
+                    yield from answered(kept)
                     kept = []
                 last = token[i]
                 kept.append([c[i:j] for c in cols])
         if kept:
-            yield from run_pairs([np.concatenate(c) for c in zip(*kept, strict=True)])
+            yield from answered(kept)
 
-    dealt = entries.select("token", "cls", "size", "pos", "prev", "label").repartition("token").sortWithinPartitions("token", "size", "cls")
+    dealt = entries.select("token", *columns).repartition("token").sortWithinPartitions("token", "size", "cls")
     return dealt.mapInArrow(meet, "a long, b long")
 
 
+def _proposals(known: DataFrame, turn: int) -> DataFrame:
+    """known: the long lists with labels. (a, b): sets b with members a of other components, at most PROPOSALS each.
+
+    In even turns a set outside its list's commonest component proposes the member next to it in size, in later turns
+    the ones further off; in odd turns every set proposes the next one in size of another component.
+    """
+
+    def pairs_of(run, rows):
+        label, size = rows["label"], run["size"].astype(np.int64)
+        names, counts = np.unique(label, return_counts=True)
+        if len(names) == 1:
+            return np.zeros((0, 2), np.int64)
+        if turn % 2:
+            change = np.flatnonzero(label[1:] != label[:-1]) + 1
+            a, b = run[change - 1], run[change]
+        else:
+            home = label == names[counts.argmax()]
+            inside, b = run[home], run[~home]
+            at = np.searchsorted(size[home], size[~home])
+            side = -1 - turn // 4 if turn % 4 else turn // 4
+            a = inside[np.clip(at + side, 0, len(inside) - 1)]
+        s, t = a["size"].astype(np.int64), b["size"].astype(np.int64)
+        fits = 4 * np.minimum(s, t) >= 3 * np.maximum(s, t)
+        return np.stack([a["cls"], b["cls"]], axis=1)[fits]
+
+    asked = _by_list(known, ("cls", "size", "pos", "prev", "label"), pairs_of).groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), asc=False), 1, PROPOSALS)
+    return asked.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
+
+
+def _between(known: DataFrame) -> DataFrame:
+    """known: the long lists with labels, leaders and bounds low and high of what a set shares with its leader. Open pairs."""
+
+    def pairs_of(run, rows):
+        label, lead, low, high = (rows[c] for c in ("label", "lead", "low", "high"))
+        if len(np.unique(label)) == 1:
+            return np.zeros((0, 2), np.int64)
+        at, size, found = {c: k for k, c in enumerate(run["cls"].tolist())}, run["size"].astype(np.int64), [np.zeros((0, 2), np.int64)]
+        for x in _pairs_within(run, label):
+            i, j = at[int(x[0, 0])], np.array([at[c] for c in x[:, 1].tolist()])
+            most = np.minimum(high[i] + size[j] - low[j], high[j] + size[i] - low[i])
+            found.append(x[(lead[i] != lead[j]) | (most >= need(size[i], size[j]))])
+        return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+    return _by_list(known, ("cls", "size", "pos", "prev", "label", "lead", "low", "high"), pairs_of)
+
+
+def _bounded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs: a, b. Adds most, the bitmaps' bound of the intersection, and possible, whether it reaches what a link needs."""
+
+    def bound(batches):
+        for batch in batches:
+            a, b, na, nb, x, y = (batch.column(k).to_pylist() for k in range(6))
+            most = [most_common(*row) for row in zip(x, y, na, nb, strict=True)]
+            ok = [m >= need(i, j) and 4 * min(i, j) >= 3 * max(i, j) for m, i, j in zip(most, na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(most, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "most", "possible"])
+
+    one = members.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa"))
+    two = members.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb")
+    return materialize(both.mapInArrow(bound, "a long, b long, most long, possible boolean"), "jaccard-bounds")
+
+
 def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. members: cls, doc_id of one document of each class."""
+    """a, b, shared and linked of every pair (a, b). members: cls, doc_id of one document of each class."""
     degree = F.count(F.lit(1)).alias("degree")
     leaders = pairs.groupBy("a").agg(degree).withColumn("salts", F.ceil(F.col("degree") / DEGREE).cast("int"))
     salted = pairs.join(leaders, "a").select("b", F.struct(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")).alias("to"))
     own = leaders.select(F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     own = own.select("b", F.struct(F.col("b").alias("lead"), "salt", F.lit(0).alias("kind")).alias("to"))
     wanted = salted.unionByName(own).groupBy(F.col("b").alias("cls")).agg(F.collect_list("to").alias("to"))
-    wanted = materialize(wanted.join(members, "cls"), "jaccard-wanted")
+    wanted = materialize(wanted.join(members.select("cls", "doc_id"), "cls"), "jaccard-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = _texts(docs).join(side, "doc_id").select("text", "cls", "to")
     rows = pa.schema([("lead", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("cls", pa.int64()), ("body", pa.binary())])
@@ -352,7 +433,7 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     def meet(batches):
         lead, found = None, None
         for batch in batches:
-            a, b = [], []
+            out: list[tuple] = []
             for k in range(batch.num_rows):
                 key = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
                 other = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)
@@ -361,14 +442,15 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
                 elif key == lead:
                     at = np.searchsorted(found, other)
                     at[at == len(found)] = 0
-                    if (found[at] == other).sum() >= need(len(found), len(other)):
-                        a.append(key[0])
-                        b.append(batch.column(3)[k].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    shared = int((found[at] == other).sum())
+                    out.append((key[0], batch.column(3)[k].as_py(), shared, shared >= need(len(found), len(other))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            cols = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["a", "b", "shared", "linked"])
 
     sent = texts.mapInArrow(send, "lead long, salt int, kind int, cls long, body binary")
-    met = sent.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind").mapInArrow(meet, "a long, b long")
-    return materialize(met.distinct(), "jaccard-links")
+    met = sent.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind").mapInArrow(meet, "a long, b long, shared long, linked boolean")
+    return materialize(met.distinct(), "jaccard-answers")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -393,18 +475,35 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = described.filter("token is null").select("doc_id", "n", "cls")
     hot = described.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT).collect()
     order = spark.sparkContext.broadcast(_Order(np.array([r["token"] for r in hot], np.int64).astype(np.uint64), np.array([r["n"] for r in hot], np.int64)))
-    members = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    entries = rows.agg(F.sum(F.col("n") / 4 + 1)).head()[0] or 0
+    members = described.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "bitmap")).alias("m")).select("cls", "m.*")
+    members = materialize(members, "jaccard-classes")
+    entries = members.agg(F.sum(F.col("n") / 4 + 1)).head()[0] or 0
     buckets = max(1, int(entries // BUCKET))
     found = _candidates(_index(docs, order, buckets), buckets)
-    links = _verify(docs, members, found.filter("a is not null").select("a", "b").distinct())
-    long = found.filter("token is not null")
-    if long.limit(1).count():
+    bounds = _bounded(found.filter("a is not null").select("a", "b").distinct(), members)
+    answers = _verify(docs, members, bounds.filter("possible").select("a", "b"))
+    links, long = answers.filter("linked").select("a", "b"), found.filter("token is not null")
+    if not long.limit(1).count():
+        return rows, links
+    led = None
+
+    def labelled(links: DataFrame) -> DataFrame:
         labels = components(links)
-        labelled = long.join(labels, long["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls"))
-        more = materialize(_between(labelled).distinct(), "jaccard-between")
-        if more.limit(1).count():
-            links = links.unionByName(_verify(docs, members, more))
+        return long.join(labels, long["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
+
+    for turn in range(ROUNDS):
+        bounds = _bounded(_proposals(labelled(links), turn), members)
+        answers = _verify(docs, members, bounds.filter("possible").select("a", "b"))
+        told = bounds.join(answers, ["a", "b"], "left").select(F.col("b").alias("led"), F.col("a").alias("lead"), F.coalesce("shared", F.lit(0)).alias("low"), F.coalesce("shared", "most").alias("high"))
+        led = told if led is None else led.unionByName(told)
+        links = materialize(links.unionByName(answers.filter("linked").select("a", "b")), "jaccard-links")
+    led = led.groupBy("led").agg(F.max(F.struct("high", "lead", "low")).alias("x")).select("led", "x.*")
+    known = labelled(links)
+    known = known.join(led, known["cls"] == led["led"], "left")
+    known = known.withColumns({"lead": F.coalesce("lead", "cls"), "low": F.coalesce("low", "size").cast("long"), "high": F.coalesce("high", "size").cast("long")})
+    more = _bounded(_between(known).distinct(), members).filter("possible").select("a", "b")
+    if more.limit(1).count():
+        links = links.unionByName(_verify(docs, members, more).filter("linked").select("a", "b"))
     return rows, links
 
 
