@@ -125,10 +125,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     numbered = numbered.withColumn("_i", F.row_number().over(W.partitionBy(*same).orderBy(F.xxhash64("text"))))
     plan = copies(docs, **how).select("doc_id", "source", F.col("size").alias("_size"), "copies")
     plan = plan.withColumn("_i", F.row_number().over(W.partitionBy(*same).orderBy(F.desc("copies")))).withColumn("_key", key)
-    plan = plan.filter("copies > 0").select("_key", "_i", "copies", *[F.col(c).alias(f"_p{k}") for k, c in enumerate(same)])
+    plan = plan.filter("copies > 0").select("_key", "_i", F.col("copies").alias("_copies"), *[F.col(c).alias(f"_p{k}") for k, c in enumerate(same)])
     numbered = numbered.withColumn("_key", key)
     on = (numbered["_key"] == plan["_key"]) & (numbered["_i"] == plan["_i"])
     for k, c in enumerate(same):
         on = on & numbered[c].eqNullSafe(plan[f"_p{k}"])
     out = numbered.join(plan, on)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[numbered[c] for c in names])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[numbered[c] for c in names])
