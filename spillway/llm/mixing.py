@@ -93,7 +93,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     sure = F.greatest(F.ceil(F.col("target") / F.col("source_size")) - 1, F.lit(0))
     rows = rows.withColumn("_sure", F.when(F.col("source_size") > 0, sure).otherwise(0).cast("int"))
     rows = rows.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size"))
-    p = F.least(F.lit(1.0), F.col("_rest") * F.col("_weight") * _SCALE / F.col("_mass"))
+    p = F.least(F.lit(1.0), F.try_divide(F.col("_rest") * F.col("_weight") * _SCALE, F.col("_mass")))
     u = uniform(seed)
     ratio = u * (1 - F.col("_p")) / ((1 - u) * F.col("_p"))
     rows = rows.withColumn("_p", p).withColumn("_ratio", F.when(F.col("_p") > 0, ratio).otherwise(_NEVER))

@@ -34,7 +34,7 @@ def test_targets_and_taken(documents, odd_rows):
     for s, goal in want.items():
         got = sum(r["size"] * r["copies"] for r in plan if r["source"] == s)
         longest = max(r["size"] for r in plan if r["source"] == s)
-        assert goal - longest <= got <= goal + 1e-6
+        assert goal - longest <= got <= goal + 1e-6, (s, goal, got, longest)
     assert all(r["taken"] <= 2 * r["size"] for r in out)
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.taken(docs).collect()), key=str)
 
@@ -49,6 +49,11 @@ def test_mixed_repeats_rows(documents, odd_rows):
     assert mixing.mixed(documents([])).count() == 0
 
 
+def test_source_without_words(documents):
+    out = mixing.taken(documents([(1, None, "en", "a"), (2, "", "en", "a"), (3, "some words here", "en", "b")])).collect()
+    assert {r["doc_id"]: r["taken"] for r in out} == {1: 0, 2: 0, 3: 3}
+
+
 def test_long_documents_are_taken_less_often(documents):
     rows = [(i, "w " * (1 if i % 2 else 40), "en", "ab"[i % 2 and i % 3 == 0]) for i in range(600)]
     plan = mixing.copies(documents(rows)).collect()
