@@ -34,9 +34,10 @@ def moment_coefficients(series: DataFrame, log: bool = False) -> DataFrame:
     g1 = F.when(F.col("_ok"), F.col("m3") / F.pow("m2", F.lit(1.5)))
     ck = F.when(F.col("_ok"), F.col("m4") / F.pow("m2", F.lit(2.0)))
     c = c.withColumns({"g1": g1, "ck": ck})
+    d = F.try_divide
     return c.select(
-        "series_id", "n", "mean", F.sqrt(F.col("m2") * n / (n - 1)).alias("sd"), "g1", (F.sqrt(n * (n - 1)) / (n - 2) * F.col("g1")).alias("skew"), "ck", (F.col("ck") - 3).alias("g2"),
-        ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (F.col("ck") - 3) + 6)).alias("kurtosis_adjusted"), F.sqrt(6 / n).alias("se_skew"), F.sqrt(24 / n).alias("se_kurtosis"),
+        "series_id", "n", "mean", F.sqrt(d(F.col("m2") * n, n - 1)).alias("sd"), "g1", (d(F.sqrt(n * (n - 1)), n - 2) * F.col("g1")).alias("skew"), "ck", (F.col("ck") - 3).alias("g2"),
+        (d(n - 1, (n - 2) * (n - 3)) * ((n + 1) * (F.col("ck") - 3) + 6)).alias("kurtosis_adjusted"), F.sqrt(6 / n).alias("se_skew"), F.sqrt(24 / n).alias("se_kurtosis"),
     )
 
 
