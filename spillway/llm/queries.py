@@ -138,3 +138,48 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, CAST(size * (sure + x1 + x2 + x3) AS BIGINT) AS taken FROM three
 """
+
+ORACLE["op7_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, w1, w2, w3) AS c
+  FROM (SELECT id, i, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT id, w, UNNEST(range(1, len(w) - 1)) AS i FROM d))
+), covered AS (
+  SELECT id, count(DISTINCT p) AS n FROM (SELECT id, i + UNNEST([0, 1, 2]) AS p FROM win WHERE c > 1) GROUP BY id
+), counted AS (
+  SELECT d.id, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered ON d.id = covered.id
+), based AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), hosts AS (
+  SELECT source, count(*) AS n, CAST(count(CASE WHEN base_failed THEN 1 END) AS DOUBLE) AS fails FROM based GROUP BY source
+), pooled AS (
+  SELECT sum(fails) / sum(n) AS m, coalesce(var_pop(fails / n), 0) AS v FROM hosts
+), judged AS (
+  SELECT source, CASE WHEN v > 0 THEN (fails + m * greatest(1, m * (1 - m) / v - 1)) / (n + greatest(1, m * (1 - m) / v - 1)) ELSE m END <= 0.5 AS host_kept FROM hosts, pooled
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+FROM based JOIN judged ON based.source IS NOT DISTINCT FROM judged.source
+"""
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, UNNEST(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+), n AS (
+  SELECT id, count(*) AS n FROM s GROUP BY id
+), e AS (
+  SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id JOIN n p ON p.id = x.id JOIN n q ON q.id = y.id
+  GROUP BY x.id, y.id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), r AS (
+  SELECT id, id AS o FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a
+)
+SELECT d.id AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.o) AS component_id FROM d LEFT JOIN n ON n.id = d.id JOIN r ON r.id = d.id GROUP BY d.id
+"""
