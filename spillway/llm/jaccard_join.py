@@ -50,7 +50,7 @@ HOT = 200_000
 #: Lists up to this length yield all their pairs at once.
 SHORT = 16
 #: Rounds of proposals in the longer lists.
-ROUNDS = 4
+ROUNDS = 2
 #: Proposals of a set that a round answers.
 PROPOSALS = 4
 #: Index entries of a bucket.
@@ -458,8 +458,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
     state = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "component-labels")
     while True:
-        near = edges.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = state.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
+        told = edges.join(state.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        low = told.unionByName(state.withColumn("was", F.col("label"))).groupBy("node").agg(F.max("was").alias("was"), F.min("label").alias("low"))
         jump = state.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = materialize(low.join(jump, "low").select("node", "was", F.least("low", "far").alias("label")), "component-labels")
         if not new.filter("label <> was").limit(1).count():

@@ -184,15 +184,17 @@ def predict(docs: DataFrame, model: LanguageModel, keep_columns: tuple[str, ...]
     """The kept columns of docs, lang_pred and score; the text is read, and kept only if asked for."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEEP
-    wanted = docs.select(*keep_columns, F.col("text").alias("_text"))
+    width = len(keep_columns)
+    at = keep_columns.index("text") if "text" in keep_columns else width
+    wanted = docs.select(*keep_columns, *[F.col("text")] * (at == width))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep_columns).schema)
 
     def score(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column("_text").to_pylist()]
-            cols = batch.columns[:-1] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1] + ["lang_pred", "score"])
+            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            cols = batch.columns[:width] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:width], "lang_pred", "score"])
 
     return wanted.mapInArrow(score, f"{fields}, lang_pred string, score double")
 
