@@ -318,7 +318,7 @@ def _by_list(entries: DataFrame, columns: tuple[str, ...], pairs_of) -> DataFram
 
         for batch in batches:
             token = batch.column("token").to_numpy()
-            cols = [batch.column(c).to_numpy() for c in columns]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             edge = [0, *(np.flatnonzero(np.diff(token)) + 1), len(token)]
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 if i == j:
@@ -366,20 +366,26 @@ def _proposals(known: DataFrame, turn: int) -> DataFrame:
 
 
 def _between(known: DataFrame) -> DataFrame:
-    """known: the long lists with labels, leaders and bounds low and high of what a set shares with its leader. Open pairs."""
+    """known: the long lists with labels, leaders, bounds low and high of what a set shares with its leader, and bitmaps.
+
+    Pairs between different labels that neither the leaders' answers nor the bitmaps settle.
+    """
 
     def pairs_of(run, rows):
-        label, lead, low, high = (rows[c] for c in ("label", "lead", "low", "high"))
+        label, lead, low, high, bitmap = (rows[c] for c in ("label", "lead", "low", "high", "bitmap"))
         if len(np.unique(label)) == 1:
             return np.zeros((0, 2), np.int64)
         at, size, found = {c: k for k, c in enumerate(run["cls"].tolist())}, run["size"].astype(np.int64), [np.zeros((0, 2), np.int64)]
         for x in _pairs_within(run, label):
             i, j = at[int(x[0, 0])], np.array([at[c] for c in x[:, 1].tolist()])
             most = np.minimum(high[i] + size[j] - low[j], high[j] + size[i] - low[i])
-            found.append(x[(lead[i] != lead[j]) | (most >= need(size[i], size[j]))])
+            still = (lead[i] != lead[j]) | (most >= need(size[i], size[j]))
+            for k in np.flatnonzero(still):
+                still[k] = most_common(bitmap[i], bitmap[j[k]], int(size[i]), int(size[j[k]])) >= need(size[i], size[j[k]])
+            found.append(x[still])
         return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
-    return _by_list(known, ("cls", "size", "pos", "prev", "label", "lead", "low", "high"), pairs_of)
+    return _by_list(known, ("cls", "size", "pos", "prev", "label", "lead", "low", "high", "bitmap"), pairs_of)
 
 
 def _bounded(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -501,7 +507,8 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = labelled(links)
     known = known.join(led, known["cls"] == led["led"], "left")
     known = known.withColumns({"lead": F.coalesce("lead", "cls"), "low": F.coalesce("low", "size").cast("long"), "high": F.coalesce("high", "size").cast("long")})
-    more = _bounded(_between(known).distinct(), members).filter("possible").select("a", "b")
+    known = known.join(members.select("cls", "bitmap"), "cls")
+    more = materialize(_between(known).distinct(), "jaccard-between")
     if more.limit(1).count():
         links = links.unionByName(_verify(docs, members, more).filter("linked").select("a", "b"))
     return rows, links
