@@ -3,11 +3,14 @@
 1. Generators. Per kind, the base pattern and wider ones (written-out addresses, numbers without plus sign, chains that
    fail a check digit) propose spans, which may overlap. A span's place follows from the lengths of the pieces between
    the matches, so no text leaves its row; texts without a digit or an at sign are not searched.
-2. Model. Every candidate has format features (digits, separators, dots, plus sign, check digit, octets, at sign) and
-   context features (characters beside it, a telling word before it), all small integers. Their distinct combinations are
-   counted over all documents, and boosted trees of depth two are fitted to the most frequent MODEL_ROWS of them on one
-   half of the documents. The labels are weak: a candidate counts as personal data if it is a base span.
-3. Thresholds. On the other half, each kind gets the least score above which PRECISION of the candidates are personal.
+2. Model. Every candidate has format features (digits, separators, dots, plus sign, check digit, octets, at sign, form)
+   and context features (characters beside it, a word before it that tells its kind), all small integers. Their distinct
+   combinations are counted over all documents, and boosted trees of depth two are fitted to the most frequent MODEL_ROWS
+   of them on one half of the documents. The labels are weak: a candidate counts as personal data if it is a base span,
+   if its form alone is one that only such data has, or if its form is possible and a telling word is before it. In the
+   fit, kinds, labels, and base spans and further candidates weigh alike, however many there are of each.
+3. Thresholds. On the other half, each kind gets the least score above which PRECISION of the candidates that can be
+   added are personal: base spans and what overlaps them are not counted. A kind without personal ones there takes both halves.
 4. Selection. Base spans stay. A further candidate is added if its score passes its kind's threshold and it overlaps
    neither a base span nor an added one with a better score (then the earlier kind, then the earlier start).
 
@@ -42,14 +45,24 @@ BASE = {
 }
 #: Wider patterns: what base patterns miss or what resembles them.
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?+(?:\(at\)|\[at\]|\{at\}) ?+[A-Za-z0-9-]++(?: ?+(?:\.|\(dot\)|\[dot\]) ?+[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?+(?:\(at\)|\[at\]|\{at\}) ?+[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++| ?+\. ?+[a-z0-9][A-Za-z0-9-]*+| ?+(?:\(dot\)|\[dot\]) ?+[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][ .-])[0-9](?:[ .-]?+[0-9]){12,}+",
     "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])",
 }
 _GATE = {"email": ("@", r"\(at\)|\[at\]|\{at\}"), "ip": ("[0-9]", ":[0-9A-Fa-f]{1,4}:"), "card": ("[0-9]", "[0-9]"), "phone": (r"\+[0-9]", "[0-9]")}
-_TELLING = "(?i)(mail|tel|phone|call|fax|mobile|card|visa|credit|ip|host|addr|contact)"
-FEATURES = ("kind", "digits", "seps", "dots", "plus", "luhn", "octets", "at", "left", "right", "telling")
+_TELLING = {
+    "email": r"(?i)\b(?:e-?mail|mail|mailto|contact|write|reach|addr|address)\b",
+    "ip": r"(?i)\b(?:ip|ipv4|ipv6|host|addr|address|server)\b",
+    "card": r"(?i)\b(?:cards?|visa|mastercard|amex|credit|debit)\b",
+    "phone": r"(?i)\b(?:tel|telefon|telephone|phones?|call|calling|fax|mobile|cell|contact)\b",
+}
+#: Shapes of issued card numbers, and phone and card numbers written in the groups that hardly anything else has.
+_ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|6\d{15,18})$"
+_CARD_GROUPS = r"^(?:\d{4}([ .-])\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ .-])\d{6}\2\d{5})$"
+_PHONE_GROUPS = r"^(?:\([0-9]{3}\)[ .-][0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})$"
+_PHONE_SHAPE = r"^(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3}[ .-]?[0-9]{3,4}$"
+FEATURES = ("kind", "digits", "seps", "dots", "plus", "luhn", "octets", "at", "left", "right", "telling", "form")
 
 _SPAN = "struct<s:int,e:int,v:string>"
 
@@ -80,6 +93,21 @@ def _valid(kind: str, v: Column) -> Column:
     return {"email": F.lit(True), "ip": _octets(v), "card": n.between(16, 19) & F.when(n.between(16, 19), _luhn(v)).otherwise(False), "phone": n.between(8, 15)}[kind]
 
 
+def _form(kind: str, v: Column) -> Column:
+    """0 not of the kind, 1 possibly of the kind, 2 hardly anything else. Base spans are labelled without it."""
+    if kind == "email":
+        ends = v.rlike(r"[(\[{]at[)\]}]") & v.rlike(r"(?:\.|[)\]]) ?[A-Za-z]{2,24}$")
+        return F.when(ends, F.when(v.rlike(r" \.|\. "), 1).otherwise(2)).otherwise(0)
+    if kind == "ip":
+        groups = v.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
+        return F.when(groups, F.when(v.rlike("[0-9A-Fa-f]{3}"), 2).otherwise(1)).otherwise(0)
+    if kind == "card":
+        d = _digits(v)
+        issued = d.rlike(_ISSUED) & F.when(F.length(d).between(12, 19), _luhn(v)).otherwise(False)
+        return F.when(issued, F.when(v.rlike(_CARD_GROUPS), 2).otherwise(1)).otherwise(0)
+    return F.when(v.rlike(_PHONE_GROUPS), 2).when(v.rlike(_PHONE_SHAPE) & F.length(_digits(v)).between(8, 11), 1).otherwise(0)
+
+
 def lambda_of(f, first):
     """f with its first argument fixed, as a function of one column."""
     return lambda x: f(first, x)
@@ -139,8 +167,12 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             "at": flag(F.contains(v, F.lit("@"))),
             "left": _side(F.when(x["s"] > 0, F.substring(F.col("_text"), x["s"], F.lit(1)))),
             "right": _side(F.when(x["e"] < F.length("_text"), F.substring(F.col("_text"), x["e"] + 1, F.lit(1)))),
-            "telling": flag(before.rlike(_TELLING)),
+            "telling": flag(before.rlike(_TELLING[KINDS[k]])),
         }
+        # A link of a longer chain of numbers is none of the kinds; 1 may come before a phone number.
+        chained = before.rlike(r"(?:(?<![0-9])[02-9]|[0-9]{2})[-./]$") | F.substring(F.col("_text"), x["e"] + 1, F.lit(2)).rlike("^[-./:][0-9]")
+        beside = values["left"].isin(1, 2) | values["right"].isin(1, 2)
+        values["form"] = F.when(F.lit(k > 0) & (chained | beside), 0).otherwise(_form(KINDS[k], v))
         return F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), *[c.cast("int").alias(name) for name, c in values.items()])
 
     wide = [F.transform(f"_{name}_{kind}", lambda_of(described, k)) for k, kind in enumerate(KINDS) for name in "bw"]
@@ -195,18 +227,34 @@ def _apply(node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, FEATURES.index(f)] <= at, _apply(low, x), _apply(high, x))
 
 
-def fit(found: DataFrame) -> Model | None:
-    """found: candidates(). None if there is no candidate."""
+def _counted(found: DataFrame) -> DataFrame:
+    """half, features, base (a base span), label and n: the base spans and the candidates clear of them."""
     one = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), "base", F.explode("wide").alias("x"))
     is_base = F.exists("base", lambda b: (b["kind"] == F.col("x.kind")) & (b["s"] == F.col("x.s")) & (b["e"] == F.col("x.e")))
-    counted = one.groupBy("half", *[F.col(f"x.{f}").alias(f) for f in FEATURES], is_base.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.orderBy(F.desc("n"), "half", *FEATURES, "label").limit(MODEL_ROWS).collect()
+    clear = ~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
+    likely = (F.col("x.form") == 2) | ((F.col("x.form") == 1) & (F.col("x.telling") == 1))
+    one = one.withColumn("is_base", is_base).filter(F.col("is_base") | clear)
+    return one.groupBy("half", *[F.col(f"x.{f}").alias(f) for f in FEATURES], "is_base", (F.col("is_base") | likely).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _even(w: np.ndarray, *groups: np.ndarray) -> np.ndarray:
+    """w with the same sum in every group that occurs, the largest group's."""
+    _, g = np.unique(np.column_stack(groups), axis=0, return_inverse=True)
+    total = np.bincount(g.ravel(), w)
+    return w * (total.max() / total)[g.ravel()]
+
+
+def fit(found: DataFrame) -> Model | None:
+    """found: candidates(). None if there is no candidate."""
+    counted = _counted(found)
+    rows = counted.orderBy(F.desc("n"), "half", *FEATURES, "is_base").limit(MODEL_ROWS).collect()
     if not rows:
         return None
     x = np.array([[r[f] for f in FEATURES] for r in rows])
-    y, w, half = (np.array([float(r[c]) for r in rows]) for c in ("label", "n", "half"))
+    y, w, half, based = (np.array([float(r[c]) for r in rows]) for c in ("label", "n", "half", "is_base"))
     fit_on = half == 0 if (half == 0).any() else half == 1
-    xs, ys, ws = x[fit_on], y[fit_on], w[fit_on]
+    xs, ys = x[fit_on], y[fit_on]
+    ws = _even(w[fit_on], xs[:, 0], ys, based[fit_on])
     share = min(max(float((ws @ ys) / ws.sum()), 0.01), 0.99)
     start = math.log(share / (1 - share))
     score, trees = np.full(len(xs), start), []
@@ -215,11 +263,12 @@ def fit(found: DataFrame) -> Model | None:
         tree = _grow(xs, ws * (ys - p), ws * p * (1 - p), 2)
         trees.append(tree)
         score += _apply(tree, xs)
-    check = half == 1 if (half == 1).any() else half == 0
     score = start + sum(_apply(t, x) for t in trees)
     limits = {}
     for k in range(len(KINDS)):
-        own = check & (x[:, 0] == k)
+        own = (based == 0) & (x[:, 0] == k)
+        if (own & ~fit_on & (y == 1)).any():
+            own &= ~fit_on
         order = np.argsort(-score[own], kind="stable")
         s, good, n = score[own][order], (w * y)[own][order].cumsum(), w[own][order].cumsum()
         last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)

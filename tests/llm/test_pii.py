@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from spillway.llm import pii
 
@@ -67,3 +68,29 @@ def test_redaction_keeps_columns_and_nulls(documents, odd_rows):
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows[50] == "mail <EMAIL> or <PHONE> ok" and rows[3] is None and rows[1] == odd_rows[0][1]
     assert out.count() == docs.count()
+
+
+HIDDEN = [
+    ("email", "jane (at) host (dot) org"), ("email", "jo.do[at]mail.example.com"), ("phone", "555-123-4567"), ("phone", "(030) 123 4567"), ("ip", "2001:db8:0:0:8:800:200c:417a"), ("card", "3782 822463 10005"),
+]
+
+
+@pytest.mark.parametrize("n_base, n_hidden", [(400, 1), (400, 400), (4, 400), (0, 40)])
+def test_hidden_data_is_selected_at_any_prevalence(documents, n_base, n_hidden):
+    texts = ["write a@b.co, call +49 30 1234567, host 10.0.0.1, card 4111 1111 1111 1111"] * n_base
+    texts += [f"we saw {v} there" for _, v in HIDDEN] * n_hidden
+    other = ["sale (at) noon. Then home", "rows 12 345 678 of it", "part 55-123-4567-89 here", "300.400.1.2 is none", "id 1234567890123 kept"] * 200
+    docs = documents([(i, t, "en", "s") for i, t in enumerate([*texts, *other])])
+    out = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for i, t in enumerate([*texts, *other]):
+        if n_base <= i < len(texts):
+            kind, v = HIDDEN[(i - n_base) % len(HIDDEN)]
+            assert out[i] == f"{kind}:7:{7 + len(v)}", t
+        elif i >= len(texts):
+            assert out[i] == "", t
+
+
+def test_a_telling_word_makes_a_possible_number_personal(documents):
+    texts = ["tel 12 345 6789 ok", "rows 12 345 6789 ok"] * 30
+    out = {r["doc_id"]: r["spans"] for r in pii.find(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert all(out[i] == ("" if i % 2 else "phone:4:15") for i in range(60))
