@@ -9,7 +9,7 @@
    of them on one half of the documents. The labels are weak: a candidate counts as personal data if it is a base span,
    if its form alone is one that only such data has, or if its form is possible and a telling word is before it. In the
    fit, kinds, labels, and base spans and further candidates weigh alike, however many there are of each.
-3. Thresholds. On the other half, each kind gets the least score above which PRECISION of the candidates that can be
+3. Thresholds. Over all combinations on the other half, each kind gets the least score above which PRECISION of the candidates that can be
    added are personal: base spans and what overlaps them are not counted. A kind without personal ones there takes both halves.
 4. Selection. Base spans stay. A further candidate is added if its score passes its kind's threshold and it overlaps
    neither a base span nor an added one with a better score (then the earlier kind, then the earlier start).
@@ -36,6 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 MODEL_ROWS = 50_000
 PRECISION = 0.99
 TREES, RATE = 24, 0.3
+#: Thresholds are multiples of 1 / STEPS, a power of two, so they are exact in nine decimals.
+STEPS = 512
 #: The contract's patterns. Possessive, and begun only where a match can begin, they find the same spans in linear time.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -246,7 +248,7 @@ def _even(w: np.ndarray, *groups: np.ndarray) -> np.ndarray:
 
 def fit(found: DataFrame) -> Model | None:
     """found: candidates(). None if there is no candidate."""
-    counted = _counted(found)
+    counted = materialize(_counted(found), "pii-counted")
     rows = counted.orderBy(F.desc("n"), "half", *FEATURES, "is_base").limit(MODEL_ROWS).collect()
     if not rows:
         return None
@@ -263,18 +265,28 @@ def fit(found: DataFrame) -> Model | None:
         tree = _grow(xs, ws * (ys - p), ws * p * (1 - p), 2)
         trees.append(tree)
         score += _apply(tree, xs)
-    score = start + sum(_apply(t, x) for t in trees)
+    return Model(trees, start, _limits(counted, Model(trees, start, {}), int(half[fit_on][0])))
+
+
+def _limits(counted: DataFrame, model: Model, fitted: int) -> dict[int, float]:
+    """Each kind's threshold over all counted candidates that can be added, in steps of a score of 1 / STEPS."""
+    x = F.struct(*FEATURES).alias("x")
+    step = F.expr(f"floor(({model.sql('x')}) * {STEPS})")
+    df = counted.filter("not is_base").select("half", "label", "n", x).select("half", F.col("x.kind").alias("kind"), step.alias("step"), "label", "n")
+    rows = df.groupBy("kind", "half", "step").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label"), F.col("n")).otherwise(0)).alias("good")).collect()
     limits = {}
     for k in range(len(KINDS)):
-        own = (based == 0) & (x[:, 0] == k)
-        if (own & ~fit_on & (y == 1)).any():
-            own &= ~fit_on
-        order = np.argsort(-score[own], kind="stable")
-        s, good, n = score[own][order], (w * y)[own][order].cumsum(), w[own][order].cumsum()
-        last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
-        fine = np.flatnonzero(last & (good >= PRECISION * n))
-        limits[k] = float(s[fine[-1]]) if len(fine) else math.inf
-    return Model(trees, start, limits)
+        own = [r for r in rows if r["kind"] == k]
+        if any(r["good"] and r["half"] != fitted for r in own):
+            own = [r for r in own if r["half"] != fitted]
+        own.sort(key=lambda r: -r["step"])
+        n = good = 0
+        limits[k] = math.inf
+        for i, r in enumerate(own):
+            n, good = n + r["n"], good + r["good"]
+            if (i + 1 == len(own) or own[i + 1]["step"] != r["step"]) and good >= PRECISION * n:
+                limits[k] = r["step"] / STEPS
+    return limits
 
 
 def select(found: DataFrame, model: Model | None) -> DataFrame:
@@ -282,7 +294,7 @@ def select(found: DataFrame, model: Model | None) -> DataFrame:
     if model is None or all(math.isinf(v) for v in model.limits.values()):
         return found.withColumn("added", F.array().cast("array<struct<kind:int,s:int,e:int>>"))
     scored = F.expr(f"transform(wide, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'p', {model.sql('x')}))")
-    passes = " OR ".join(f"(x.kind = {k} AND x.p >= {v:.9f}D - 1e-7D)" for k, v in model.limits.items() if not math.isinf(v))
+    passes = " OR ".join(f"(x.kind = {k} AND x.p >= {v:.9f}D)" for k, v in model.limits.items() if not math.isinf(v))
     clear = "NOT exists(base, b -> b.s < x.e AND x.s < b.e)"
     better = "(y.p > x.p OR (y.p = x.p AND (y.kind < x.kind OR (y.kind = x.kind AND y.s < x.s))))"
     out = found.withColumn("_scored", scored).withColumn("_passed", F.expr(f"filter(_scored, x -> ({passes}) AND {clear})"))

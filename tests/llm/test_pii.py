@@ -94,3 +94,11 @@ def test_a_telling_word_makes_a_possible_number_personal(documents):
     texts = ["tel 12 345 6789 ok", "rows 12 345 6789 ok"] * 30
     out = {r["doc_id"]: r["spans"] for r in pii.find(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
     assert all(out[i] == ("" if i % 2 else "phone:4:15") for i in range(60))
+
+
+def test_thresholds_cover_candidates_beyond_the_sample(documents, monkeypatch):
+    monkeypatch.setattr(pii, "MODEL_ROWS", 2)
+    texts = ["write a@b.co now"] * 300 + ["we saw jane (at) host (dot) org"] * 9 + ["tel 12 345 6789 ok", "rows 12 345 6789 ok"] * 9
+    out = {r["doc_id"]: r["spans"] for r in pii.find(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert all(out[i] == "email:7:31" for i in range(300, 309))
+    assert all(out[i] == "" for i in range(309, len(texts)))
