@@ -1,4 +1,4 @@
-"""The eleven registered queries of this subpackage, thin wrappers over its operators, and their SQL."""
+"""The twelve registered queries of this subpackage, thin wrappers over its operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -41,6 +41,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = {"byte-bpe-50k": vocabulary("byte_bpe_50k.json")}
+    return token_counts.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), vocabularies)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op7_quality_rules": op7_quality_rules,
     "op5_mixing": op5_mixing,
+    "op10_vocabulary_counts": op10_vocabulary_counts,
     "op10_token_counts": op10_token_counts,
     "op3_sharding": op3_sharding,
     "op9_jaccard_join": op9_jaccard_join,

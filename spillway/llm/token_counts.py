@@ -15,6 +15,7 @@ batch commits nothing but its record; keys whose documents and tokens return to
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,16 +38,33 @@ def bytes_v1(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def library_counts(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
-    """source, lang, tokenizer, tokens of every document by a public vocabulary of the tokenizers library."""
+def library_counts(docs: DataFrame, vocabulary: str, version: str, keep: tuple[str, ...] = (), revised: str | None = None) -> DataFrame:
+    """source, lang, tokenizer, tokens of every document by a public vocabulary of the tokenizers library.
+
+    The columns in keep stay. With revised, a column of revised texts, new_tokens counts those.
+    """
     small_batches(docs.sparkSession)
+    read = docs.select(*keep, "source", "lang", "text", *([F.col(revised).alias("_revised")] if revised else []))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{kinds + ', ' if keep else ''}source string, lang string, tokenizer string, tokens long{', new_tokens long' if revised else ''}"
+    names = [*keep, "source", "lang", "tokenizer", "tokens", *(["new_tokens"] if revised else [])]
 
     def count(batches):
         for batch in batches:
-            n = [len(x) // 4 for x in encoder(vocabulary).ids([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["source", "lang", "tokenizer", "tokens"])
-
-    return docs.select("source", "lang", "text").mapInArrow(count, "source string, lang string, tokenizer string, tokens long")
+            ids = encoder(vocabulary).ids
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            n = [len(x) // 4 for x in ids(texts)]
+            out = [*[batch.column(c) for c in (*keep, "source", "lang")], pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())]
+            if revised:
+                new = [t or "" for t in batch.column("_revised").to_pylist()]
+                other = [i for i, t in enumerate(new) if t != texts[i]]
+                again = n.copy()
+                for i, x in zip(other, ids([new[i] for i in other]), strict=True):
+                    again[i] = len(x) // 4
+                out.append(pa.array(again, pa.int64()))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return read.mapInArrow(count, schema)
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -96,25 +114,32 @@ class Rollup:
         return summed.filter("docs <> 0 or tokens <> 0")
 
 
-def maintained(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Totals after four batches over all documents, two of them sent twice.
+def maintained(docs: DataFrame, labels: DataFrame, vocabularies: dict[str, str] | None = None) -> DataFrame:
+    """Totals after a load by each counter, a deletion and a revision over all documents, two of them sent twice.
 
-    Both counters load every document; toxic documents are deleted; documents with repeated lines are revised to the
-    count of their distinct lines.
+    The word and byte counters and every vocabulary (version to path) load every document; toxic documents are deleted;
+    documents with repeated lines are revised to the words and vocabulary tokens of their distinct lines.
     """
+    spark = docs.sparkSession
     toxic = labels.filter("toxic = 1").select("doc_id").distinct().withColumn("_toxic", F.lit(True))
     text, lines = F.col("text"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     once = F.array_join(F.array_distinct(lines), "\n")
-    counts = docs.select("doc_id", "source", "lang", words_v1(text).alias("words"), bytes_v1(text).alias("bytes"), words_v1(once).alias("once"))
-    counts = counts.join(toxic, "doc_id", "left")
-    rollup = Rollup(docs.sparkSession)
-    state = f"{rollup.path}/counts"
-    counts.write.parquet(state)
-    counts = docs.sparkSession.read.schema(counts.schema).parquet(state)
-    by = {"words-v1": "words", "bytes-v1": "bytes"}
-    one = {v: counts.select("source", "lang", F.lit(v).alias("tokenizer"), F.col(c).alias("tokens"), "_toxic") for v, c in by.items()}
-    gone = inserts(one["words-v1"].filter("_toxic")).unionByName(inserts(one["bytes-v1"].filter("_toxic")))
-    revised = counts.filter("_toxic is null and once <> words").select("source", "lang", F.lit("words-v1").alias("tokenizer"), F.col("words").alias("old_tokens"), F.col("once").alias("new_tokens"))
-    for batch, deltas in (("load-words-v1", inserts(one["words-v1"])), ("load-bytes-v1", inserts(one["bytes-v1"])), ("delete-toxic", deletes(gone)), ("delete-toxic", deletes(gone)), ("revise-lines", revisions(revised)), ("load-words-v1", inserts(one["words-v1"]))):
+    rollup = Rollup(spark)
+
+    def kept(counts: DataFrame, name: str) -> DataFrame:
+        counts = counts.join(toxic, "doc_id", "left")
+        counts.write.parquet(f"{rollup.path}/{name}")
+        return spark.read.schema(counts.schema).parquet(f"{rollup.path}/{name}")
+
+    counts = kept(docs.select("doc_id", "source", "lang", words_v1(text).alias("words"), bytes_v1(text).alias("bytes"), words_v1(once).alias("once")), "counts")
+    by = {"words-v1": ("words", "once"), "bytes-v1": ("bytes", "bytes")}
+    one = {v: counts.select("source", "lang", F.lit(v).alias("tokenizer"), F.col(c).alias("tokens"), F.col(o).alias("new_tokens"), "_toxic") for v, (c, o) in by.items()}
+    for version, path in (vocabularies or {}).items():
+        one[version] = kept(library_counts(docs.withColumn("_once", once), path, version, ("doc_id",), "_once"), f"counts-{version}").drop("doc_id")
+    every = reduce(DataFrame.unionByName, one.values())
+    gone = inserts(every.filter("_toxic"))
+    revised = every.filter("_toxic is null and new_tokens <> tokens").withColumnRenamed("tokens", "old_tokens")
+    loads = [(f"load-{v}", inserts(c)) for v, c in one.items()]
+    for batch, deltas in (*loads, ("delete-toxic", deletes(gone)), ("delete-toxic", deletes(gone)), ("revise-lines", revisions(revised)), loads[0]):
         rollup.commit(batch, deltas)
     return rollup.totals()

@@ -71,3 +71,27 @@ def test_library_counts(documents, odd_rows):
     out = token_counts.library_counts(documents(odd_rows), vocabulary("byte_bpe_50k.json"), "bpe")
     assert out.agg(F.sum("tokens")).first()[0] == sum(len(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows)
     assert token_counts.maintained(documents([]), documents([]).selectExpr("doc_id", "0 AS toxic")).count() == 0
+
+
+def test_vocabulary_rollup_matches_brute_force(spark, documents, odd_rows, tmp_path):
+    from spillway.llm import queries
+    from spillway.llm._tokens import Encoder
+
+    rows = [*odd_rows, (30, "one two\none two\nthree", "en", "a"), (31, "bad words\nbad words", "en", "a"), (32, "été\n日本\nété", "fr", "b")]
+    toxic = {31, 8}
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in [*toxic, 31]] + [(30, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    lib = Encoder(vocabulary("byte_bpe_50k.json")).library
+    counters = {
+        "words-v1": lambda t, once: len(W.findall(once)),
+        "bytes-v1": lambda t, once: len(t.encode()),
+        "byte-bpe-50k": lambda t, once: len(lib.encode(once, add_special_tokens=False).ids),
+    }
+    want = {}
+    for i, t, lang, source in rows:
+        for v, f in counters.items() if i not in toxic else ():
+            d, n = want.get((source, lang, v), (0, 0))
+            t = t or ""
+            want[(source, lang, v)] = (d + 1, n + f(t, "\n".join(dict.fromkeys(t.split("\n")))))
+    out = queries.QUERIES["op10_vocabulary_counts"](spark, str(tmp_path)).collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in out} == want
