@@ -262,8 +262,11 @@ def gpd_profile(over: DataFrame, grid: int = 401) -> DataFrame:
     return over.select("series_id", "y").groupBy("series_id").applyInPandas(fit, "series_id string, n long, xi double, beta double, xi_low double, xi_high double, at_bound boolean")
 
 
-def mcmc(series: DataFrame, chains: int = 4, draws: int = 2000, burn: int = 500, prior_sd: float = 2.0) -> DataFrame:
-    """Random-walk Metropolis for the log-Pearson parameters, one group a series and chain: chain, draw, parameter, value."""
+def mcmc(series: DataFrame, chains: int = 4, draws: int = 30_000, burn: int = 10_000, prior_sd: float = 2.0, pilot: int = 5_000) -> DataFrame:
+    """Random-walk Metropolis for the log-Pearson parameters, one group a series and chain: chain, draw, parameter, value.
+
+    A pilot run, the same for all chains of a series, gives the covariance of the proposals; draws are counted after burn.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sid, chain = key
@@ -278,15 +281,22 @@ def mcmc(series: DataFrame, chains: int = 4, draws: int = 2000, burn: int = 500,
             return -v - 0.5 * (((p - at0) / width) ** 2).sum()
 
         step = np.array([s / math.sqrt(len(y)), 1 / math.sqrt(2 * len(y)), math.sqrt(6 / len(y))])
-        p = at0 + 0.1 * step * rng.standard_normal(3)
-        lp, kept, taken = logp(p), np.empty((draws, 3)), 0
-        for i in range(burn + draws):
-            new = p + step * rng.standard_normal(3)
-            ln = logp(new)
-            if math.log(rng.random()) < ln - lp:
-                p, lp, taken = new, ln, taken + 1
-            if i >= burn:
-                kept[i - burn] = p
+
+        def walk(p, n, root, rng):
+            lp, path, taken = logp(p), np.empty((n, 3)), 0
+            for i in range(n):
+                new = p + root @ rng.standard_normal(3)
+                ln = logp(new)
+                if math.log(rng.random()) < ln - lp:
+                    p, lp, taken = new, ln, taken + 1
+                path[i] = p
+            return path, taken
+
+        tried, _ = walk(at0, pilot, np.diag(step), stream(f"mcmc:{sid}:pilot"))
+        cov = np.cov(tried[pilot // 2 :].T) + 1e-12 * np.diag(step**2)
+        root = np.linalg.cholesky(cov * 2.38**2 / 3)
+        path, taken = walk(tried[-1] + np.linalg.cholesky(cov) @ rng.standard_normal(3), burn + draws, root, rng)
+        kept = path[burn:].copy()
         kept[:, 1] = np.exp(kept[:, 1])
         names = ("mean_log", "sd_log", "skew_log")
         return pd.DataFrame({"series_id": sid, "chain": chain, "draw": np.tile(np.arange(draws), 3), "parameter": np.repeat(names, draws), "value": kept.T.ravel(), "acceptance": taken / (burn + draws)})

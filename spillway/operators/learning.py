@@ -18,12 +18,12 @@ def models(seed: int = 7) -> dict[str, object]:
     return {
         "linear": LinearRegression(**own, solver="normal"),
         "ridge": LinearRegression(**own, regParam=1.0, elasticNetParam=0.0, solver="normal"),
-        "forest": RandomForestRegressor(**own, numTrees=40, minInstancesPerNode=3, seed=seed),
-        "boosting": GBTRegressor(**own, maxIter=20, stepSize=0.05, maxDepth=2, subsamplingRate=0.8, seed=seed),
+        "forest": RandomForestRegressor(**own, numTrees=400, minInstancesPerNode=3, seed=seed),
+        "boosting": GBTRegressor(**own, maxIter=300, stepSize=0.05, maxDepth=2, subsamplingRate=0.8, seed=seed),
     }
 
 
-def forecasts(series: DataFrame, names: tuple[str, ...] = ("linear", "ridge", "forest", "boosting"), k: int = 3) -> DataFrame:
+def forecasts(series: DataFrame, names: tuple[str, ...] = ("linear", "ridge", "forest", "boosting"), k: int = 5) -> DataFrame:
     """Out-of-fold predictions of each model, fitted over all series together; the driver loops over models and folds only."""
     data = folds(lag_features(series), k).cache()
     columns = [c for c in data.columns if c not in ("series_id", "t", "q", "fold", "role")]

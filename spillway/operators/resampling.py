@@ -30,7 +30,7 @@ def draws(series: DataFrame, reps: int) -> DataFrame:
     return dense.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("rep", F.col("rep").cast("long"))
 
 
-def case_resamples(series: DataFrame, reps: int = 200, seed: int = 20250101) -> DataFrame:
+def case_resamples(series: DataFrame, reps: int = 2000, seed: int = 20250101) -> DataFrame:
     """B resamples of each record: moments and percentiles per replicate, from an in-row fold of hashed indices."""
     d = draws(series, reps)
     index = hash_bits("rep", "i", seed, "(({0}) ^ ({1}))", "shiftright({0}, {1})")
@@ -38,7 +38,7 @@ def case_resamples(series: DataFrame, reps: int = 200, seed: int = 20250101) ->
     return d.select("series_id", "rep", F.explode("x").alias("q"))
 
 
-def moment_replicates(series: DataFrame, reps: int = 200, seed: int = 20250101) -> DataFrame:
+def moment_replicates(series: DataFrame, reps: int = 2000, seed: int = 20250101) -> DataFrame:
     df = case_resamples(series, reps, seed)
     g = df.groupBy("series_id", "rep").agg(F.avg("q").alias("mean"), F.stddev_samp("q").alias("sd"), F.skewness("q").alias("skew"), F.kurtosis("q").alias("kurtosis"))
     return g.withColumn("cv", F.col("sd") / F.col("mean"))
@@ -82,7 +82,7 @@ def studentised_interval(replicates: DataFrame, points: DataFrame, level: float
     return g.select("series_id", "period", "point", F.coalesce(F.col("point") - F.col("_t")[1] * F.col("_se"), F.col("_p")[0]).alias("low"), F.coalesce(F.col("point") - F.col("_t")[0] * F.col("_se"), F.col("_p")[1]).alias("high"))
 
 
-def parametric_resamples(series: DataFrame, reps: int = 200, seed: int = 20250102) -> DataFrame:
+def parametric_resamples(series: DataFrame, reps: int = 2000, seed: int = 20250102) -> DataFrame:
     """Records of the same length simulated from the log-Pearson fit by moments, by hashed uniforms."""
     fit = log_moments(series)
     u = f"((({hash_bits('rep', 'i', seed, '(({0}) ^ ({1}))', 'shiftright({0}, {1})')}) + 0.5D) / 2147483648.0D)"
@@ -91,7 +91,7 @@ def parametric_resamples(series: DataFrame, reps: int = 200, seed: int = 2025010
     return df.select("series_id", "rep", F.col("i").cast("int").alias("t"), F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "u") * F.col("sd_log")).alias("q"))
 
 
-def lp3_intervals(series: DataFrame, reps: int = 200) -> DataFrame:
+def lp3_intervals(series: DataFrame, reps: int = 2000) -> DataFrame:
     """Parametric bootstrap of the log-Pearson values: every replicate is fitted anew by moments."""
     sim = parametric_resamples(series, reps).withColumn("series_id", F.concat_ws("#", "series_id", F.col("rep").cast("string"))).drop("rep")
     fit = periods(log_moments(sim)).withColumn("p", 1 - 1 / F.col("period"))
@@ -99,7 +99,7 @@ def lp3_intervals(series: DataFrame, reps: int = 200) -> DataFrame:
     return percentile_interval(q)
 
 
-def fan(series: DataFrame, reps: int = 200) -> DataFrame:
+def fan(series: DataFrame, reps: int = 500) -> DataFrame:
     """5, 25, 50, 75 and 95 % of the empirical T-values of simulated records."""
     q = quantile_replicates(parametric_resamples(series, reps))
     at = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -107,18 +107,18 @@ def fan(series: DataFrame, reps: int = 200) -> DataFrame:
     return g.select("series_id", "period", *[F.col("_p")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)])
 
 
-def coverage(series: DataFrame, reps: int = 50) -> DataFrame:
-    """The share of simulated records whose analytic limits hold the parent's own value."""
+def coverage(series: DataFrame, reps: int = 200, inner: int = 500) -> DataFrame:
+    """Double bootstrap: the share of simulated records whose percentile limits, of `inner` resamples, hold the parent's own value."""
     from .frequency import lp3
 
     truth = lp3(series).select("series_id", "period", F.col("q").alias("truth"))
     sim = parametric_resamples(series, reps).withColumn("series_id", F.concat_ws("#", "series_id", F.col("rep").cast("string"))).drop("rep")
-    inner = lp3(sim).select(F.substring_index("series_id", "#", 1).alias("series_id"), "period", "q_low", "q_high")
-    df = inner.join(truth, ["series_id", "period"])
-    return df.groupBy("series_id", "period").agg(F.count(F.lit(1)).alias("reps"), F.avg(F.col("truth").between(F.col("q_low"), F.col("q_high")).cast("double")).alias("coverage"))
+    limits = percentile_interval(quantile_replicates(case_resamples(sim, inner)))
+    df = limits.select(F.expr("regexp_replace(series_id, '#[0-9]+$', '')").alias("series_id"), "period", "low", "high").join(truth, ["series_id", "period"])
+    return df.groupBy("series_id", "period").agg(F.count(F.lit(1)).alias("reps"), F.avg(F.col("truth").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"))
 
 
-def block_resamples(series: DataFrame, reps: int = 100, block: int = 5, seed: int = 20250103) -> DataFrame:
+def block_resamples(series: DataFrame, reps: int = 2000, block: int = 5, seed: int = 20250103) -> DataFrame:
     """Circular block bootstrap: (series_id, rep, t, q) in resampled order."""
     d = draws(series, reps)
     h = hash_bits("rep", "(i div " + str(block) + ")", seed, "(({0}) ^ ({1}))", "shiftright({0}, {1})")
@@ -136,9 +136,21 @@ def split_r_hat(chains: DataFrame) -> DataFrame:
     return o.select("series_id", "parameter", F.when(F.col("w") > 0, F.sqrt(((F.col("c") - 1) / F.col("c") * F.col("w") + F.col("b")) / F.col("w"))).alias("r_hat"))
 
 
-def posterior(chains: DataFrame) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    g = chains.groupBy("series_id", "parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), p.alias("_p"))
-    return g.select("series_id", "parameter", "mean", "sd", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("high"))
+def effective_draws(chains: DataFrame) -> DataFrame:
+    """The effective number of draws of all chains together, by the variance of the means of batches of sqrt(n) draws."""
+    by = W.partitionBy("series_id", "parameter", "chain")
+    df = chains.withColumn("_b", F.floor(F.sqrt(F.count(F.lit(1)).over(by)))).withColumn("_batch", F.floor(F.col("draw") / F.col("_b")))
+    g = df.groupBy("series_id", "parameter", "chain", "_batch").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count(F.lit(1)).alias("c"), F.first("_b").alias("b")).filter("c = b")
+    o = g.groupBy("series_id", "parameter").agg(F.sum("c").alias("n"), (F.avg("v") + F.var_samp("m")).alias("v"), (F.first("b") * F.var_samp("m")).alias("s"))
+    return o.select("series_id", "parameter", F.when(F.col("s") > 0, F.least(F.col("n"), F.col("n") * F.col("v") / F.col("s"))).alias("ess"))
 
 
+def posterior(chains: DataFrame, max_r_hat: float = 1.01, min_ess: float = 400.0, band: tuple[float, float] = (0.15, 0.40)) -> DataFrame:
+    """Moments and, if all of a series' parameters pass R-hat, effective draws and the rate of acceptance, quantiles."""
+    p = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    g = chains.groupBy("series_id", "parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), p.alias("_p"), F.avg("acceptance").alias("acceptance"))
+    g = g.join(split_r_hat(chains), ["series_id", "parameter"], "left").join(effective_draws(chains), ["series_id", "parameter"], "left")
+    ok = F.coalesce((F.col("r_hat") <= max_r_hat) & (F.col("ess") >= min_ess) & F.col("acceptance").between(*band), F.lit(False))
+    g = g.withColumn("accepted", F.min(ok).over(W.partitionBy("series_id")))
+    q = [F.when(F.col("accepted"), F.col("_p")[k]).alias(name) for k, name in enumerate(("low", "median", "high"))]
+    return g.select("series_id", "parameter", "mean", "sd", *q, "r_hat", "ess", "acceptance", "accepted")

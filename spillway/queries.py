@@ -282,13 +282,14 @@ query("gpd_profile", lambda s, d: kernels.gpd_profile(thresholds.exceedances(bas
 _HASH = hash_bits("rep", "i", 20250101, "xor({0}, {1})", "(({0}) >> {1})")
 query("bootstrap_moments", lambda s, d: resampling.moment_replicates(events(s, d), 50).select("series_id", "rep", "mean", "sd", "cv"), f"""WITH {_EVENTS}, g AS (SELECT series_id, n, UNNEST(range(50)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), r AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM i)
 SELECT r.series_id, rep, avg(q) AS mean, stddev_samp(q) AS sd, stddev_samp(q) / avg(q) AS cv FROM r JOIN s ON r.series_id = s.series_id AND r.t = s.t GROUP BY 1, 2""", digits=4, columns="mean sd cv")
-query("bootstrap_intervals", lambda s, d: resampling.percentile_interval(resampling.quantile_replicates(resampling.case_resamples(events(s, d), 50))))
-query("lp3_intervals", lambda s, d: resampling.lp3_intervals(events(s, d), 50))
-query("monte_carlo_fan", lambda s, d: resampling.fan(events(s, d), 50))
-query("coverage", lambda s, d: resampling.coverage(events(s, d), 20))
-query("block_bootstrap", lambda s, d: resampling.block_resamples(events(s, d), 10))
+query("bootstrap_moments_whole", lambda s, d: resampling.moment_replicates(events(s, d)).select("series_id", "rep", "mean", "sd", "cv"), digits=4)
+query("bootstrap_intervals", lambda s, d: resampling.percentile_interval(resampling.quantile_replicates(resampling.case_resamples(events(s, d)))))
+query("lp3_intervals", lambda s, d: resampling.lp3_intervals(events(s, d)))
+query("monte_carlo_fan", lambda s, d: resampling.fan(events(s, d)))
+query("coverage", lambda s, d: resampling.coverage(events(s, d)))
+query("block_bootstrap", lambda s, d: resampling.block_resamples(events(s, d)))
 query("searched_fits", lambda s, d: kernels.searched_fits(events(s, d)), digits=3)
 query("exact_factors", lambda s, d: kernels.exact_factors(moments.log_moments(events(s, d)).withColumnRenamed("skew_log", "skew")))
-query("posterior", lambda s, d: resampling.posterior(kernels.mcmc(events(s, d), 2, 500, 200)), digits=3)
-query("r_hat", lambda s, d: resampling.split_r_hat(kernels.mcmc(events(s, d), 2, 500, 200)), digits=3)
-query("learned_scores", lambda s, d: learning.score_table(learning.forecasts(events(s, d), ("linear", "ridge", "forest", "boosting"), 2)), digits=3)
+query("posterior", lambda s, d: resampling.posterior(kernels.mcmc(events(s, d)).cache()), digits=3)
+query("r_hat", lambda s, d: resampling.split_r_hat(kernels.mcmc(events(s, d))), digits=3)
+query("learned_scores", lambda s, d: learning.score_table(learning.forecasts(events(s, d), ("linear", "ridge", "forest", "boosting"))), digits=3)

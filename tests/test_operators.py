@@ -212,3 +212,25 @@ def test_synthetic_series_are_positive_and_fixed(spark):
     assert a.filter("q <= 0").count() == 0
     b = series.synthetic(spark, 200, seed=3, loc=1.0, scale=5.0).repartition(5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_the_references_numbers_are_the_defaults():
+    import inspect
+
+    from spillway.operators import learning
+
+    default = lambda f, k: inspect.signature(f).parameters[k].default
+    for f in (resampling.case_resamples, resampling.moment_replicates, resampling.parametric_resamples, resampling.lp3_intervals, resampling.block_resamples):
+        assert default(f, "reps") == 2000
+    assert default(resampling.fan, "reps") == 500
+    assert (default(resampling.coverage, "reps"), default(resampling.coverage, "inner")) == (200, 500)
+    assert [default(kernels.mcmc, k) for k in ("chains", "draws", "burn", "pilot")] == [4, 30_000, 10_000, 5_000]
+    assert default(learning.forecasts, "k") == 5
+
+
+def test_posterior_quantiles_are_withheld_from_chains_that_do_not_mix(spark):
+    r = np.random.default_rng(1)
+    rows = [(sid, "p", c, i, float(r.standard_normal() + (3 * c if sid == "bad" else 0)), 0.3) for sid in ("good", "bad") for c in range(4) for i in range(1500)]
+    out = {x["series_id"]: x for x in resampling.posterior(spark.createDataFrame(rows, "series_id string, parameter string, chain int, draw int, value double, acceptance double")).collect()}
+    assert out["good"]["accepted"] and abs(out["good"]["median"]) < 0.1 and out["good"]["ess"] > 2000
+    assert not out["bad"]["accepted"] and out["bad"]["low"] is None and out["bad"]["median"] is None
