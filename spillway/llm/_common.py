@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _own: dict[str, str] = {}
+_open: list[list[str]] = []
 
 #: Rows of an Arrow batch handed to Python; whole texts are long, so fewer than Spark's default.
 BATCH_ROWS = 1000
@@ -37,13 +40,37 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df into the shared folder and read it back: cuts the lineage, and nothing is evaluated twice."""
+    """Write df into the shared folder and read it back: cuts the lineage, and nothing is evaluated twice.
+
+    Within scratch(), the table is listed there, for discard() after its last reader.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.option("compression", codec).parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths of the tables that materialize() writes in the block."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of scratch() that nothing reads any more; the list is emptied."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

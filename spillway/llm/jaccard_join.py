@@ -41,8 +41,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import materialize, small_batches
+from ._common import discard, materialize, scratch, small_batches
 
 WORDS = 5
 #: Frequent shingles that the broadcast order knows: 16 bytes each.
@@ -55,10 +56,12 @@ ROUNDS = 2
 PROPOSALS = 4
 #: Index entries of a bucket.
 BUCKET = 500_000
-#: Pairs of a leader that one task verifies.
+#: Entries of a longer list that meet in one task; longer ones are dealt out in blocks, and blocks meet two by two.
+BLOCK = 2000
+#: Pairs of a leader, or leaders of a set, that one task verifies.
 DEGREE = 2000
-#: Rows of an identifier table that may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of an identifier table that may be broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 48 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 _ENTRY = [("token", np.uint32), ("cls", np.int64), ("size", np.uint32), ("pos", np.uint32), ("prev", np.uint32)]
 
@@ -297,12 +300,12 @@ def _candidates(index: DataFrame, buckets: int) -> DataFrame:
         if kept:
             yield from lists_of(last, np.concatenate(kept))
 
-    dealt = index.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = index.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     return materialize(dealt.mapInArrow(meet, CANDIDATES), "jaccard-candidates")
 
 
 def _by_list(entries: DataFrame, columns: tuple[str, ...], pairs_of) -> DataFrame:
-    """Pairs (a, b) that pairs_of(run, columns by name) yields for every list of the entries, sorted by size."""
+    """Pairs (a, b) that pairs_of(run, columns by name) yields for every (token, block) of the entries, sorted by size."""
 
     def meet(batches):
         kept, last = [], None
@@ -317,24 +320,31 @@ def _by_list(entries: DataFrame, columns: tuple[str, ...], pairs_of) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            token = batch.column("token").to_numpy()
+            token, block = batch.column("token").to_numpy(), batch.column("block").to_numpy()
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-            edge = [0, *(np.flatnonzero(np.diff(token)) + 1), len(token)]
+            edge = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1), len(token)]
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 if i == j:
                     continue
-                if kept and token[i] != last:
+                if kept and (token[i], block[i]) != last:
                     yield from answered(kept)
                     kept = []
-                last = token[i]
+                last = (token[i], block[i])
                 kept.append([c[i:j] for c in cols])
         if kept:
             yield from answered(kept)
 
-    dealt = entries.select("token", *columns).repartition("token").sortWithinPartitions("token", "size", "cls")
+    dealt = entries.select("token", "block", *columns).repartition("token", "block").sortWithinPartitions("token", "block", "size", "cls")
     return dealt.mapInArrow(meet, "a long, b long")
 
 
+def _open_lists(known: DataFrame) -> DataFrame:
+    """known: the long lists with labels. Those with more than one label, with `blocks`, how many blocks they make, and own."""
+    lists = known.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    lists = lists.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return known.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+
 def _proposals(known: DataFrame, turn: int) -> DataFrame:
     """known: the long lists with labels. (a, b): sets b with members a of other components, at most PROPOSALS each.
 
@@ -360,7 +370,8 @@ def _proposals(known: DataFrame, turn: int) -> DataFrame:
         fits = 4 * np.minimum(s, t) >= 3 * np.maximum(s, t)
         return np.stack([a["cls"], b["cls"]], axis=1)[fits]
 
-    asked = _by_list(known, ("cls", "size", "pos", "prev", "label"), pairs_of).groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    dealt = _open_lists(known).withColumn("block", F.col("own").cast("long"))
+    asked = _by_list(dealt, ("cls", "size", "pos", "prev", "label"), pairs_of).groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), asc=False), 1, PROPOSALS)
     return asked.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
 
@@ -368,16 +379,20 @@ def _proposals(known: DataFrame, turn: int) -> DataFrame:
 def _between(known: DataFrame) -> DataFrame:
     """known: the long lists with labels, leaders, bounds low and high of what a set shares with its leader, and bitmaps.
 
-    Pairs between different labels that neither the leaders' answers nor the bitmaps settle.
+    Pairs between different labels that neither the leaders' answers nor the bitmaps settle. Block p meets block q >= p
+    in a group of their own, so no task holds more than two blocks of a list.
     """
 
     def pairs_of(run, rows):
-        label, lead, low, high, bitmap = (rows[c] for c in ("label", "lead", "low", "high", "bitmap"))
+        label, lead, low, high, bitmap, own = (rows[c] for c in ("label", "lead", "low", "high", "bitmap", "own"))
         if len(np.unique(label)) == 1:
             return np.zeros((0, 2), np.int64)
+        two = own.min() != own.max()
         at, size, found = {c: k for k, c in enumerate(run["cls"].tolist())}, run["size"].astype(np.int64), [np.zeros((0, 2), np.int64)]
         for x in _pairs_within(run, label):
             i, j = at[int(x[0, 0])], np.array([at[c] for c in x[:, 1].tolist()])
+            if two:  # pairs within a block have a group of their own
+                x, j = x[own[j] != own[i]], j[own[j] != own[i]]
             most = np.minimum(high[i] + size[j] - low[j], high[j] + size[i] - low[i])
             still = (lead[i] != lead[j]) | (most >= need(size[i], size[j]))
             for k in np.flatnonzero(still):
@@ -385,7 +400,9 @@ def _between(known: DataFrame) -> DataFrame:
             found.append(x[still])
         return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
-    return _by_list(known, ("cls", "size", "pos", "prev", "label", "lead", "low", "high", "bitmap"), pairs_of)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = known.withColumn("_other", other).withColumn("block", F.least("own", "_other").cast("long") * F.col("blocks") + F.greatest("own", "_other"))
+    return _by_list(dealt, ("cls", "size", "pos", "prev", "label", "lead", "low", "high", "bitmap", "own"), pairs_of)
 
 
 def _bounded(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -404,17 +421,23 @@ def _bounded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(bound, "a long, b long, most long, possible boolean"), "jaccard-bounds")
 
 
+def _small(table: DataFrame, n: str) -> DataFrame:
+    """A written table, broadcast if its rows and the 24 bytes of each of their n entries are few enough."""
+    held = table.agg(F.sum(F.expr(n) * 24 + 64)).head()[0] or 0
+    return F.broadcast(table) if held <= BROADCAST_BYTES else table
+
+
 def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, shared and linked of every pair (a, b). members: cls, doc_id of one document of each class."""
-    degree = F.count(F.lit(1)).alias("degree")
-    leaders = pairs.groupBy("a").agg(degree).withColumn("salts", F.ceil(F.col("degree") / DEGREE).cast("int"))
-    salted = pairs.join(leaders, "a").select("b", F.struct(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")).alias("to"))
+    degree = F.count(F.lit(1))
+    leaders = pairs.groupBy("a").agg(F.ceil(degree / DEGREE).cast("int").alias("salts"))
+    led = pairs.groupBy("b").agg(F.ceil(degree / DEGREE).cast("int").alias("parts"))
+    salted = pairs.join(leaders, "a").join(led, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.struct(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind")).alias("to"))
     own = leaders.select(F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    own = own.select("b", F.struct(F.col("b").alias("lead"), "salt", F.lit(0).alias("kind")).alias("to"))
-    wanted = salted.unionByName(own).groupBy(F.col("b").alias("cls")).agg(F.collect_list("to").alias("to"))
-    wanted = materialize(wanted.join(members.select("cls", "doc_id"), "cls"), "jaccard-wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = _texts(docs).join(side, "doc_id").select("text", "cls", "to")
+    own = own.select("b", F.floor(F.col("salt") / DEGREE).cast("int").alias("part"), F.struct(F.col("b").alias("lead"), "salt", F.lit(0).alias("kind")).alias("to"))
+    wanted = salted.unionByName(own).groupBy(F.col("b").alias("cls"), "part").agg(F.collect_list("to").alias("to"))  # about DEGREE entries a row
+    wanted = materialize(wanted.join(members.select("cls", "doc_id"), "cls").drop("part"), "jaccard-wanted")
+    texts = _texts(docs).join(_small(wanted, "size(to)"), "doc_id").select("text", "cls", "to")
     rows = pa.schema([("lead", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("cls", pa.int64()), ("body", pa.binary())])
 
     def send(batches):
@@ -461,14 +484,18 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the least node that is reachable) of every node of the undirected links (a, b)."""
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-    state = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "component-labels")
+    spark = links.sparkSession
+    with scratch() as used:
+        edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
+        first = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    state = materialize(first, "component-labels")
     while True:
         told = edges.join(state.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("was"))
         low = told.unionByName(state.withColumn("was", F.col("label"))).groupBy("node").agg(F.max("was").alias("was"), F.min("label").alias("low"))
         jump = state.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = materialize(low.join(jump, "low").select("node", "was", F.least("low", "far").alias("label")), "component-labels")
         if not new.filter("label <> was").limit(1).count():
+            discard(spark, used)
             return new.select("node", "label")
         state = new.select("node", "label")
 
@@ -507,34 +534,62 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = labelled(links)
     known = known.join(led, known["cls"] == led["led"], "left")
     known = known.withColumns({"lead": F.coalesce("lead", "cls"), "low": F.coalesce("low", "size").cast("long"), "high": F.coalesce("high", "size").cast("long")})
-    known = known.join(members.select("cls", "bitmap"), "cls")
+    known = _open_lists(known).join(members.select("cls", "bitmap"), "cls")
     more = materialize(_between(known).distinct(), "jaccard-between")
     if more.limit(1).count():
         links = links.unionByName(_verify(docs, members, more).filter("linked").select("a", "b"))
     return rows, links
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, n, cls and least (the component's least identifier) of every document, written."""
+    spark = docs.sparkSession
+    with scratch() as used:
+        rows, links = link_classes(docs)
+        labels = components(links)
+        labelled = rows.join(labels, rows["cls"] == labels["node"], "left").select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("group"))
+        least = labelled.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+        out = labelled.join(least, "group", "left")
+    out = materialize(out.select("doc_id", "n", "cls", "group", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least")), "jaccard-joined")
+    discard(spark, used)
+    return out
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least identifier reachable by links) of every document."""
-    rows, links = link_classes(docs)
-    labels = components(links)
-    labelled = rows.join(labels, rows["cls"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cls").alias("group"))
-    least = labelled.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    joined = labelled.join(least, "group", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return _labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the least identifier. Documents without an identifier all stay.
+    """One document of each component: the least identifier, with its least class if it has several. All columns stay.
 
-    Of rows that repeat an identifier and a text, one stays; another text under that identifier is another document.
+    Documents without an identifier all stay. Of rows that repeat an identifier and a text, one stays; another text under
+    that identifier is another document, which stays if its component has none with a lesser identifier. The texts stay in
+    place: they are held against the identifiers that go, or those that occur more than once.
     """
-    found = materialize(join(docs), "jaccard-joined")
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    names = docs.columns
-    stay = docs.join(kept.select("_kept"), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").select(*names)
-    if kept.filter("_n > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id", "text"])
-    return stay.unionByName(docs.filter("doc_id is null"))
+    found = _labelled(docs).filter("doc_id is not null")
+    best = found.filter("doc_id = least and group is not null").groupBy("group").agg(F.min("cls").alias("best")).select(F.col("group").alias("_g"), "best")
+    found = found.join(best, F.col("group") == F.col("_g"), "left").withColumn("stays", F.coalesce((F.col("doc_id") == F.col("least")) & (F.col("cls") == F.col("best")), F.col("group").isNull()))
+    ids = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")), "jaccard-ids")
+    again = ids.filter("rows > 1").select(F.col("doc_id").alias("_id"))
+    gone = materialize(ids.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id")), "jaccard-gone")
+    own = docs["doc_id"].cast("long")
+    stay = docs.join(_small(gone, "1"), own == F.col("_id"), "left_anti")
+    if not again.limit(1).count():
+        return stay
+    several = docs.join(again, own == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kinds = materialize(found.join(again, F.col("doc_id") == F.col("_id"), "left_semi").filter("stays").select("doc_id", F.coalesce("cls", F.lit(0)).alias("cls")).distinct(), "jaccard-several")
+    at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
+    packed = several.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+    def classed(batches):
+        shingler = Shingler()
+        for batch in batches:
+            sets = [shingler.set_of(t)[0] for t in batch.column(0).field(at).to_pylist()]
+            cls = [class_of(x) if len(x) else 0 for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(id_at).cast(pa.int64()), pa.array(cls, pa.int64())], names=["_row", "_id", "_cls"])
+
+    schema = T.StructType([*packed.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_cls", T.LongType())])
+    rows = packed.mapInArrow(classed, schema)
+    kept = rows.join(kinds, (rows["_id"] == kinds["doc_id"]) & (rows["_cls"] == kinds["cls"]), "left_semi")
+    return stay.unionByName(kept.select("_row.*"))

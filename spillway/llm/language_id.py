@@ -1,16 +1,19 @@
 """Language identification by word-first backoff.
 
 A known word scores by its log frequency in each language. An unseen word backs off to character n-grams of the
-word between boundary marks: the longest order, from five letters down to one, of which it has a known n-gram, decides
-by the mean log frequency of those. A text's score for a language is the sum over all its words; the prediction is the
-best language (ties: the first by name), `score` the posterior under equal priors.
+word between boundary marks: the longest order, from five characters down to one, of which it has a known n-gram, decides
+by the mean log frequency of those; a mark alone is no n-gram. A word of which nothing is known says nothing. A text's
+score for a language is the sum over all its words; the prediction is the best language (ties: the first by name),
+`score` the posterior under equal priors, or 0 if nothing is known of any word.
 
 Fitting uses a bounded sample of labelled rows: about PER_LANGUAGE rows of each language, chosen by a hash of the
-identifier, and keeps the KEEP most frequent words and n-grams. Every row is predicted on its whole text.
+identifier. All their words and n-grams are kept, by 64-bit hashes, with a frequency for each language that has them, so
+the model is as large as the sample's vocabulary. Its number of languages is the number of distinct labels. Every row is
+predicted on its whole text.
 
 Cases: null texts and texts without a letter are `und` with score 0, and so is every text where no labelled row exists;
 null languages and null identifiers are never learned from; repeated rows are predicted alike; other columns are not
-read.
+read, and the stage adds none, so no name can clash.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +34,14 @@ from ._common import small_batches
 
 #: The bound of the sample that the model is fitted on, in rows of each language.
 PER_LANGUAGE = 500
-#: Words and n-grams that the model keeps, the most frequent first.
-KEEP = 200_000
 LONGEST = 5
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+_ASCII = re.compile("[a-z]+")
 _CHUNK = 500_000
+_MARKS = (ord("^"), ord("$"))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def held_out():
@@ -44,68 +51,119 @@ def held_out():
 
 def _words(text: str):
     """Words of the whole text, in lists of bounded length."""
+    pattern = _ASCII if text.isascii() else _WORD
     if len(text) < _CHUNK:
-        yield _WORD.findall(text.lower())
+        yield pattern.findall(text.lower())
         return
-    found = _WORD.finditer(text.lower())
+    found = pattern.finditer(text.lower())
     while words := [m[0] for m in islice(found, _CHUNK)]:
         yield words
 
 
-def _grams(word: str, n: int) -> list[str]:
-    marked = f"^{word}$"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of whole words, order 0."""
+    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
+
+
+class Grams:
+    """The marked words one after the other, and their n-grams of any order as (word, hash)."""
+
+    def __init__(self, words: list[str]):
+        self.codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32)
+        self.word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+
+    def of(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.codes) - order + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        inside = self.word[:n] == self.word[order - 1 :]
+        if order == 1:
+            inside = ~np.isin(self.codes, _MARKS)
+        at = np.flatnonzero(inside)
+        h = np.full(len(at), order, np.uint64)
+        for k in range(order):
+            h = (h ^ (h >> np.uint64(29))) * _BASE + self.codes[at + k].astype(np.uint64) * _MIX
+        return self.word[at], h ^ (h >> np.uint64(32))
 
 
 class LanguageModel:
-    """Log frequencies of known words (order 0) and n-grams, a row each, a column for each language in name order."""
-
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
-        """counts: (language, order, gram, count), order 0 for whole words."""
-        self.languages = sorted({c[0] for c in counts})
-        place = {x: k for k, x in enumerate(self.languages)}
-        tables: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
-        for lang, order, gram, n in counts:
-            row = tables[order].setdefault(gram, np.zeros(len(place)))
-            row[place[lang]] += n
-        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        logs, first = [np.zeros((0, len(place)))], 0
-        for order, rows in tables.items():
-            m = np.array(list(rows.values()))
-            logs.append(np.log(m + 0.5) - np.log(m.sum(axis=0) + 0.5 * len(m)))
-            self.at[order] = {gram: first + k for k, gram in enumerate(rows)}
-            first += len(m)
-        self.logs = np.concatenate(logs).astype(np.float32)
-
-    def rows_of(self, word: str) -> list[int]:
-        """The rows whose mean scores a word: its own, else those of its longest known n-grams."""
-        known = self.at[0].get(word)
-        if known is not None:
-            return [known]
-        marked = f"^{word}$"
-        for n in range(LONGEST, 0, -1):
-            at = self.at[n]
-            if found := [at[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in at]:
-                return found
-        return []
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        rows = [self.rows_of(w) for w in words]
-        sizes = np.array([len(r) for r in rows])
-        out = np.zeros((len(words), self.logs.shape[1]), dtype=np.float32)
-        if sizes.any():
-            first = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
-            out[sizes > 0] = np.add.reduceat(self.logs[[k for r in rows for k in r]], first) / sizes[sizes > 0, None]
-        return out
+    """Log frequencies of known words (order 0) and n-grams: a row each, with the languages that have it."""
+
+    def __init__(self, languages: list[str], lang: np.ndarray, order: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        """Counts in columns: place of the language in languages (sorted by name), order, hash and count."""
+        self.languages = languages
+        at = np.argsort(gram, kind="stable")
+        lang, order, gram, n = lang[at], order[at], gram[at], n[at].astype(np.float64)
+        self.grams, first = np.unique(gram, return_index=True)
+        self.begin = np.append(first, len(gram))
+        self.lang = lang.astype(np.int32)
+        self.value = (np.log(n + 0.5) - math.log(0.5)).astype(np.float32)
+        total = np.zeros((LONGEST + 1, max(1, len(languages))))
+        np.add.at(total, (order, lang), n)
+        distinct = np.bincount(order[first], minlength=LONGEST + 1)[:, None]
+        #: What a language without a count gives; `value` is what a count adds.
+        self.rest = math.log(0.5) - np.log(np.maximum(total + 0.5 * distinct, 0.5))
+
+    @classmethod
+    def of(cls, counts: list[tuple[str, int, str, int]]) -> LanguageModel:
+        """From (language, order, gram, count), grams as text with their marks."""
+        languages = sorted({c[0] for c in counts})
+
+        def hashed(order: int, gram: str) -> np.uint64:
+            if not order:
+                return word_hashes([gram])[0]
+            g = Grams([gram.strip("^$")])
+            word = f"^{gram.strip('^$')}$"
+            at = [i for i in range(len(word) - order + 1) if order > 1 or word[i] not in "^$"]
+            return g.of(order)[1][[word[i : i + order] for i in at].index(gram)]
+
+        lang, order, gram, n = ([*c] for c in zip(*[(languages.index(x), o, hashed(o, g), k) for x, o, g, k in counts], strict=True))
+        return cls(languages, np.array(lang), np.array(order), np.array(gram, np.uint64), np.array(n))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of the hashes, -1 for unknown ones."""
+        if not len(self.grams):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
+        return np.where(self.grams[at] == hashes, at, -1)
+
+    def _sums(self, rows: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """What the languages of the rows add, summed by owner."""
+        sizes = self.begin[rows + 1] - self.begin[rows]
+        at = np.repeat(self.begin[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        width = len(self.languages)
+        return np.bincount(np.repeat(owner, sizes) * width + self.lang[at], self.value[at], owners * width).reshape(owners, width)
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of log scores for each word, and whether anything is known of it."""
+        out = np.zeros((len(words), len(self.languages)))
+        row = self.find(word_hashes(words))
+        known = row >= 0
+        if known.any():
+            out[known] = self.rest[0] + self._sums(row[known], np.arange(known.sum()), int(known.sum()))
+        open_ = np.flatnonzero(~known)
+        grams = Grams([words[k] for k in open_])
+        for order in range(LONGEST, 0, -1):
+            word, h = grams.of(order)
+            row = self.find(h)
+            word, row = open_[word[row >= 0]], row[row >= 0]
+            fresh = ~known[word]
+            word, row = word[fresh], row[fresh]
+            if len(word):
+                own, place, times = np.unique(word, return_inverse=True, return_counts=True)
+                out[own] = self.rest[order] + self._sums(row, place, len(own)) / times[:, None]
+                known[own] = True
+        return out.astype(np.float32), known
 
 
 class Scorer:
-    """Predicts texts; keeps the scores of at most `words` distinct words."""
+    """Predicts texts; keeps the scores of at most `cells` values of distinct words by languages."""
 
-    def __init__(self, model: LanguageModel, words: int = 400_000):
-        self.model, self.limit = model, words
+    def __init__(self, model: LanguageModel, cells: int = 1_600_000):
+        self.model, self.limit = model, cells // max(1, len(model.languages))
         self.at: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.languages)), dtype=np.float32)
+        self.known = np.zeros(1024, bool)
 
     def add(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.at]
@@ -114,89 +172,98 @@ class Scorer:
             new = list(words)
         first, need = len(self.at), len(self.at) + len(new)
         if need > len(self.scores):
-            grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]), dtype=np.float32)
-            grown[:first] = self.scores[:first]
-            self.scores = grown
+            room = max(need, 2 * len(self.scores))
+            self.scores, self.known = np.resize(self.scores, (room, self.scores.shape[1])), np.resize(self.known, room)
         if new:
-            self.scores[first:need] = self.model.scores(new)
+            self.scores[first:need], self.known[first:need] = self.model.scores(new)
             self.at.update(zip(new, range(first, need), strict=True))
 
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """predict() of every text; the words of short texts are scored together first."""
+        size, words = 0, set()
+        for text in texts:
+            if text and len(text) < _CHUNK:
+                size += len(text)
+                words.update(*_words(text))
+                if size > 1 << 22:
+                    self.add(words)
+                    size, words = 0, set()
+        self.add(words)
+        return [self.predict(text) for text in texts]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
             return UNDETERMINED, 0.0
-        total, n = np.zeros(len(self.model.languages)), 0
+        total, n, known = np.zeros(len(self.model.languages)), 0, False
         for words in _words(text):
             self.add(set(words))
             at = self.at
-            total += self.scores[[at[w] for w in words]].sum(axis=0, dtype=np.float64)
+            rows = [at[w] for w in words]
+            total += self.scores[rows].sum(axis=0, dtype=np.float64)
+            known = known or bool(self.known[rows].any())
             n += len(words)
         if not n:
             return UNDETERMINED, 0.0
         best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum()) if known else 0.0
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, keep: int = KEEP) -> LanguageModel:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """labelled: doc_id, text, lang; rows with a null in any of them are left out."""
     small_batches(labelled.sparkSession)
     labelled = labelled.select("doc_id", "text", "lang").dropna()
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return LanguageModel([])
+    languages = sorted(sizes)
+    if not languages:
+        none = np.zeros(0, np.int64)
+        return LanguageModel([], none, none, none.astype(np.uint64), none)
     scale = 1 << 20
-    share = F.lit(0)
-    for lang, n in sizes.items():  # the number of languages
-        share = F.when(F.col("lang") == lang, math.ceil(scale * min(1.0, per_language / n))).otherwise(share)
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share)
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, math.ceil(scale * min(1.0, per_language / n)))])
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < shares[F.col("lang")])
 
     def count(batches):
+        place = {x: k for k, x in enumerate(languages)}
         words: dict[str, Counter] = defaultdict(Counter)
 
         def rows():
-            out = []
             for lang, seen in words.items():
-                grams: dict[tuple[int, str], int] = defaultdict(int)
-                for word, n in seen.items():
-                    grams[0, word] += n
-                    for order in range(1, LONGEST + 1):
-                        for g in _grams(word, order):
-                            grams[order, g] += n
-                out += [(lang, order, g, n) for (order, g), n in grams.items()]
+                own, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+                grams = Grams(own)
+                for order in range(LONGEST + 1):
+                    word, h = grams.of(order) if order else (np.arange(len(own)), word_hashes(own))
+                    found, at = np.unique(h, return_inverse=True)
+                    total = np.bincount(at, n[word], len(found)).astype(np.int64)
+                    cols = [pa.array(np.full(len(found), place[lang], np.int32)), pa.array(np.full(len(found), order, np.int32)), pa.array(found.view(np.int64)), pa.array(total)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["lang", "ord", "gram", "n"])
             words.clear()
-            for k in range(0, len(out), 100_000):
-                lang, order, gram, n = zip(*out[k : k + 100_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(order, pa.int32()), pa.array(gram), pa.array(n, pa.int64())], names=["lang", "ord", "gram", "n"])
 
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 for found in _words(text):
-                    words[lang].update(w for w in found if len(w) <= 64)
+                    words[lang].update(found)
                 if sum(map(len, words.values())) > 200_000:
                     yield from rows()
         yield from rows()
 
-    counts = sample.mapInArrow(count, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
-    top = counts.filter("n > 1 or ord < 4").orderBy(F.desc("n"), "ord", "gram", "lang").limit(keep)
-    return LanguageModel([(r["lang"], r["ord"], r["gram"], r["n"]) for r in top.collect()])
+    counts = sample.mapInArrow(count, "lang int, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, order, gram, n = (counts.column(c).to_numpy() for c in ("lang", "ord", "gram", "n"))
+    return LanguageModel(languages, lang, order, gram.view(np.uint64), n)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, lang_pred and score; the text is read, and kept only if asked for."""
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, lang_pred and score of every document."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEEP
-    width = len(keep_columns)
-    at = keep_columns.index("text") if "text" in keep_columns else width
-    wanted = docs.select(*keep_columns, *[F.col("text")] * (at == width))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep_columns).schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample's vocabulary
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
-            cols = batch.columns[:width] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:width], "lang_pred", "score"])
+            found = scorer.predict_all(batch.column("text").to_pylist())
+            cols = [batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score"])
 
-    return wanted.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -208,6 +275,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """Documents in some language with at least that posterior; the others are rejected. All columns stay."""
-    names = docs.columns
-    found = predict(docs, fit(docs.filter(~held_out())), tuple(names))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*names)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit(docs.filter(~held_out())))  # as large as the bounded sample's vocabulary
+    small_batches(spark)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = scorer.predict_all(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -320,11 +320,13 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all columns stay, null texts too.
 
-    Overlapping spans of different kinds are replaced together, under the kind of the first.
+    Overlapping spans of different kinds are replaced together, under the kind of the first. The candidates are searched
+    once for the counts and once for the texts, so no text is written in between; the row travels as one column, so
+    its names can't clash.
     """
-    names = docs.columns
-    found = materialize(candidates(docs, tuple(names)), "pii-documents")
-    chosen = select(found, fit(found))
+    model = fit(candidates(docs))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    chosen = select(candidates(packed, ("_row", "text")), model)
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     names_of = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -336,4 +338,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     tail = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
     text = F.when(F.col("text").isNotNull() & (F.size("_spans") > 0), F.aggregate("_spans", start, cut, tail)).otherwise(F.col("text"))
-    return chosen.withColumn("_spans", spans).withColumn("text", text).select(*names)
+    done = chosen.withColumn("_spans", spans).withColumn("_text", text)
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

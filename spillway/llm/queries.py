@@ -99,9 +99,12 @@ SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS
 FROM counted GROUP BY source, lang, tokenizer
 """
 
+# Walks through every source's documents in their order, one a step, and takes whatever still fits.
 ORACLE["op5_mixing"] = f"""
-WITH sized AS (
-  SELECT doc_id, source, CAST({_WORDS.format("text")} AS BIGINT) AS size FROM documents
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST({_WORDS.format("text")} AS BIGINT) AS size,
+         (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
+  FROM documents
 ), per AS (
   SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w, 2 * source_size AS cap
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM sized GROUP BY source)
@@ -115,34 +118,37 @@ WITH sized AS (
   SELECT lev FROM levels WHERE lev <= CAST(cap AS DOUBLE) / w ORDER BY full_, used, lev LIMIT 1
 ), goal AS (
   SELECT source, source_size, n, least(CAST(cap AS DOUBLE), coalesce((SELECT lev FROM level) * w, CAST(cap AS DOUBLE))) AS target FROM per
+), sured AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(greatest(ceil(target / source_size) - 1, 0) AS BIGINT) ELSE 0 END AS sure FROM goal
+), rests AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target - sure * source_size ELSE 0 END AS rest FROM sured
 ), weighed AS (
-  SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
-         CASE WHEN g.source_size > 0 THEN 1 / sqrt(1 + CAST(s.size * g.n AS DOUBLE) / CAST(g.source_size AS DOUBLE)) ELSE 1.0::DOUBLE END AS weight,
-         CASE WHEN g.source_size > 0 THEN greatest(ceil(g.target / g.source_size) - 1, 0) ELSE 0 END AS sure,
-         (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
-), massed AS (
-  SELECT *, target - sure * source_size AS rest, sum(CAST(floor(weight * size * 1000) AS BIGINT)) OVER (PARTITION BY source) AS mass FROM weighed
-), odds AS (
-  SELECT *, least(CAST(1 AS DOUBLE), rest * weight * 1000 / CAST(mass AS DOUBLE)) AS p FROM massed
-), ratios AS (
-  SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / ((1 - u) * p) ELSE 1e300::DOUBLE END AS ratio FROM odds
-), one AS (
-  SELECT *, CASE WHEN open_ AND cum <= rest THEN 1 ELSE 0 END AS x1 FROM (
-    SELECT *, sum(CASE WHEN open_ THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
-    FROM (SELECT *, size > 0 AND size <= rest AS open_ FROM ratios))
-), two AS (
-  SELECT *, CASE WHEN open2 AND cum2 <= rest2 THEN 1 ELSE 0 END AS x2 FROM (
-    SELECT *, sum(CASE WHEN open2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum2
-    FROM (SELECT *, x1 = 0 AND size > 0 AND size <= rest2 AS open2
-          FROM (SELECT *, rest - sum(x1 * size) OVER (PARTITION BY source) AS rest2 FROM one)))
-), three AS (
-  SELECT *, CASE WHEN open3 AND cum3 <= rest3 THEN 1 ELSE 0 END AS x3 FROM (
-    SELECT *, sum(CASE WHEN open3 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum3
-    FROM (SELECT *, x1 + x2 = 0 AND size > 0 AND size <= rest3 AS open3
-          FROM (SELECT *, rest2 - sum(x2 * size) OVER (PARTITION BY source) AS rest3 FROM two)))
+  SELECT s.*, r.rest, CAST(floor(1000000 / sqrt(1 + CAST(s.size * r.n AS DOUBLE) / CAST(r.source_size AS DOUBLE))) AS BIGINT) AS iw
+  FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source WHERE s.size > 0
+), sizes AS (
+  SELECT source, size, rest, iw, count(*) AS k FROM weighed GROUP BY ALL
+), tried AS (
+  SELECT source, size, iw, (rest - CAST(coalesce(sum(size * k) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+         / CAST(sum(iw * size * k) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS c FROM sizes
+), scales AS (
+  SELECT source, arg_min(c, size) AS c FROM tried WHERE c * iw <= 1 GROUP BY source
+), likely AS (
+  SELECT w.*, CASE WHEN s.c IS NULL THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), s.c * w.iw) END AS p FROM weighed w LEFT JOIN scales s ON s.source IS NOT DISTINCT FROM w.source
+), valued AS (
+  SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE CAST(1 AS DOUBLE) END AS v FROM likely
+), ordered AS (
+  SELECT source, v, u, size, count(*) * size AS words, row_number() OVER (PARTITION BY source ORDER BY v, u, size) AS i FROM valued GROUP BY source, v, u, size
+), walk AS (
+  SELECT source, CAST(0 AS BIGINT) AS i, rest AS gap, false AS hit FROM rests
+  UNION ALL
+  SELECT o.source, o.i, CASE WHEN o.words <= w.gap THEN w.gap - o.words ELSE w.gap END, o.words <= w.gap
+  FROM walk w JOIN ordered o ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i + 1
+), hits AS (
+  SELECT o.source, o.u, o.size FROM walk w JOIN ordered o ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i WHERE w.hit
 )
-SELECT doc_id, size, source_size, target, CAST(size * (sure + x1 + x2 + x3) AS BIGINT) AS taken FROM three
+SELECT s.doc_id, s.size, r.source_size, r.target, CAST(s.size * (r.sure + CASE WHEN h.size IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+LEFT JOIN hits h ON h.source IS NOT DISTINCT FROM s.source AND h.u = s.u AND h.size = s.size
 """
 
 ORACLE["op7_quality_rules"] = r"""

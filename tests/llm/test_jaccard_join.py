@@ -47,9 +47,11 @@ def corpus(seed, n_groups, group):
     return rows
 
 
-@pytest.mark.parametrize("short", [2, 16])
-def test_components_match_brute_force(documents, odd_rows, monkeypatch, short):
+@pytest.mark.parametrize("short,block,degree", [(2, 3, 2), (16, 2000, 2000)])
+def test_components_match_brute_force(documents, odd_rows, monkeypatch, short, block, degree):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "DEGREE", degree)
     rows = corpus(short, 12, 30) + [(10_000 + (r[0] or 0) if r[0] is not None else None, *r[1:]) for r in odd_rows]
     out = sorted(map(tuple, jaccard_join.join(documents(rows)).collect()), key=str)
     assert out == brute(rows)
@@ -77,3 +79,11 @@ def test_stage_keeps_one_of_each_group(documents, odd_rows):
     kept = [r["doc_id"] for r in out.collect()]
     want = {c for _, _, c in brute([tuple(r)[:2] for r in docs.select("doc_id", "text").collect()])}
     assert set(kept) == want and len(kept) == len(want)
+
+
+def test_rows_of_one_identifier_are_told_apart_by_their_text(documents):
+    a, b, c = ("one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta", "red green blue black white brown pink grey")
+    docs = documents([(7, a, "en", "s"), (7, a + " ", "en", "t"), (7, b, "en", "s"), (3, b, "en", "s"), (9, c, "en", "s"), (9, None, "en", "s"), (9, None, "en", "s"), (8, a, "en", "s")])
+    kept = sorted((r["doc_id"], (r["text"] or "").split(" ")[0]) for r in jaccard_join.keep_one(docs).collect())
+    assert kept == [(3, "alpha"), (7, "one"), (7, "one"), (9, ""), (9, "red")] or kept == [(3, "alpha"), (7, "one"), (9, ""), (9, "red")]
+    assert jaccard_join.keep_one(documents([])).count() == 0
