@@ -8,43 +8,51 @@ near_duplicates one document of each group of linked word-shingle sets stays, th
 personal_data   personal data is replaced by its kind in angle brackets
 mixing          each document stays as often as the mix takes it
 packing         pieces of at most 2048 tokens with their sequence and offset
+
+Each stage's result must be written before the next stage begins, as run() does: the next one deletes its tables.
+
+Cases: documents with null, empty or letterless texts go in the first stage, as they are in no language; texts of any
+length are read whole; null languages and sources are values like others; documents without an identifier stay in the
+second stage, and repeated rows become one; ties go by identifier; an empty table gives an empty result with the same
+columns; further columns pass through the first four stages under any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spillway.llm import jaccard_join, language_id, mixing, packing, pii
-from spillway.llm._common import materialize, table
+from spillway.llm._common import discard, materialize, scratch, table
 from spillway.llm._tokens import vocabulary
 
-
-def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_identified(docs)
-
-
-def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+_left: list[str] = []
 
 
-def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redacted(docs)
+def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose own tables are deleted when the next one begins: its result has been written by then."""
 
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        with scratch() as used:
+            out = work(docs)
+        _left.extend(used)
+        return out
 
-def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return stage
 
 
-def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _pack(docs: DataFrame) -> DataFrame:
     return packing.packed_digests(packing.token_pieces(docs, vocabulary("word_bpe_49k.json")))
 
 
 STAGES = [
-    ("language_id", _language_id),
-    ("near_duplicates", _near_duplicates),
-    ("personal_data", _personal_data),
-    ("mixing", _mixing),
-    ("packing", _packing),
+    ("language_id", _stage(language_id.keep_identified)),
+    ("near_duplicates", _stage(jaccard_join.keep_one)),
+    ("personal_data", _stage(pii.redacted)),
+    ("mixing", _stage(mixing.mixed)),
+    ("packing", _stage(_pack)),
 ]
 
 #: Fitted trees, components and packing have no SQL form; tests hold the stages against brute-force versions.
