@@ -27,3 +27,25 @@ def test_same_result_again_and_small_tables(documents):
     assert sharding.shard_documents(documents([])).count() == 0
     few = sharding.shard_documents(documents(rows[:3])).collect()
     assert len({r["shard"] for r in few}) == 3
+
+
+def test_cut_edges_match_pairs_and_stay_below_hashing(documents):
+    rows = [(i, f"text {i % 90 if i % 3 else i}", "en", "s") for i in range(700)]
+    sharded = sharding.shard_documents(documents(rows))
+    out = sharded.collect()
+    r = sharding.cut_edges(sharded).first()
+    apart = [(a["shard"] != b["shard"]) for i, a in enumerate(out) for b in out[:i] if (a["size"], a["text_crc32"]) == (b["size"], b["text_crc32"])]
+    assert (r["edges"], r["cut"]) == (len(apart), sum(apart))
+    assert sum(apart) == 0  # every group fits into a shard, and there is room
+    hashed = sharded.withColumn("shard", sharding.F.pmod(sharding.F.xxhash64("doc_id"), sharding.F.lit(40)))
+    assert sharding.cut_edges(hashed).first()["cut"] > 0.8 * len(apart)
+
+
+def test_full_shards_split_what_has_no_room(documents):
+    # Groups of 7 over 4 shards of 10 or 9 places: no second group fits into a shard, and every row is linked.
+    rows = [(i, f"group {i // 7}", "en", "s") for i in range(39)]
+    out = sharding.shard_documents(documents(rows), 4).collect()
+    sizes = Counter(r["shard"] for r in out)
+    assert sorted(sizes.values()) == [9, 10, 10, 10]
+    homes = Counter((r["size"], r["text_crc32"], r["shard"]) for r in out)
+    assert sum(n == 7 for n in homes.values()) == 4
