@@ -56,8 +56,10 @@ ROUNDS = 2
 PROPOSALS = 4
 #: Index entries of a bucket.
 BUCKET = 500_000
-#: Entries of a longer list that meet in one task; longer ones are dealt out in blocks, and blocks meet two by two.
+#: Entries of a longer list whose pairs one task forms; longer ones are dealt out in blocks, and blocks meet two by two.
 BLOCK = 2000
+#: Entries of a list that one task goes through for proposals, which are as many as its entries at most.
+LINE = 100_000
 #: Pairs of a leader, or leaders of a set, that one task verifies.
 DEGREE = 2000
 #: Bytes of an identifier table that may be broadcast; beyond, the join shuffles.
@@ -338,10 +340,10 @@ def _by_list(entries: DataFrame, columns: tuple[str, ...], pairs_of) -> DataFram
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def _open_lists(known: DataFrame) -> DataFrame:
-    """known: the long lists with labels. Those with more than one label, with `blocks`, how many blocks they make, and own."""
+def _open_lists(known: DataFrame, entries: int) -> DataFrame:
+    """known: the long lists with labels. Those with more than one, with `blocks`, how many of so many entries they make, and own."""
     lists = known.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    lists = lists.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    lists = lists.select("token", F.ceil(F.col("n") / entries).cast("int").alias("blocks"))
     return known.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
 
@@ -370,7 +372,7 @@ def _proposals(known: DataFrame, turn: int) -> DataFrame:
         fits = 4 * np.minimum(s, t) >= 3 * np.maximum(s, t)
         return np.stack([a["cls"], b["cls"]], axis=1)[fits]
 
-    dealt = _open_lists(known).withColumn("block", F.col("own").cast("long"))
+    dealt = _open_lists(known, LINE).withColumn("block", F.col("own").cast("long"))
     asked = _by_list(dealt, ("cls", "size", "pos", "prev", "label"), pairs_of).groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), asc=False), 1, PROPOSALS)
     return asked.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
@@ -534,7 +536,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = labelled(links)
     known = known.join(led, known["cls"] == led["led"], "left")
     known = known.withColumns({"lead": F.coalesce("lead", "cls"), "low": F.coalesce("low", "size").cast("long"), "high": F.coalesce("high", "size").cast("long")})
-    known = _open_lists(known).join(members.select("cls", "bitmap"), "cls")
+    known = _open_lists(known, BLOCK).join(members.select("cls", "bitmap"), "cls")
     more = materialize(_between(known).distinct(), "jaccard-between")
     if more.limit(1).count():
         links = links.unionByName(_verify(docs, members, more).filter("linked").select("a", "b"))

@@ -197,8 +197,7 @@ class Scorer:
         total, n, known = np.zeros(len(self.model.languages)), 0, False
         for words in _words(text):
             self.add(set(words))
-            at = self.at
-            rows = [at[w] for w in words]
+            rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
             total += self.scores[rows].sum(axis=0, dtype=np.float64)
             known = known or bool(self.known[rows].any())
             n += len(words)

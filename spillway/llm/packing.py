@@ -27,6 +27,8 @@ from pyspark.sql import Window as W
 from ._common import materialize, small_batches
 from ._tokens import encoder
 
+#: Rows of the table of places that may be broadcast, counted first: 48 bytes each; beyond, the join shuffles.
+BROADCAST_SLOTS = 500_000
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, seq long"
 
 
@@ -164,14 +166,23 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = pieces.sparkSession
     counts = materialize(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    slots = spark.createDataFrame(intervals(pack_lengths(total, capacity)), "length int, low long, high long, first long, offset long")
+    found = intervals(pack_lengths(total, capacity))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     numbered = pieces.join(offsets, ["length", "part"]).withColumn("number", F.col("before") + F.col("seq"))
-    # The slots are at most four a step of the plan, and a step empties a length: bounded by the capacity alone.
-    s = F.broadcast(slots.withColumnRenamed("length", "slot_length"))
-    placed = numbered.join(s, (F.col("length") == F.col("slot_length")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high")))
-    return placed.withColumn("sequence_id", F.col("first") + F.col("number") - F.col("low")).drop("before", "number", "slot_length", "low", "high", "first", "part", "seq")
+    # A length's numbers are divided evenly into as many steps as it has intervals, and an interval is listed with the
+    # steps that it meets, two on average: a piece looks at those of its own step only.
+    many: dict[int, int] = defaultdict(int)
+    for x, *_ in found:
+        many[x] += 1
+    width = {x: max(1, -(-total[x] // many[x])) for x in many}
+    listed = [(x, step, low, high, first, offset) for x, low, high, first, offset in found for step in range(low // width[x], (high - 1) // width[x] + 1)]
+    slots = spark.createDataFrame(listed, "slot_length int, step long, low long, high long, first long, offset long")
+    side = F.broadcast(slots) if len(listed) <= BROADCAST_SLOTS else slots
+    wide = F.create_map(*[F.lit(v) for pair in width.items() for v in pair]) if width else F.create_map(F.lit(0), F.lit(1))
+    numbered = numbered.withColumn("_step", F.floor(F.col("number") / wide[F.col("length")]))
+    placed = numbered.join(side, (F.col("length") == F.col("slot_length")) & (F.col("_step") == F.col("step")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high")))
+    return placed.withColumn("sequence_id", F.col("first") + F.col("number") - F.col("low")).drop("before", "number", "slot_length", "step", "_step", "low", "high", "first", "part", "seq")
 
 
 def packed_digests(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

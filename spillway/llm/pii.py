@@ -320,13 +320,12 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all columns stay, null texts too.
 
-    Overlapping spans of different kinds are replaced together, under the kind of the first. The candidates are searched
-    once for the counts and once for the texts, so no text is written in between; the row travels as one column, so
-    its names can't clash.
+    Overlapping spans of different kinds are replaced together, under the kind of the first. The row travels as one
+    column, so its names can't clash.
     """
-    model = fit(candidates(docs))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    chosen = select(candidates(packed, ("_row", "text")), model)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    found = materialize(candidates(packed, ("_row", "doc_id")), "pii-documents").withColumn("text", F.col("_row.text"))
+    chosen = select(found, fit(found))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     names_of = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
