@@ -87,8 +87,9 @@ def t_ppf_upper(p: str, df: str) -> str:
     return body.replace("z", f"({z})") if len(z) < 200 else f"({body.replace('z', 'Z_')})".replace("Z_", z)
 
 
-def hash_bits(rep: str, i: str, seed: int, xor: str, shift: str) -> str:
-    """A counter-based hash below 2^31 of two counters; xor and shift are the engine's own forms, with {0} and {1}."""
+def hash_bits(rep: str, i: str, seed: int | str, xor: str, shift: str) -> str:
+    """A counter-based hash below 2^31 of two counters and a seed (a number or an expression); xor and shift are the
+    engine's own forms, with {0} and {1}."""
     x0 = f"(({rep}) * 73856093 + ({i}) * 19349663 + {seed}) % 2147483647"
     x1 = f"(({xor.format(x0, shift.format(x0, 15))}) * 48271) % 2147483647"
     x2 = f"(({xor.format(x1, shift.format(x1, 13))}) * 69621) % 2147483647"

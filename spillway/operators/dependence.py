@@ -98,10 +98,16 @@ def hurst(series: DataFrame, lags: int = 14, cumulative: bool = True) -> DataFra
 
 
 def rescaled_range(series: DataFrame, sizes: tuple[int, ...] = (5, 8, 10, 15)) -> DataFrame:
-    """Mean range of cumulative deviations within blocks of m, by the block's sd, and the log slope over m per series."""
+    """Mean range of cumulative deviations within blocks of m, by the block's sd; hurst_rs() takes its slope."""
     df = series.withColumn("m", F.explode(F.array(*[F.lit(m) for m in sizes]))).withColumn("g", F.floor((F.col("t") - 1) / F.col("m")))
     by = W.partitionBy("series_id", "m", "g")
     df = df.withColumns({"d": F.col("q") - F.avg("q").over(by), "c": F.count(F.lit(1)).over(by), "s": F.stddev_pop("q").over(by)}).filter("c = m and s > 0")
     df = df.withColumn("y", F.sum("d").over(by.orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
     one = df.groupBy("series_id", "m", "g").agg(((F.greatest(F.max("y"), F.lit(0.0)) - F.least(F.min("y"), F.lit(0.0))) / F.max("s")).alias("rs"))
     return one.groupBy("series_id", "m").agg(F.avg("rs").alias("rs"), F.count(F.lit(1)).alias("blocks"))
+
+
+def hurst_rs(series: DataFrame, sizes: tuple[int, ...] = (5, 8, 10, 15)) -> DataFrame:
+    """The slope of the logarithm of the rescaled range over that of the block size."""
+    r = rescaled_range(series, sizes).filter("rs > 0")
+    return r.groupBy("series_id").agg(F.regr_slope(F.log("rs"), F.log(F.col("m").cast("double"))).alias("hurst"), F.count(F.lit(1)).alias("sizes"))

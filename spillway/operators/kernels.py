@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .series import PERIODS
 
-_gamma = np.vectorize(math.lgamma, otypes=[float])
+#: Gamma shapes from which the uniform expansion is exact enough, and skews below which a series stands for the factor.
+LARGE = 10_000.0
+SMALL_SKEW = 0.02
 
 
 def stream(name: str) -> np.random.Generator:
@@ -121,17 +123,24 @@ def _nll_gnormal(p, x):
 
 
 def reg_gamma(a: float, x: float) -> float:
-    """The regularised lower incomplete gamma function, by its series or continued fraction."""
+    """The regularised lower incomplete gamma function: series or continued fraction, beyond LARGE its uniform expansion."""
     if x <= 0:
         return 0.0
+    if a > LARGE:
+        mu = x / a - 1
+        eta = math.copysign(math.sqrt(max(2 * (mu - math.log1p(mu)), 0.0)), mu)
+        first = 1 / mu - 1 / eta if abs(eta) > 1e-4 else -1 / 3 + eta / 12
+        return 0.5 * math.erfc(-eta * math.sqrt(a / 2)) - math.exp(-a * eta * eta / 2) / math.sqrt(2 * math.pi * a) * first
     front = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1:
         term = total = 1 / a
         n = a
-        while abs(term) > abs(total) * 1e-15:
+        for _ in range(20 * int(math.sqrt(LARGE)) + 200):  # terms fall off within a few square roots of a
             n += 1
             term *= x / n
             total += term
+            if term < total * 1e-15:
+                break
         return total * front
     b = x + 1 - a
     c, d = 1e300, 1 / b
@@ -152,8 +161,9 @@ def pearson3_factor(p: float, g: float) -> float:
     from statistics import NormalDist
 
     z = NormalDist().inv_cdf(p)
-    if abs(g) < 1e-7:
-        return z
+    if abs(g) < SMALL_SKEW:  # a series in the skew, exact to the fourth power
+        k = g / 6
+        return z + (z * z - 1) * k + (z**3 - 6 * z) * k * k / 3 - (z * z - 1) * k**3 + z * k**4
     a = 4 / g**2
     goal = p if g > 0 else 1 - p
     zg = NormalDist().inv_cdf(goal)
@@ -168,17 +178,6 @@ def pearson3_factor(p: float, g: float) -> float:
     return math.copysign(1, g) * (x - a) / math.sqrt(a)
 
 
-FAMILIES = {
-    "gumbel": (2, lambda x: np.array([x.mean() - 0.45 * x.std(), 0.78 * x.std()]), _nll_gumbel, False),
-    "gev": (3, lambda x: np.array([x.mean() - 0.45 * x.std(), 0.78 * x.std(), 0.01]), _nll_gev, False),
-    "weibull": (2, lambda x: np.array([x.mean() * 1.1, 1.8]), _nll_weibull, False),
-    "loglogistic": (2, lambda x: np.array([np.median(x), 3.0]), _nll_loglogistic, False),
-    "lp3": (3, lambda y: np.array([y.mean(), y.std(ddof=1), 0.1]), _nll_pearson3, True),
-    "glogistic": (3, lambda x: np.array([x.mean() - 0.5 * x.std(), 0.6 * x.std(), 2.0]), _nll_glogistic, False),
-    "gnormal": (3, lambda x: np.array([x.mean(), 1.4 * x.std(), 2.0]), _nll_gnormal, False),
-}
-
-
 def family_quantile(family: str, p: list[float], at: float) -> float:
     if family == "gumbel":
         return p[0] - p[1] * math.log(-math.log(at))
@@ -194,35 +193,12 @@ def family_quantile(family: str, p: list[float], at: float) -> float:
         return p[0] - p[1] * math.log(at ** (-1 / p[2]) - 1)
     a, side = 1 / p[2], math.copysign(1, at - 0.5)
     lo, hi, goal = 0.0, 400.0, abs(2 * at - 1)
-    for _ in range(200):
+    for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if reg_gamma(a, mid) < goal else (lo, mid)
     return p[0] + side * p[1] * lo**a
 
 
-def searched_fits(series: DataFrame) -> DataFrame:
-    """Maximum likelihood of the families without closed forms; likelihoods are on the scale of q."""
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        q, rows = pdf["q"].to_numpy(), []
-        for name, (k, start, nll, logs) in FAMILIES.items():
-            x = np.log(q) if logs else q
-            if len(q) < 8 or x.std() == 0 or (q <= 0).any():
-                rows.append((key[0], name, len(q), k, None, None, None, None, None, None, "too few or constant values"))
-                continue
-            best, value = simplex(lambda p, nll=nll, x=x: nll(p, x), start(x))
-            best, value = simplex(lambda p, nll=nll, x=x: nll(p, x), best)
-            loglik = -value - (np.log(q).sum() if logs else 0.0)
-            q100, q1000 = (family_quantile(name, list(best), p) for p in (0.99, 0.999))
-            aic = 2 * k - 2 * loglik
-            why = "not finite" if not np.isfinite([loglik, q100, q1000]).all() else "q1000 below the record" if q1000 < 0.5 * q.max() else "shape" if k == 3 and name in ("gev", "lp3") and abs(best[2]) > 2 else None
-            p = [*map(float, best), None][:3]
-            rows.append((key[0], name, len(q), k, *p, loglik, aic + 2 * k * (k + 1) / (len(q) - k - 1), q100, why))
-        return pd.DataFrame(rows, columns=["series_id", "family", "n", "k", "p1", "p2", "p3", "loglik", "aicc", "q100", "reason"])
-
-    return series.select("series_id", "q").groupBy("series_id").applyInPandas(fit, "series_id string, family string, n long, k int, p1 double, p2 double, p3 double, loglik double, aicc double, q100 double, reason string")
-
-
 def exact_factors(skews: DataFrame) -> DataFrame:
     """skews: series_id, skew. Exact Pearson-III factors of every return period, in Arrow batches."""
 
@@ -233,33 +209,68 @@ def exact_factors(skews: DataFrame) -> DataFrame:
     return skews.select("series_id", "skew").dropna().mapInPandas(run, "series_id string, period double, factor double")
 
 
+#: Shapes that the search of the generalised Pareto law goes through.
+SHAPES = (-0.95, 0.95)
+
+
+def gpd_nll(xi: float, beta: float, y: np.ndarray) -> float:
+    """Negative log-likelihood of excesses; the exponential limit at a shape of zero, infinite outside the support."""
+    if beta <= 0:
+        return math.inf
+    if abs(xi) < 1e-9:
+        return float(len(y) * math.log(beta) + y.sum() / beta)
+    w = 1 + xi * y / beta
+    return math.inf if (w <= 0).any() else float(len(y) * math.log(beta) + (1 + 1 / xi) * np.log(w).sum())
+
+
+def golden(f, low: float, high: float, tol: float = 1e-9) -> float:
+    """The minimum of f by golden sections."""
+    r = (math.sqrt(5) - 1) / 2
+    a, b = high - r * (high - low), low + r * (high - low)
+    fa, fb = f(a), f(b)
+    while high - low > tol * (1 + abs(low) + abs(high)):
+        if fa <= fb:
+            high, b, fb = b, a, fa
+            a = high - r * (high - low)
+            fa = f(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + r * (high - low)
+            fb = f(b)
+    return (low + high) / 2
+
+
+def profile_scale(xi: float, y: np.ndarray) -> float:
+    """The scale of greatest likelihood for a shape: log beta is searched over the support."""
+    least = math.log(max(-xi * y.max() * (1 + 1e-9), y.mean() * 1e-3))
+    return math.exp(golden(lambda b: gpd_nll(xi, math.exp(b), y), least, math.log(y.mean() * 50)))
+
+
+def fit_gpd(y: np.ndarray) -> tuple[float, float, float]:
+    """Shape, scale and negative log-likelihood at the maximum: a coarse profile of the shape, then golden sections around it."""
+    grid = np.linspace(*SHAPES, 39)
+    values = [gpd_nll(x, profile_scale(x, y), y) for x in grid]
+    k = int(np.argmin(values))
+    xi = golden(lambda x: gpd_nll(x, profile_scale(x, y), y), grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)], 1e-7)
+    beta = profile_scale(xi, y)
+    return xi, beta, gpd_nll(xi, beta, y)
+
+
 def gpd_profile(over: DataFrame, grid: int = 401) -> DataFrame:
-    """Generalised Pareto by a profile of the shape over (-.95, .95): the best, its scale and the 95 % likelihood interval."""
+    """Generalised Pareto by maximum likelihood over shapes within SHAPES, and the 95 % interval of the profile of the shape."""
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf["y"].to_numpy()
-        cols = ["series_id", "n", "xi", "beta", "xi_low", "xi_high", "at_bound"]
+        cols = ["series_id", "n", "xi", "beta", "neg_loglik", "xi_low", "xi_high", "at_bound"]
         if len(y) < 5 or y.max() <= 0:
-            return pd.DataFrame([(key[0], len(y), None, None, None, None, None)], columns=cols)
-        shapes = np.linspace(-0.95, 0.95, grid)
-        scales = np.geomspace(y.mean() / 20, y.mean() * 20, 300)
-        best_b, best_v = np.empty(grid), np.empty(grid)
-        for i, xi in enumerate(shapes):
-            for _ in range(2):
-                z = y[None, :] / scales[:, None]
-                if abs(xi) < 1e-9:
-                    v = len(y) * np.log(scales) + z.sum(axis=1)
-                else:
-                    w = 1 + xi * z
-                    v = np.where((w > 0).all(axis=1), len(y) * np.log(scales) + (1 + 1 / xi) * np.log(np.where(w > 0, w, 1)).sum(axis=1), np.inf)
-                break
-            k = int(v.argmin())
-            best_b[i], best_v[i] = scales[k], v[k]
-        k = int(best_v.argmin())
-        inside = shapes[best_v <= best_v[k] + 3.841458820694124 / 2]
-        return pd.DataFrame([(key[0], len(y), shapes[k], best_b[k], inside.min(), inside.max(), k in (0, grid - 1))], columns=cols)
-
-    return over.select("series_id", "y").groupBy("series_id").applyInPandas(fit, "series_id string, n long, xi double, beta double, xi_low double, xi_high double, at_bound boolean")
+            return pd.DataFrame([(key[0], len(y), *[None] * 6)], columns=cols)
+        xi, beta, value = fit_gpd(y)
+        shapes = np.linspace(*SHAPES, grid)
+        near = [x for x in shapes if gpd_nll(x, profile_scale(x, y), y) <= value + 3.841458820694124 / 2]
+        edge = min(xi - SHAPES[0], SHAPES[1] - xi) < 1e-3
+        return pd.DataFrame([(key[0], len(y), xi, beta, value, min([*near, xi]), max([*near, xi]), edge)], columns=cols)
+
+    return over.select("series_id", "y").groupBy("series_id").applyInPandas(fit, "series_id string, n long, xi double, beta double, neg_loglik double, xi_low double, xi_high double, at_bound boolean")
 
 
 def mcmc(series: DataFrame, chains: int = 4, draws: int = 30_000, burn: int = 10_000, prior_sd: float = 2.0, pilot: int = 5_000) -> DataFrame:

@@ -37,7 +37,33 @@ def forecasts(series: DataFrame, names: tuple[str, ...] = ("linear", "ridge", "f
     return reduce(DataFrame.unionByName, out)
 
 
+def importances(series: DataFrame, names: tuple[str, ...] = ("forest", "boosting"), k: int = 5) -> DataFrame:
+    """model, fold, feature, importance of the tree models' fits; the mean by feature ranks them."""
+    data = folds(lag_features(series), k).persist()
+    columns = [c for c in data.columns if c not in ("series_id", "t", "q", "fold", "role")]
+    rows = []
+    for name in names:
+        for fold in range(k):
+            steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), models()[name]]
+            fitted = Pipeline(stages=steps).fit(data.filter((F.col("fold") == fold) & (F.col("role") == "train")))
+            rows += [(name, fold, c, float(v)) for c, v in zip(columns, fitted.stages[-1].featureImportances.toArray(), strict=True)]
+    data.unpersist()
+    return series.sparkSession.createDataFrame(rows, "model string, fold int, feature string, importance double")
+
+
+def mean_importance(found: DataFrame, model: str = "forest") -> DataFrame:
+    return found.filter(F.col("model") == model).groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
+
+
+def best(table: DataFrame) -> DataFrame:
+    """The model of least root mean square error among those that beat persistence; no row if none does."""
+    return table.filter("skill > 0 and model <> 'persistence'").orderBy("rmse", "model").limit(1)
+
+
 def score_table(predictions: DataFrame) -> DataFrame:
-    """Scores per model over all series, the best root mean square error first."""
-    s = scores(predictions.select(F.col("model").alias("series_id"), "y", "p", "baseline")).withColumnRenamed("series_id", "model")
+    """Scores per model over all series and persistence as a row of its own, the best root mean square error first."""
+    one = predictions.select(F.col("model").alias("series_id"), "y", "p", "baseline")
+    first = predictions.agg(F.min("model").alias("_m"))  # persistence is judged on one model's rows: all models have the same
+    same = predictions.join(F.broadcast(first), F.col("model") == F.col("_m")).select(F.lit("persistence").alias("series_id"), "y", F.col("baseline").alias("p"), "baseline")
+    s = scores(one.unionByName(same)).withColumnRenamed("series_id", "model")
     return s.orderBy("rmse", "model")

@@ -47,6 +47,13 @@ def level(flows: DataFrame, curve: DataFrame) -> DataFrame:
     return df.withColumn("h", F.pow(F.lit(10.0), x)).withColumn("extrapolated", ~x.between(F.col("lo"), F.col("hi"))).drop("a", "b", "lo", "hi")
 
 
+def calibrated_level(flows: DataFrame, curve: DataFrame) -> DataFrame:
+    """level(), with an error at run time for a flow beyond the calibration."""
+    df = level(flows, curve)
+    ok = F.when(~F.col("extrapolated"), F.lit(True)).otherwise(F.raise_error(F.lit("the flow lies beyond the calibrated range"))).cast("boolean")
+    return df.filter(ok).drop("extrapolated")
+
+
 def checks(series: DataFrame, expected: int = 30, unit_seconds: int = 86400) -> DataFrame:
     """The rule table per series, long: check, status (PASS, WARN, FAIL) and value. One pass over the series."""
     w = ordered()

@@ -25,15 +25,18 @@ def draws(series: DataFrame, reps: int) -> DataFrame:
     The record travels once per series to `reps` rows; nothing is joined per draw.
     """
     rec = series.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "q"))), lambda x: x["q"]).alias("rec"))
-    dense = rec.withColumn("sid", F.pmod(F.xxhash64("series_id"), F.lit(1000)))
-    # A small, stable number of the series keeps its draws apart from the others'.
-    return dense.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("rep", F.col("rep").cast("long"))
+    return rec.withColumn("sid", series_number()).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("rep", F.col("rep").cast("long"))
+
+
+def series_number() -> Column:
+    """A number of the series below 2^28, by md5, that keeps its draws apart from the others'."""
+    return F.conv(F.substring(F.md5(F.col("series_id").cast("binary")), 1, 7), 16, 10).cast("long")
 
 
 def case_resamples(series: DataFrame, reps: int = 2000, seed: int = 20250101) -> DataFrame:
     """B resamples of each record: moments and percentiles per replicate, from an in-row fold of hashed indices."""
     d = draws(series, reps)
-    index = hash_bits("rep", "i", seed, "(({0}) ^ ({1}))", "shiftright({0}, {1})")
+    index = hash_bits("rep", "i", f"{seed} + sid", "(({0}) ^ ({1}))", "shiftright({0}, {1})")
     d = d.withColumn("x", F.expr(f"transform(sequence(0L, cast(size(rec) - 1 as bigint)), i -> element_at(rec, cast(({index}) % size(rec) as int) + 1))"))
     return d.select("series_id", "rep", F.explode("x").alias("q"))
 
@@ -84,8 +87,8 @@ def studentised_interval(replicates: DataFrame, points: DataFrame, level: float
 
 def parametric_resamples(series: DataFrame, reps: int = 2000, seed: int = 20250102) -> DataFrame:
     """Records of the same length simulated from the log-Pearson fit by moments, by hashed uniforms."""
-    fit = log_moments(series)
-    u = f"((({hash_bits('rep', 'i', seed, '(({0}) ^ ({1}))', 'shiftright({0}, {1})')}) + 0.5D) / 2147483648.0D)"
+    fit = log_moments(series).withColumn("sid", series_number())
+    u = f"((({hash_bits('rep', 'i', f'{seed} + sid', '(({0}) ^ ({1}))', 'shiftright({0}, {1})')}) + 0.5D) / 2147483648.0D)"
     df = fit.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long")))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     df = df.withColumn("u", F.expr(u))
     return df.select("series_id", "rep", F.col("i").cast("int").alias("t"), F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "u") * F.col("sd_log")).alias("q"))
@@ -95,7 +98,7 @@ def lp3_intervals(series: DataFrame, reps: int = 2000) -> DataFrame:
     """Parametric bootstrap of the log-Pearson values: every replicate is fitted anew by moments."""
     sim = parametric_resamples(series, reps).withColumn("series_id", F.concat_ws("#", "series_id", F.col("rep").cast("string"))).drop("rep")
     fit = periods(log_moments(sim)).withColumn("p", 1 - 1 / F.col("period"))
-    q = fit.select(F.substring_index("series_id", "#", 1).alias("series_id"), "period", F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log")).alias("q"))
+    q = fit.select(F.regexp_replace("series_id", "#[0-9]+$", "").alias("series_id"), "period", F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log")).alias("q"))
     return percentile_interval(q)
 
 
@@ -121,7 +124,7 @@ def coverage(series: DataFrame, reps: int = 200, inner: int = 500) -> DataFrame:
 def block_resamples(series: DataFrame, reps: int = 2000, block: int = 5, seed: int = 20250103) -> DataFrame:
     """Circular block bootstrap: (series_id, rep, t, q) in resampled order."""
     d = draws(series, reps)
-    h = hash_bits("rep", "(i div " + str(block) + ")", seed, "(({0}) ^ ({1}))", "shiftright({0}, {1})")
+    h = hash_bits("rep", "(i div " + str(block) + ")", f"{seed} + sid", "(({0}) ^ ({1}))", "shiftright({0}, {1})")
     x = F.expr(f"transform(sequence(0L, cast(size(rec) - 1 as bigint)), i -> element_at(rec, cast((({h}) % size(rec) + i % {block}) % size(rec) as int) + 1))")
     return d.select("series_id", "rep", F.posexplode(x).alias("t", "q"))
 

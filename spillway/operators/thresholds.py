@@ -65,19 +65,3 @@ def threshold_stability(base: DataFrame, at: tuple[float, ...] = (0.7, 0.75, 0.8
     return out.select("series_id", "at", "u", "n", "xi", "beta", "mean_excess", (F.col("mean_excess") + 6 * F.col("mean_excess") / F.sqrt("n")).alias("penalty"))
 
 
-def jenkinson_collison(over: DataFrame) -> DataFrame:
-    """Scans the share of the largest excesses, 5 to 95 %: mean squared distance of their order to exponential quantiles.
-
-    over: series_id, y. The excesses over the k-th largest are summed from prefix sums: no self-join.
-    """
-    w = W.partitionBy("series_id").orderBy(F.desc("y"))
-    df = over.select("series_id", "y").withColumns({"k": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(sized())})
-    upto = w.rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumns({"_s": F.sum("y").over(upto), "_ss": F.sum(F.col("y") ** 2).over(upto)})
-    df = df.filter((F.col("k") >= F.ceil(0.05 * F.col("n"))) & (F.col("k") <= F.floor(0.95 * F.col("n"))) & (F.col("k") >= 5))
-    mean = F.col("_s") / F.col("k") - F.col("y")
-    var = (F.col("_ss") - 2 * F.col("y") * F.col("_s") + F.col("k") * F.col("y") ** 2) / F.col("k") - mean**2
-    cv = F.when(mean > 0, F.sqrt(F.greatest(var, F.lit(0.0))) / mean)
-    df = df.withColumns({"mean_excess": mean, "_cv": cv})
-    best = df.groupBy("series_id").agg(F.min(F.struct(F.round(F.abs(F.col("_cv") - 1), 9).alias("d"), F.col("k"), F.col("y"), F.col("mean_excess").alias("m"))).alias("_b"))
-    return best.select("series_id", F.col("_b.k").alias("k"), F.col("_b.y").alias("threshold"), F.col("_b.m").alias("mean_excess"), F.col("_b.d").alias("distance"))

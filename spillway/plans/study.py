@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import dependence, features, frequency, kernels, moments, quality, resampling, series, trend
+from ..operators import battery, candidates, dependence, features, frequency, moments, quality, resampling, series, trend
 from ..sources import files
 
 STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -23,7 +23,8 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "runs": trend.runs,
     "outliers": quality.grubbs,
     "ranking": frequency.ranking,
-    "fits": kernels.searched_fits,
+    "tests": battery.tests,
+    "fits": candidates.ranking,
     "design": frequency.design_values,
     "intervals": resampling.lp3_intervals,
     "features": features.lag_features,

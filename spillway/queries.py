@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, t_ppf_upper
-from .operators import dependence, features, frequency, kernels, learning, moments, quality, resampling, series, thresholds, trend
+from .operators import battery, candidates, dependence, features, frequency, kernels, learning, moments, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,10 +276,22 @@ m AS (SELECT tu.series_id, k, u, count(*) AS n, avg(x - u) AS me, stddev_samp(x
 query("gpd_pwm", lambda s, d: thresholds.gpd_pwm(thresholds.exceedances(base(s, d))), f"WITH {_OVER}, {_GPD} SELECT * FROM gp", columns="u xi beta rate")
 query("return_levels", lambda s, d: thresholds.return_levels(thresholds.gpd_pwm(thresholds.exceedances(base(s, d))), 100.0), f"WITH {_OVER}, {_GPD}, t AS (SELECT *, {_PERIODS} AS period FROM gp) SELECT series_id, period, CASE WHEN abs(xi) < 1e-8 THEN u + beta * ln(period * rate * 100) ELSE u + beta / xi * (power(period * rate * 100, xi) - 1) END AS q FROM t", digits=3, columns="period q")
 query("threshold_stability", lambda s, d: thresholds.threshold_stability(base(s, d)))
-query("jenkinson_collison", lambda s, d: thresholds.jenkinson_collison(thresholds.exceedances(base(s, d), 0.5)))
+query(
+    "jenkinson_collison",
+    lambda s, d: peaks.jenkinson_collison(events(s, d).select("series_id", F.col("q").alias("x"))),
+    f"""WITH {_EVENTS}, k AS (SELECT series_id, n, rank AS k, q AS z FROM s WHERE rank BETWEEN greatest(2, CAST(floor(0.05::DOUBLE * n) AS BIGINT)) AND greatest(3, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) AND n - rank >= 3 AND n >= 10),
+    y AS (SELECT k.series_id, k.k, k.z, q - k.z AS y, s.rank - k.k AS i, k.n - k.k AS m, avg(q - k.z) OVER (PARTITION BY k.series_id, k.k) AS mean FROM k JOIN s ON s.series_id = k.series_id AND s.rank > k.k),
+    d AS (SELECT series_id, k, z, m, sum(power(y + ln(1 - i / (m + 1.0::DOUBLE)) * mean, 2)) AS d FROM y WHERE mean > 0 GROUP BY 1, 2, 3, 4)
+    SELECT series_id, CAST(k AS INTEGER) AS k, z AS threshold, CAST(m AS BIGINT) AS n, d AS distance FROM d QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(d, 9), k) = 1""",
+    digits=3,
+    columns="threshold distance",
+)
+query("penalty_scan", lambda s, d: peaks.penalty_scan(events(s, d).select("series_id", F.col("q").alias("x"))), digits=3)
+query("gated_peaks", lambda s, d: peaks.gated_fit(events(s, d).select("series_id", F.col("q").alias("x"))), digits=2)
 query("gpd_profile", lambda s, d: kernels.gpd_profile(thresholds.exceedances(base(s, d), 0.95)))
 
-_HASH = hash_bits("rep", "i", 20250101, "xor({0}, {1})", "(({0}) >> {1})")
+_SID = "CAST(('0x' || substr(md5(series_id), 1, 7)) AS BIGINT)"
+_HASH = hash_bits("rep", "i", f"20250101 + {_SID}", "xor({0}, {1})", "(({0}) >> {1})")
 query("bootstrap_moments", lambda s, d: resampling.moment_replicates(events(s, d), 50).select("series_id", "rep", "mean", "sd", "cv"), f"""WITH {_EVENTS}, g AS (SELECT series_id, n, UNNEST(range(50)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), r AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM i)
 SELECT r.series_id, rep, avg(q) AS mean, stddev_samp(q) AS sd, stddev_samp(q) / avg(q) AS cv FROM r JOIN s ON r.series_id = s.series_id AND r.t = s.t GROUP BY 1, 2""", digits=4, columns="mean sd cv")
 query("bootstrap_moments_whole", lambda s, d: resampling.moment_replicates(events(s, d)).select("series_id", "rep", "mean", "sd", "cv"), digits=4)
@@ -288,7 +300,41 @@ query("lp3_intervals", lambda s, d: resampling.lp3_intervals(events(s, d)))
 query("monte_carlo_fan", lambda s, d: resampling.fan(events(s, d)))
 query("coverage", lambda s, d: resampling.coverage(events(s, d)))
 query("block_bootstrap", lambda s, d: resampling.block_resamples(events(s, d)))
-query("searched_fits", lambda s, d: kernels.searched_fits(events(s, d)), digits=3)
+_FITTED = ["series_id", "family", "n", "k", "p1", "p2", "p3", "loglik", "aic", "bic", "aicc", "hqic", "ks", "ks_p", "a2", "a2_p", "qq_r2", "accepted", "rank", "weight", "place"]
+query("searched_fits", lambda s, d: candidates.ranking(events(s, d)).select(*_FITTED), digits=3)
+query("family_curves", lambda s, d: candidates.curves(candidates.ranking(events(s, d))), digits=2)
+query("family_matrix", lambda s, d: candidates.quantile_matrix(candidates.ranking(events(s, d))), digits=2)
+query("fit_residuals", lambda s, d: candidates.residuals(events(s, d), candidates.ranking(events(s, d))), digits=4)
+query("moment_loci", lambda s, d: candidates.loci(s))
+query("nearest_locus", lambda s, d: candidates.nearest_locus(moments.moment_coefficients(events(s, d)).select("series_id", F.col("skew").alias("cs"), "ck"), candidates.loci(s)))
+query("test_battery", lambda s, d: battery.tests(events(s, d)), digits=4)
+query("test_warnings", lambda s, d: battery.warnings(moments.skewness_estimators(events(s, d)), moments.moment_coefficients(events(s, d))))
+query("monte_carlo_refit", lambda s, d: uncertainty.monte_carlo(events(s, d)), digits=3)
+query("combined_intervals", lambda s, d: uncertainty.combined_intervals(events(s, d), 500), digits=3)
+query("parameter_spread", lambda s, d: uncertainty.parameter_spread(events(s, d)), digits=4)
+query("hurst_spread", lambda s, d: uncertainty.hurst_spread(events(s, d)), digits=4)
+query(
+    "hurst_rs",
+    lambda s, d: dependence.hurst_rs(events(s, d)),
+    ORACLE["rescaled_range"].split(" FROM (", 1)[1].rsplit(")", 1)[0].replace("SELECT series_id, CAST(m AS INTEGER) AS m, avg(rs) AS rs, count(*) AS blocks FROM o GROUP BY 1, 2", "SELECT series_id, regr_slope(ln(rs), ln(CAST(m AS DOUBLE))) AS hurst, count(*) AS sizes FROM (SELECT series_id, m, avg(rs) AS rs FROM o GROUP BY 1, 2) WHERE rs > 0 GROUP BY 1"),
+    columns="hurst",
+)
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages as station records, each month a block of its own year."""
+    df = stages(spark, sf).withColumn("block", F.make_timestamp(F.lit(1900) + F.col("t"), F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    return df.select("series_id", "t", "block", "q", F.col("h").alias("wl"), F.lit(None).cast("string").alias("label"), F.col("block").cast("date").alias("peak_date"), F.lit(True).alias("is_monsoon"))
+
+
+def station_meta(spark: SparkSession, sf: str) -> DataFrame:
+    top = stages(spark, sf).groupBy("series_id").agg(F.max(F.struct("h", "q")).alias("x"), F.count(F.lit(1)).alias("expected"))
+    return top.select("series_id", F.lit(0.0).alias("datum"), F.col("x.h").alias("observed_level"), F.col("x.q").alias("observed_flow"), F.lit(False).alias("is_derived"), "expected")
+
+
+query("station_checks", lambda s, d: station.checks(records(s, d), station_meta(s, d)), digits=4)
+query("implied_periods", lambda s, d: station.implied_periods(frequency.design_values(events(s, d)).select("series_id", "period", F.col("lp3").alias("q")), moments.summary(events(s, d)).select("series_id", "n", "max")), digits=3)
+query("station_checklist", lambda s, d: station.checklist(events(s, d), design=frequency.design_values(events(s, d)), skew=frequency.skew_decision(events(s, d)), fits=frequency.ranking(events(s, d)), tests=battery.tests(events(s, d)), outliers=quality.grubbs(events(s, d))))
 query("exact_factors", lambda s, d: kernels.exact_factors(moments.log_moments(events(s, d)).withColumnRenamed("skew_log", "skew")))
 query("posterior", lambda s, d: resampling.posterior(kernels.mcmc(events(s, d)).cache()), digits=3)
 query("r_hat", lambda s, d: resampling.split_r_hat(kernels.mcmc(events(s, d))), digits=3)

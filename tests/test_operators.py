@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spillway.functions import special
-from spillway.operators import dependence, features, frequency, kernels, moments, quality, resampling, series, thresholds, trend
+from spillway.operators import battery, candidates, dependence, features, frequency, kernels, moments, quality, resampling, series, station, thresholds, trend, uncertainty
 
 
 def frame(spark, *records, names=None):
@@ -123,10 +123,10 @@ def test_exact_factor_near_approximation_and_symmetric():
 def test_searched_fits_find_their_parents(spark):
     u = (np.arange(1, 801) - 0.5) / 800
     gumbel = 100 - 20 * np.log(-np.log(u))
-    fits = {r["family"]: r for r in kernels.searched_fits(frame(spark, gumbel)).collect()}
+    fits = {r["family"]: r for r in candidates.fit_all(frame(spark, gumbel), 200).collect()}
     assert abs(fits["gumbel"]["p1"] - 100) < 1 and abs(fits["gumbel"]["p2"] - 20) < 1 and abs(fits["gev"]["p3"]) < 0.05
     weibull = 50 * (-np.log(1 - u)) ** (1 / 1.7)
-    w = {r["family"]: r for r in kernels.searched_fits(frame(spark, weibull)).collect()}["weibull"]
+    w = {r["family"]: r for r in candidates.fit_all(frame(spark, weibull), 200).collect()}["weibull"]
     assert abs(w["p1"] - 50) < 1 and abs(w["p2"] - 1.7) < 0.05
 
 
