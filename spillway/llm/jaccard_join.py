@@ -23,8 +23,8 @@ later step works on classes, so copies are never compared.
    and drop most chance pairs; the rest have their sets, recomputed from the texts, meet in one task. A leader's pairs
    are salted by its degree.
 
-Components: labels fall to the least of the neighbours' and jump to their label's label until none changes; all in
-tables, nothing is collected.
+Components: nodes move to lesser neighbours and links are drawn anew between those that are left; all in tables, nothing
+is collected.
 
 Cases: null or wordless text has an empty set and links with nothing; a null identifier keeps its row, links with
 nothing and has a null component; repeated rows are in one class; an empty table gives no rows; texts of any length are
@@ -485,21 +485,32 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the least node that is reachable) of every node of the undirected links (a, b)."""
-    spark = links.sparkSession
+    """node, label (the least node that is reachable) of every node of the undirected links (a, b).
+
+    In each round a node moves to its least neighbour's least neighbour, and the links are drawn anew between the nodes
+    that are left: links within what has come together vanish, so every round has fewer. The least node of a component
+    never moves, and it is the one that is left.
+    """
+    spark, state = links.sparkSession, None
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     with scratch() as used:
-        edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-        first = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    state = materialize(first, "component-labels")
-    while True:
-        told = edges.join(state.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("was"))
-        low = told.unionByName(state.withColumn("was", F.col("label"))).groupBy("node").agg(F.max("was").alias("was"), F.min("label").alias("low"))
-        jump = state.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = materialize(low.join(jump, "low").select("node", "was", F.least("low", "far").alias("label")), "component-labels")
-        if not new.filter("label <> was").limit(1).count():
-            discard(spark, used)
-            return new.select("node", "label")
-        state = new.select("node", "label")
+        edges = materialize(links.select(*ends("a", "b")).filter("a < b").distinct(), "component-edges")
+        while edges.limit(1).count():
+            both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next")))
+            up = materialize(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("up")), "component-up")
+            hop = materialize(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top"), "component-hop")
+            first = edges.join(hop.select(F.col("node").alias("a"), F.col("top").alias("ta")), "a")
+            moved = first.join(hop.select(F.col("node").alias("b"), F.col("top").alias("tb")), "b").select(*ends("ta", "tb"))
+            edges = materialize(moved.filter("a < b").distinct(), "component-edges")
+            if state is None:
+                state = hop.select("node", F.col("top").alias("label"))
+            else:
+                state = state.join(hop.select(F.col("node").alias("label"), "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+            state = materialize(state, "component-labels")
+        out = spark.createDataFrame([], "node long, label long") if state is None else state
+    out = materialize(out, "component-labels")
+    discard(spark, used)
+    return out
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
