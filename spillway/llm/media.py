@@ -1,15 +1,19 @@
 """Media columns: content-addressed payloads in tar shards, with rows that carry digest, shard, offset and length.
 
 A text's payload is its UTF-8 bytes, padded with zero bytes to a positive multiple of 64. It is stored without loss as
-a grey image of 8-bit samples, 64 wide (PNG, no row filter), in a tar shard under the sha256 of the payload. Each task
-writes shards of its own, streaming, and stores equal payloads once; the rows point at the stored copy. A shard's name
-is new for every attempt and only rows of committed attempts name it, so lost executors leave nothing that is read.
+a grey image of 8-bit samples, 64 wide (PNG, no row filter), in a tar shard under the sha256 of the payload. Addresses
+hold over all shards: of equal payloads the document with the least identifier is stored, by the task that reads it, and
+all of their rows point at that copy. Texts stay in place: a row learns whether it is stored from a table of the digests
+that occur more than once, which is broadcast if it is small enough. A shard's name is new for every attempt and only
+rows of committed attempts name it, so lost executors leave nothing that is read.
 
 Reading: the header columns (width, height, bits) take one ranged read of the first 33 bytes; features take one more
-of the body. Rows of one stored object are read together and decoded once.
+of the body. Each stored object is read and decoded once and its columns are joined to its rows by digest; the digests
+of very many rows are few and take a broadcast of their own, so no task gathers the rows of a hot payload.
 
 Cases: null text is empty (64 zero bytes); equal texts have equal values; null and repeated identifiers keep their
-rows; an empty table writes nothing; other columns are not read.
+rows; equal payloads under one identifier, or all without any, may be stored more than once, and their rows point at one
+of the copies; an empty table writes nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,11 @@ from .token_store import open_fs
 UNIT = 64
 SHARD_BYTES = 256 << 20
 HEADER_BYTES = 33
-ROWS = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+#: Bytes of the table of repeated digests that may be broadcast, at 64 a row; beyond, that join shuffles the texts.
+BROADCAST_BYTES = 48 << 20
+#: A digest is hot if it has more than this part of all rows, so at most as many are hot.
+HOT = 1000
+OBJECTS = "digest string, shard string, offset long, length long"
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -112,39 +120,62 @@ class _Shard:
         self.sink.close()
 
 
+def _attached(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """rows with the columns of their digest's row of objects, where each digest occurs once."""
+    n = rows.count()
+    hot = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n / HOT).select("digest", F.lit(True).alias("_hot"))  # fewer than HOT rows
+    tagged = rows.join(F.broadcast(hot), "digest", "left")
+    few = F.broadcast(objects.join(F.broadcast(hot), "digest", "left_semi"))
+    warm = tagged.filter("_hot").drop("_hot").join(few, "digest")
+    cold = tagged.filter("_hot is null").drop("_hot").join(objects, "digest")
+    return warm.unionByName(cold)
+
+
 def store(docs: DataFrame, label: str = "media") -> DataFrame:
     """Write the shards; a row per document with digest, shard (full path), offset and length."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_path(spark, label)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def write(batches):
         shard = None
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                payload, n = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                payload, _ = payload_of(text)
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError("a payload does not match its digest")
                 if shard is None or shard.at > SHARD_BYTES and digest not in shard.kept:
                     if shard is not None:
                         shard.close()
                     shard = _Shard(folder)
                 offset, length = shard.put(digest, payload)
-                rows.append((doc_id, n, digest, shard.name, offset, length))
+                rows.append((digest, shard.name, offset, length))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if shard is not None:
             shard.close()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(texts.mapInArrow(write, ROWS), f"{label}-rows")
-    return rows.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"))
+    padded = F.expr(f"rpad(raw, cast(greatest({UNIT}, ceil(n_bytes / {UNIT}) * {UNIT}) AS int), X'00')")
+    texts = texts.withColumn("digest", F.sha2(padded, 256))
+    rows = materialize(texts.select("doc_id", "n_bytes", "digest"), f"{label}-digests")
+    least = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_least"))
+    again = materialize(least.filter("_n > 1").select(F.unhex("digest").alias("_digest"), "_least"), f"{label}-repeated")
+    if again.count() * 64 <= BROADCAST_BYTES:
+        again = F.broadcast(again)
+    ours = texts.select("doc_id", "digest", "text").join(again, F.unhex("digest") == F.col("_digest"), "left")
+    ours = ours.filter(F.col("_digest").isNull() | F.col("doc_id").eqNullSafe(F.col("_least")))
+    stored = materialize(ours.select("digest", "text").mapInArrow(write, OBJECTS), f"{label}-objects")
+    place = F.min(F.struct(F.concat(F.lit(f"{folder}/"), "shard").alias("shard"), "offset", "length")).alias("place")
+    return materialize(_attached(rows, stored.groupBy("digest").agg(place).select("digest", "place.*")), f"{label}-rows")
 
 
 def _read_objects(batches, schema, fields):
-    """Open each shard once, read each stored object once; rows come sorted by shard and offset."""
-    open_shard = source = last = found = None
+    """Open each shard once; objects come sorted by shard and offset."""
+    open_shard = source = None
     for batch in batches:
         cols: list[list] = [[] for _ in schema]
         for row in batch.to_pylist():
@@ -152,39 +183,39 @@ def _read_objects(batches, schema, fields):
                 if source is not None:
                     source.close()
                 fs, path = open_fs(row["shard"])
-                open_shard, source, last = row["shard"], fs.open_input_file(path), None
-            if row["offset"] != last:
-                last, found = row["offset"], fields(source, row)
-            for col, x in zip(cols, (row["doc_id"], *found(row)), strict=True):
+                open_shard, source = row["shard"], fs.open_input_file(path)
+            for col, x in zip(cols, (row["digest"], *fields(source, row)), strict=True):
                 col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
     if source is not None:
         source.close()
 
 
-def _by_shard(rows: DataFrame) -> DataFrame:
-    """As many partitions as shards: rows are tiny beside the objects they make a task read, so sizes must not merge them."""
+def _read(rows: DataFrame, fields, names: str) -> DataFrame:
+    """digest and the named columns of each stored object of rows. As many partitions as shards: an object's row is tiny
+    beside what it makes a task read, so sizes must not merge them."""
+    names = f"digest string, {names}"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in names.split(", "))])
+    objects = rows.select("digest", "shard", "offset", "length").distinct()
     n = rows.select("shard").distinct().count()
-    return rows.repartition(max(1, n), "shard").sortWithinPartitions("shard", "offset")
+    ordered = objects.repartition(max(1, n), "shard").sortWithinPartitions("shard", "offset")
+    return ordered.mapInArrow(lambda b: _read_objects(b, schema, fields), names)
 
 
 def header_columns(rows: DataFrame) -> DataFrame:
-    """width, height and bits of each row's object, from ranged reads of the header alone."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32())])
+    """doc_id, digest and width, height and bits of each row's object, from ranged reads of the header alone."""
 
     def fields(source, row):
-        head = image_header(source.read_at(HEADER_BYTES, row["offset"]))
-        return lambda r: (r["digest"], *head)
+        return image_header(source.read_at(HEADER_BYTES, row["offset"]))
 
-    ordered = _by_shard(rows)
-    return ordered.mapInArrow(lambda b: _read_objects(b, schema, fields), "doc_id long, digest string, width long, height long, bits int")
+    read = materialize(_read(rows, fields, "width long, height long, bits int"), "media-headers")
+    return _attached(rows.select("doc_id", "digest"), read).select("doc_id", "digest", "width", "height", "bits")
 
 
 def feature_columns(rows: DataFrame) -> DataFrame:
     """What the stored bytes give when read back: header columns, digests of payload and stored form, features."""
-    names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in names.split(", "))])
+    names = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
 
     def fields(source, row):
         width, height, _ = image_header(source.read_at(HEADER_BYTES, row["offset"]))
@@ -193,8 +224,7 @@ def feature_columns(rows: DataFrame) -> DataFrame:
         digest = hashlib.sha256(payload).hexdigest()
         if digest != row["digest"]:
             raise ValueError("a stored object does not match its digest")
-        own = (len(payload), digest, zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload), width, height)
-        return lambda r: (r["n_bytes"], *own)
+        return len(payload), digest, zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload), width, height
 
-    ordered = _by_shard(rows)
-    return ordered.mapInArrow(lambda b: _read_objects(b, schema, fields), names)
+    read = materialize(_read(rows, fields, names), "media-features")
+    return _attached(rows.select("doc_id", "n_bytes", "digest"), read).select("doc_id", "n_bytes", *[x.split()[0] for x in names.split(", ")])

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import tarfile
 import zlib
 
@@ -33,3 +34,27 @@ def test_stored_rows(spark, documents, odd_rows):
     with tarfile.open(shard) as tar:
         assert all(len(m.name) == 68 for m in tar.getmembers())
     assert media.feature_columns(media.store(documents([]))).count() == 0
+
+
+def test_equal_payloads_of_many_tasks_are_stored_once(spark, documents):
+    texts = ["same text", "same text\0", "another", "same text"]  # zero bytes at the end are the padding's
+    rows = [(i, texts[i % 4], "en", "s") for i in range(80)]
+    docs = documents(rows).repartition(8)
+    stored = media.store(docs)
+    assert stored.count() == 80
+    assert stored.select("digest").distinct().count() == 2
+    assert stored.select("shard", "offset").distinct().count() == 2
+    members = []
+    folder = stored.first()["shard"].removeprefix("file://").rsplit("/", 1)[0]
+    for shard in pathlib.Path(folder).glob("*.tar"):
+        with tarfile.open(shard) as tar:
+            members += [m.name for m in tar.getmembers()]
+    assert len(members) == len(set(members)) == 2
+
+
+def test_copies_beyond_the_broadcast_and_without_identifiers(spark, documents, monkeypatch):
+    monkeypatch.setattr(media, "BROADCAST_BYTES", 0)
+    rows = [(None, "a", "en", "s")] * 5 + [(3, "b", "en", "s")] * 4 + [(7, "b", "en", "s"), (8, None, "en", "s"), (9, "", "en", "s")]
+    out = media.feature_columns(media.store(documents(rows).repartition(4))).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in out) == sorted((r[0] or 0, len(r[1] or "")) for r in rows)
+    assert len({r["payload_sha256"] for r in out}) == 3
