@@ -1,4 +1,4 @@
-"""The twelve registered queries of this subpackage, thin wrappers over its operators, and their SQL."""
+"""The registered queries of this subpackage, thin wrappers over its operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, media, mixing, packing, pii, quality_rules, sharding, token_counts, token_store
+from . import fill_in_middle, jaccard_join, language_id, media, mixing, packing, pii, quality_rules, sharding, token_counts, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -58,6 +58,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op4_pii": op4_pii,
     "op6_token_output": op6_token_output,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 
@@ -195,3 +200,19 @@ WITH RECURSIVE d AS (
 )
 SELECT d.id AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.o) AS component_id FROM d LEFT JOIN n ON n.id = d.id JOIN r ON r.id = d.id GROUP BY d.id
 """
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS r1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS r2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), cut AS (
+  SELECT *, array_to_string(units[1:least(r1, r2)], '') AS p, array_to_string(units[least(r1, r2) + 1:greatest(r1, r2)], '') AS m, array_to_string(units[greatest(r1, r2) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
