@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fill_in_middle, jaccard_join, language_id, media, mixing, packing, pii, quality_rules, sharding, token_counts, token_store
+from . import fill_in_middle, jaccard_join, language_id, media, mixing, packing, pii, quality_rules, sharding, spelling, token_counts, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_token_output": op6_token_output,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 
@@ -216,3 +221,40 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
 FROM cut
 """
+
+# crc32 by its table of 256 remainders; near pairs share a word or one of the strings that deleting a letter leaves.
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, i) AS c FROM range(256) t(i)
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits
+), runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, UNNEST(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_transform(range(1, strlen(key) + 1), lambda i: CAST('0x' || substr(hex(key), 2 * i - 1, 2) AS BIGINT)),
+                                 lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key FROM runs), crc
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), keys AS (
+  SELECT word, n, word AS key FROM words
+  UNION SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, n, UNNEST(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.key = b.key AND a.word <> b.word
+  WHERE (length(a.word) = length(b.word) AND len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1)
+     OR (abs(length(a.word) - length(b.word)) = 1 AND (a.key = a.word OR b.key = b.word))
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN ends USING (word)
+"""
