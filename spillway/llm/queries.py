@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fill_in_middle, jaccard_join, language_id, media, mixing, packing, pii, quality_rules, sharding, spelling, token_counts, token_store
+from . import fill_in_middle, jaccard_join, language_id, lattice, media, mixing, packing, pii, quality_rules, sharding, spelling, token_counts, token_store
 from ._common import table
 from ._tokens import vocabulary
 
@@ -66,6 +66,10 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op11_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op1_language_id": op1_language_id,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op4_pii": op4_pii,
     "op6_token_output": op6_token_output,
+    "op11_lattice_hashing": op11_lattice_hashing,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -258,3 +263,21 @@ WITH RECURSIVE bits AS (
 )
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN ends USING (word)
 """
+
+ORACLE["op11_lattice_hashing"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings
+), links AS (
+  SELECT x.row AS a, y.row AS b FROM v x JOIN v y ON x.label = y.label AND x.row <> y.row AND x.ok AND y.ok AND len(x.e) = len(y.e)
+  WHERE CASE WHEN x.ok AND y.ok THEN list_cosine_similarity(x.e, y.e) END >= 0.93
+), reach AS (
+  SELECT row, row AS other FROM v UNION SELECT r.row, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT r.row, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.row = r.other GROUP BY r.row
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AND vec_id IS NOT NULL AS kept
+FROM v JOIN least USING (row) LEFT JOIN degree ON degree.a = v.row
+"""
