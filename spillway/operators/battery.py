@@ -19,7 +19,10 @@ from .candidates import anderson, ks_tail
 from .kernels import stream
 
 _N = NormalDist()
-_cdf = np.vectorize(_N.cdf, otypes=[float])
+
+
+def _cdf(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(_N.cdf, np.ravel(x)), float, np.size(x)).reshape(np.shape(x))
 
 
 def chi2_tail(x: float, df: int) -> float:

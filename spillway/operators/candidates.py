@@ -20,8 +20,24 @@ from . import kernels
 from .kernels import pearson3_factor, simplex, stream
 from .series import PERIODS
 
-reg_gamma = np.vectorize(kernels.reg_gamma, otypes=[float])
-_phi = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)), otypes=[float])
+
+
+def _elementwise(f: Callable, *values) -> np.ndarray:
+    """f of every element. Functions of a module are pickled by name; a NumPy object that caches what it compiled is not."""
+    at = np.broadcast_arrays(*values)
+    return np.fromiter((f(*map(float, v)) for v in zip(*(a.flat for a in at), strict=True)), float, at[0].size).reshape(at[0].shape)
+
+
+def _half_erfc(z: float) -> float:
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def reg_gamma(a, x) -> np.ndarray:
+    return _elementwise(kernels.reg_gamma, a, x)
+
+
+def _phi(z) -> np.ndarray:
+    return _elementwise(_half_erfc, z)
 
 
 @dataclass(frozen=True)
@@ -232,8 +248,9 @@ def residuals(series: DataFrame, fits: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "series_id string, family string, t int, z double")
 
 
-def curves(fits: DataFrame, points: int = 400, low: float = 1.01, high: float = 1000.0, top: float = 3e4) -> DataFrame:
-    """Return-level curves on a log grid of periods, values held within 0 and `top`; a row each for accepted and other fits."""
+def curves(fits: DataFrame, points: int = 400, low: float = 1.01, high: float = 1000.0, top: float = 20.0) -> DataFrame:
+    """Return-level curves on a log grid of periods, held within 0 and `top` times the record's greatest value; a row each for
+    accepted and other fits."""
     periods = np.geomspace(low, high, points)
 
     def run(batches):
@@ -241,9 +258,9 @@ def curves(fits: DataFrame, points: int = 400, low: float = 1.01, high: float =
             for r in pdf.itertuples(index=False):
                 f = CANDIDATES[r.family]
                 q = [f.ppf(1 - 1 / t, [r.p1, r.p2, r.p3][: f.k]) for t in periods]
-                yield pd.DataFrame({"series_id": r.series_id, "family": r.family, "accepted": r.accepted, "period": periods, "q": np.clip(q, 0, top)})
+                yield pd.DataFrame({"series_id": r.series_id, "family": r.family, "accepted": r.accepted, "period": periods, "q": np.clip(q, 0, top * r.q_max)})
 
-    own = fits.filter("p1 is not null and not exists(quantiles, v -> isnan(v))").select("series_id", "family", "accepted", "p1", "p2", "p3")
+    own = fits.filter("p1 is not null and not exists(quantiles, v -> isnan(v))").select("series_id", "family", "accepted", "p1", "p2", "p3", "q_max")
     return own.mapInPandas(run, "series_id string, family string, accepted boolean, period double, q double")
 
 
@@ -269,7 +286,7 @@ def population_moments(ppf: Callable[[np.ndarray], np.ndarray], p_low: float = 1
     at, weight = np.polynomial.legendre.leggauss(nodes)
     edge = -pearson3_factor(p_low, 0.0)
     z, w = at * edge, weight * edge * np.exp(-0.5 * (at * edge) ** 2) / math.sqrt(2 * math.pi)
-    x = np.asarray(ppf(_phi(z), 0.5 * np.vectorize(math.erfc)(z / math.sqrt(2))), float)
+    x = np.asarray(ppf(_phi(z), _phi(-z)), float)
     mean = float(w @ x)
     sd = math.sqrt(float(w @ (x - mean) ** 2))
     return {"mean": mean, "sd": sd, "cs": float(w @ ((x - mean) / sd) ** 3), "ck": float(w @ ((x - mean) / sd) ** 4)}

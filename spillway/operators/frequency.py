@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.special import norm_cdf, norm_ppf, num
+from ..functions.special import norm_cdf, norm_ppf, num, pearson3_factor_steps, pearson3_steps
 from .moments import lmoments, log_moments
 from .series import PERIODS, ranked
 
@@ -95,10 +95,14 @@ def wilson_hilferty(skew: str, p: str) -> Column:
     return F.expr(f"CASE WHEN abs({skew}) < CAST(1e-10 AS DOUBLE) THEN {z} ELSE 2 / {skew} * (power(1 + {skew} * {z} / 6 - {skew} * {skew} / 36, 3) - 1) END")
 
 
-def lp3(series: DataFrame, level: float = 0.95) -> DataFrame:
-    """Log-Pearson III by moments: frequency factor, quantile, standard error and limits of every return period."""
+def lp3(series: DataFrame, level: float = 0.95, factors: DataFrame | None = None) -> DataFrame:
+    """Log-Pearson III by moments: frequency factor, quantile, standard error and limits of every return period.
+
+    factors: series_id, period, factor, such as kernels.exact_factors(); without them, Wilson and Hilferty's.
+    """
     df = periods(log_moments(series)).withColumn("p", 1 - 1 / F.col("period"))
-    df = df.withColumn("factor", wilson_hilferty("skew_log", "p")).withColumn("q", F.exp(F.col("mean_log") + F.col("factor") * F.col("sd_log")))
+    df = df.withColumn("factor", wilson_hilferty("skew_log", "p")) if factors is None else df.join(factors.select("series_id", "period", "factor"), ["series_id", "period"])
+    df = df.withColumn("q", F.exp(F.col("mean_log") + F.col("factor") * F.col("sd_log")))
     k, g = F.col("factor"), F.col("skew_log")
     inner = 1 + k**2 / 2 * (1 + 3 * g**2 / 4) + k * g
     df = df.withColumn("se", F.col("sd_log") * F.sqrt(F.greatest(inner, F.lit(0.0)) / F.col("n")))
@@ -106,6 +110,44 @@ def lp3(series: DataFrame, level: float = 0.95) -> DataFrame:
     return df.select("series_id", "period", "n", "mean_log", "sd_log", "skew_log", "factor", "q", "se", (F.col("q") * F.exp(-z * F.col("se"))).alias("q_low"), (F.col("q") * F.exp(z * F.col("se"))).alias("q_high"))
 
 
+def staged(df: DataFrame, steps: list[list[tuple[str, str]]]) -> DataFrame:
+    """df with the columns of all steps of a special function."""
+    for step in steps:
+        df = df.withColumns({name: F.expr(text) for name, text in step})
+    return df
+
+
+def lp3_distribution(series: DataFrame) -> DataFrame:
+    """The fitted log-Pearson III law at every value of q: cdf, its complement without loss, and the density on the scale of q."""
+    fits = log_moments(series).filter("sd_log > 0 AND skew_log IS NOT NULL").select("series_id", "n", "mean_log", "sd_log", "skew_log")
+    df = series.select("series_id", "t", "q").filter("q > 0").withColumn("y", F.log("q")).join(fits, "series_id")
+    df = staged(df, pearson3_steps("y", "mean_log", "sd_log", "skew_log", "w"))
+    return df.select("series_id", "t", "n", "q", F.col("w_cdf").alias("cdf"), F.col("w_sf").alias("sf"), (F.col("w_pdf") / F.col("q")).alias("density"))
+
+
+def factor_gap(series: DataFrame) -> DataFrame:
+    """Exact Pearson-III factors beside Wilson and Hilferty's for every return period, and what these are off by in percent."""
+    df = periods(log_moments(series).filter("skew_log IS NOT NULL").select("series_id", F.col("skew_log").alias("skew"))).withColumn("p", 1 - 1 / F.col("period"))
+    df = staged(df, pearson3_factor_steps("p", "skew", "exact")).withColumn("approximate", wilson_hilferty("skew", "p"))
+    gap = F.try_divide(100 * (F.col("approximate") - F.col("exact")), F.abs("exact"))
+    return df.select("series_id", "period", "skew", "exact", "approximate", gap.alias("gap_percent"))
+
+
+def implied_periods(series: DataFrame, design: DataFrame) -> DataFrame:
+    """The period that the fitted law gives the record's greatest value, which may lie beyond any table of design values.
+
+    design: series_id, period, q. passed is false if a design value of a period of n or more does not exceed the record's
+    greatest, or if the implied period exceeds 2 (n + 1).
+    """
+    fits = log_moments(series).filter("sd_log > 0 AND skew_log IS NOT NULL").select("series_id", "n", "mean_log", "sd_log", "skew_log")
+    top = series.groupBy("series_id").agg(F.max("q").alias("max")).filter("max > 0").join(fits, "series_id").withColumn("y", F.log("max"))
+    top = staged(top, pearson3_steps("y", "mean_log", "sd_log", "skew_log", "w"))
+    top = top.select("series_id", "n", "max", F.col("w_cdf").alias("cdf"), (1 / F.greatest("w_sf", F.lit(1e-12))).alias("implied_period"))
+    low = design.select("series_id", "period", "q").join(top.select("series_id", "n", "max"), "series_id").groupBy("series_id").agg(F.sum(((F.col("period") >= F.col("n")) & (F.col("q") <= F.col("max"))).cast("int")).alias("n_below"))
+    df = top.join(low, "series_id", "left").withColumn("n_below", F.coalesce("n_below", F.lit(0)))
+    return df.withColumn("passed", (F.col("n_below") == 0) & (F.col("implied_period") <= 2 * (F.col("n") + 1)))
+
+
 def skew_decision(series: DataFrame, limit: float = 0.9) -> DataFrame:
     """z = |skew| / se, one-sided tail, whether the skew is within one se of zero, and which rule governs."""
     df = log_moments(series).withColumn("z", F.abs("skew_log") / F.col("se_skew"))
@@ -114,9 +156,10 @@ def skew_decision(series: DataFrame, limit: float = 0.9) -> DataFrame:
 
 
 def skew_band(series: DataFrame, n_std: float = 1.96, step: float = 0.05) -> DataFrame:
-    """Quantiles over a grid of skews around the estimate, and their ratio to the estimate's."""
+    """Quantiles over a grid of skews around the estimate with both ends, and their ratio to the estimate's."""
     df = log_moments(series).withColumn("_h", n_std * F.col("se_skew"))
-    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(2 * F.col("_h") / step).cast("int")))).withColumn("skew", F.round(F.col("skew_log") - F.col("_h") + step * F.col("_i"), 6))
+    inner = F.transform(F.sequence(F.lit(0), F.floor(2 * F.col("_h") / step).cast("int")), lambda i: F.round(F.col("skew_log") - F.col("_h") + step * i, 6))
+    df = df.withColumn("skew", F.explode(F.array_union(inner, F.array(F.round(F.col("skew_log") + F.col("_h"), 6)))))
     df = periods(df).withColumn("p", 1 - 1 / F.col("period"))
     df = df.withColumns({"q": F.exp(F.col("mean_log") + wilson_hilferty("skew", "p") * F.col("sd_log")), "_q0": F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log"))})
     return df.select("series_id", "skew", "period", "q", (F.col("q") / F.col("_q0")).alias("ratio"))

@@ -64,26 +64,6 @@ def checks(records: DataFrame, meta: DataFrame) -> DataFrame:
     return _facts(records, meta).select("series_id", F.inline(F.array(*rows)))
 
 
-def implied_periods(design: DataFrame, extremes: DataFrame) -> DataFrame:
-    """Whether the design curve can hold the record: the period that the curve gives its greatest value, by interpolation.
-
-    design: series_id, period, q; extremes: series_id, n, max. It fails if a design value of a period of n or more lies below
-    the record's greatest, or if the implied period exceeds 2 (n + 1).
-    """
-    line = F.transform(F.array_sort(F.collect_list(F.struct("period", "q"))), lambda x: x)
-    d = design.groupBy("series_id").agg(line.alias("_d")).join(extremes.select("series_id", "n", "max"), "series_id")
-    y = lambda t: -F.log(-F.log(1 - 1 / t))
-    above = F.filter("_d", lambda x: x["q"] >= F.col("max"))
-    below = F.filter("_d", lambda x: x["q"] < F.col("max"))
-    a, b = F.element_at(below, -1), F.element_at(above, 1)
-    share = (F.col("max") - a["q"]) / (b["q"] - a["q"])
-    at = y(a["period"]) + share * (y(b["period"]) - y(a["period"]))
-    implied = F.when(F.size(below) == 0, F.element_at("_d", 1)["period"]).when(F.size(above) == 0, F.lit(None).cast("double")).otherwise(1 / (1 - F.exp(-F.exp(-at))))
-    short = F.exists("_d", lambda x: (x["period"] >= F.col("n")) & (x["q"] < F.col("max")))
-    d = d.withColumns({"implied_period": implied, "_short": short})
-    return d.select("series_id", "n", "max", "implied_period", (~F.col("_short") & F.coalesce(F.col("implied_period") <= 2 * (F.col("n") + 1), F.lit(False))).alias("passed"))
-
-
 CLAUSES = (
     ("2.1", "the record has no gaps"), ("2.2", "each peak is the highest of its year"), ("2.3", "the rating curve is current"), ("2.4", "one datum throughout, and stated"), ("2.5", "changes of the channel are assessed"), ("2.6", "outliers have been screened"),
     ("3.1", "stationarity has been tested"), ("3.2", "the record is long enough for the periods"), ("3.3", "independent evidence where it is not"),
@@ -98,7 +78,7 @@ def checklist(
 ) -> DataFrame:
     """The eighteen clauses, long: series_id, clause, requirement, status. A clause whose result is missing is manual, never passed.
 
-    quality: checks(); design: with q_low and q_high; hfl: implied_periods(); skew: skew_decision(); fits: ranked candidates;
+    quality: checks(); design: with q_low and q_high; hfl: frequency.implied_periods(); skew: skew_decision(); fits: ranked candidates;
     outliers: any screen; peaks: the gated fit; tests: the battery.
     """
     df = records.groupBy("series_id").agg(F.count("q").alias("n"))

@@ -6,37 +6,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.special import chi2_sf, norm_cdf, norm_ppf, norm_sf2, num
+from ..functions.special import chi2_sf, norm_cdf, norm_ppf, norm_sf2, num, student_steps
 from .dependence import acf
+from .frequency import staged
+from .inversions import kendall_counts, kendall_law, slopes, spearman_law
 from .moments import moment_coefficients
 from .series import ordered, ranked, sized
 
 
-def _pairs(series: DataFrame) -> DataFrame:
-    """Every pair of times of a series; the equal series_id keeps it a hash join with a residual."""
-    a = series.select("series_id", F.col("t").alias("ta"), F.col("q").alias("qa"))
-    b = series.select("series_id", F.col("t").alias("tb"), F.col("q").alias("qb"))
-    return a.join(b, "series_id").filter("ta < tb")
-
-
 def _p(z: Column) -> Column:
     return F.expr(norm_sf2("z"))
 
 
 def mann_kendall(series: DataFrame) -> DataFrame:
-    """S, its variance corrected for ties, z with continuity correction, two-sided p and tau-b."""
-    s = _pairs(series).groupBy("series_id").agg(F.sum(F.signum(F.col("qb") - F.col("qa"))).alias("s"))
-    ties = series.groupBy("series_id", "q").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    c = F.col("c")
-    ties = ties.groupBy("series_id").agg(F.sum("c").alias("n"), F.sum(c * (c - 1) * (2 * c + 5)).alias("tie_v"), F.sum(c * (c - 1) / 2).alias("tie_p"))
-    df = ties.join(s, "series_id")
+    """S, its variance corrected for ties, z with continuity correction, two-sided p and tau-b; S by counting inversions."""
+    df = kendall_counts(series, unique_x=True)
     n = F.col("n")
-    df = df.withColumns({"var_s": (n * (n - 1) * (2 * n + 5) - F.col("tie_v")) / 18, "_all": n * (n - 1) / 2})
+    df = df.withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("vy")) / 18).filter("n > 1")
     df = df.withColumn("z", F.when(F.col("var_s") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var_s")))
-    tau = F.try_divide(F.col("s"), F.sqrt((F.col("_all") - F.col("tie_p")) * F.col("_all")))
+    tau = F.try_divide(F.col("s"), F.sqrt((F.col("pairs") - F.col("ty")) * F.col("pairs")))
     return df.select("series_id", n.cast("long").alias("n"), "s", "var_s", "z", _p(F.col("z")).alias("p"), tau.alias("tau"))
 
 
+def kendall(rows: DataFrame, x: str = "t", y: str = "q", exact: int = 30) -> DataFrame:
+    """tau-b of two columns with its two-sided p: exact without ties and for n up to `exact`, else by the normal limit of S."""
+    df = kendall_counts(rows, x, y).filter("n > 1").withColumn("d", ((F.col("pairs") - F.col("s")) / 2).cast("long"))
+    tau = F.try_divide(F.col("s"), F.sqrt(F.col("pairs") - F.col("tx")) * F.sqrt(F.col("pairs") - F.col("ty")))
+    n = F.col("n")
+    whole = n * (n - 1) * (2 * n + 5)
+    # The variance of S with ties on both sides; vx and its relatives only matter where x has ties.
+    ties = rows.select(F.col("series_id").cast("string").alias("series_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    c = F.col("c")
+
+    def terms(col: str, tag: str) -> DataFrame:
+        g = ties.groupBy("series_id", col).agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("series_id")
+        return g.agg(F.sum(c * (c - 1) * (2 * c + 5)).alias(f"v{tag}_"), F.sum(c * (c - 1)).alias(f"a{tag}_"), F.sum(c * (c - 1) * (c - 2)).alias(f"b{tag}_"))
+
+    df = df.join(terms("x", "x"), "series_id").join(terms("y", "y"), "series_id")
+    var = (whole - F.col("vx_") - F.col("vy_")) / 18 + F.try_divide(F.col("ax_") * F.col("ay_"), 2 * n * (n - 1)) + F.coalesce(F.try_divide(F.col("bx_") * F.col("by_"), 9 * n * (n - 1) * (n - 2)), F.lit(0.0))
+    df = df.withColumns({"tau": tau, "var_s": var}).withColumn("z", F.when(F.col("var_s") > 0, F.col("s") / F.sqrt("var_s")))
+    law = kendall_law(rows.sparkSession, exact).select(F.col("n").cast("double").alias("n"), "d", F.col("p").alias("exact"))
+    df = df.join(F.broadcast(law), ["n", "d"], "left")  # a constant table
+    untied = (F.col("tx") == 0) & (F.col("ty") == 0)
+    p = F.when(untied & F.col("exact").isNotNull(), F.col("exact")).otherwise(_p(F.col("z")))
+    return df.select("series_id", n.cast("long").alias("n"), "s", "tau", p.alias("p"), (untied & F.col("exact").isNotNull()).alias("is_exact"))
+
+
+def spearman(rows: DataFrame, x: str = "t", y: str = "q") -> DataFrame:
+    """Rank correlation with its two-sided p: by all permutations for up to 8 values without ties, else by Student's law."""
+    rows = rows.select("series_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rank = lambda c: F.rank().over(W.partitionBy("series_id").orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("series_id", c)) - 1) / 2
+    df = rows.withColumns({"rx": rank("x"), "ry": rank("y")})
+    whole = (F.col("rx") == F.floor("rx")) & (F.col("ry") == F.floor("ry"))
+    g = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"), F.sum((F.col("rx") - F.col("ry")) ** 2).alias("d2"), F.count_distinct("x").alias("ux"), F.count_distinct("y").alias("uy"), F.bool_and(whole).alias("whole"))
+    g = g.withColumn("untied", F.col("whole") & (F.col("ux") == F.col("n")) & (F.col("uy") == F.col("n")))
+    law = spearman_law(rows.sparkSession).select(F.col("n").cast("long").alias("n"), F.col("d2").cast("double").alias("d2"), F.col("p").alias("exact"))
+    g = g.filter("n > 2 AND rho IS NOT NULL").join(F.broadcast(law), ["n", "d2"], "left")  # a constant table
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("rho") ** 2, F.lit(1e-300)))
+    g = g.withColumns({"t": t, "df": (F.col("n") - 2).cast("double"), "is_exact": F.col("untied") & F.col("exact").isNotNull()})
+    g = staged(g, student_steps("t", "df", "student"))
+    tail = F.when(F.abs("rho") >= 1 - 1e-15, 0.0).otherwise(F.col("student"))
+    return g.select("series_id", "n", "rho", F.when(F.col("is_exact"), F.col("exact")).otherwise(tail).alias("p"), "is_exact")
+
+
 def hamed_rao(series: DataFrame, lags: int = 10, alpha: float = 0.05) -> DataFrame:
     """Mann-Kendall with the variance corrected by the significant autocorrelations of the detrended ranks."""
     sen = theil_sen(series).select("series_id", "slope")
@@ -52,16 +84,17 @@ def hamed_rao(series: DataFrame, lags: int = 10, alpha: float = 0.05) -> DataFra
 
 
 def theil_sen(series: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """The median pairwise slope, intercept med(q) - slope med(t), and the rank-based limits of the slope."""
-    slopes = _pairs(series).select("series_id", ((F.col("qb") - F.col("qa")) / (F.col("tb") - F.col("ta"))).alias("b"))
-    v = mann_kendall(series).select("series_id", "n", "var_s")
-    m = series.groupBy("series_id").agg(F.percentile("q", F.lit(0.5)).alias("mq"), F.percentile("t", F.lit(0.5)).alias("mt"))
-    g = slopes.groupBy("series_id").agg(F.percentile("b", F.lit(0.5)).alias("slope"), F.sort_array(F.collect_list("b")).alias("_b"), F.count(F.lit(1)).alias("pairs"))
-    g = g.join(v, "series_id").join(m, "series_id")
+    """The median pairwise slope, intercept med(q) - slope med(t), and the rank-based limits of the slope; no list of all slopes is made."""
+    v = mann_kendall(series).select("series_id", "n", "var_s").withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
     c = F.expr(norm_ppf(num(1 - alpha / 2))) * F.sqrt("var_s")
-    low = F.greatest(F.floor((F.col("pairs") - c) / 2), F.lit(0)).cast("int")
-    high = F.least(F.ceil((F.col("pairs") + c) / 2), F.col("pairs") - 1).cast("int")
-    return g.select("series_id", "n", "pairs", "slope", (F.col("mq") - F.col("slope") * F.col("mt")).alias("intercept"), F.get("_b", low).alias("slope_low"), F.get("_b", high).alias("slope_high"))
+    low = F.greatest(F.floor((F.col("pairs") - c) / 2), F.lit(0)).cast("long")
+    high = F.least(F.ceil((F.col("pairs") + c) / 2), F.col("pairs") - 1).cast("long")
+    middle = [F.floor((F.col("pairs") - 1) / 2).cast("long"), F.floor(F.col("pairs") / 2).cast("long")]
+    v = v.withColumn("ks", F.array(*middle, low, high))
+    found = slopes(series, v.select(F.col("series_id"), "ks"))
+    m = series.groupBy("series_id").agg(F.percentile("q", F.lit(0.5)).alias("mq"), F.percentile("t", F.lit(0.5)).alias("mt"))
+    g = v.join(found, "series_id").join(m, "series_id").withColumn("slope", (F.get("slopes", F.lit(0)) + F.get("slopes", F.lit(1))) / 2)
+    return g.select("series_id", "n", "pairs", "slope", (F.col("mq") - F.col("slope") * F.col("mt")).alias("intercept"), F.get("slopes", F.lit(2)).alias("slope_low"), F.get("slopes", F.lit(3)).alias("slope_high"))
 
 
 def prewhitened(series: DataFrame) -> DataFrame:

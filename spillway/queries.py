@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, t_ppf_upper
+from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, pearson3_factor_steps, pearson3_steps, sql_fold, staged_sql, student_steps, t_ppf_upper
 from .operators import battery, candidates, dependence, features, frequency, kernels, learning, moments, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +210,27 @@ query("mann_kendall", lambda s, d: trend.mann_kendall(events(s, d)), f"WITH {_EV
 _SEN = f"""sl AS (SELECT a.series_id, (b.q - a.q) / (b.t - a.t) AS b FROM s a JOIN s b ON a.series_id = b.series_id AND a.t < b.t), sg AS (SELECT series_id, count(*) AS pairs, quantile_cont(b, 0.5) AS slope, list_sort(list(b)) AS l FROM sl GROUP BY 1),
 sm AS (SELECT series_id, quantile_cont(q, 0.5) AS mq, quantile_cont(t, 0.5) AS mt FROM s GROUP BY 1), sc AS (SELECT series_id, pairs, slope, l, mq - slope * mt AS intercept, CAST(mk.n AS BIGINT) AS n, {_Z975} * sqrt(var_s) AS c FROM sg JOIN sm USING (series_id) JOIN mk USING (series_id))"""
 query("theil_sen", lambda s, d: trend.theil_sen(events(s, d)), f"WITH {_EVENTS}, {_MK}, {_SEN} SELECT series_id, n, pairs, slope, intercept, l[CAST(greatest(floor((pairs - c) / 2), 0) AS INTEGER) + 1] AS slope_low, l[CAST(least(ceil((pairs + c) / 2), pairs - 1) AS INTEGER) + 1] AS slope_high FROM sc", columns="slope intercept slope_low slope_high")
+query(
+    "kendall",
+    lambda s, d: trend.kendall(events(s, d)),
+    f"""WITH RECURSIVE {_EVENTS}, {_MK}, counts AS (
+      SELECT 2 AS m, [CAST(1 AS HUGEINT), CAST(1 AS HUGEINT)] AS c
+      UNION ALL SELECT m + 1, list_transform(range(len(c) + m), lambda k: CAST(list_sum(c[greatest(k - m, 0) + 1:least(k, len(c) - 1) + 1]) AS HUGEINT)) FROM counts WHERE m < 30
+    ), law AS (
+      SELECT m, d, least(1, 2 * CAST(list_sum(c[1:least(d, len(c) - 1 - d) + 1]) AS DOUBLE) / CAST(list_sum(c) AS DOUBLE)) AS p FROM (SELECT m, c, UNNEST(range(len(c))) AS d FROM counts)
+    ), k AS (
+      SELECT series_id, n, s, tp, var_s, s / sqrt((n * (n - 1) / 2 - tp) * (n * (n - 1) / 2)) AS tau, CAST((n * (n - 1) / 2 - s) / 2 AS BIGINT) AS d, s / sqrt(var_s) AS z FROM mk
+    ) SELECT series_id, CAST(n AS BIGINT) AS n, s, tau, CASE WHEN tp = 0 AND law.p IS NOT NULL THEN law.p ELSE {norm_sf2('z')} END AS p, tp = 0 AND law.p IS NOT NULL AS is_exact FROM k LEFT JOIN law ON law.m = k.n AND law.d = k.d""",
+    columns="s tau p",
+)
+query(
+    "spearman",
+    lambda s, d: trend.spearman(events(s, d)),
+    f"""WITH {_EVENTS}, k AS (SELECT series_id, t, q, rank() OVER (PARTITION BY series_id ORDER BY t) + 0.0::DOUBLE AS x, rank() OVER (PARTITION BY series_id ORDER BY q) + (count(*) OVER (PARTITION BY series_id, q) - 1) / 2.0::DOUBLE AS y FROM s),
+    g AS (SELECT series_id, count(*) AS n, corr(x, y) AS rho FROM k GROUP BY 1 HAVING count(*) > 8), t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM g)
+    SELECT series_id, n, rho, p, false AS is_exact FROM {staged_sql('t', student_steps('t', 'df', 'p', sql_fold))}""",
+    columns="rho p",
+)
 query("hamed_rao", lambda s, d: trend.hamed_rao(events(s, d)))
 query("prewhitened", lambda s, d: trend.prewhitened(events(s, d)))
 query("pettitt", lambda s, d: trend.pettitt(events(s, d)), f"""WITH {_EVENTS}, r AS (SELECT series_id, t, n, rank() OVER (PARTITION BY series_id ORDER BY q) + (count(*) OVER (PARTITION BY series_id, q) - 1) / 2.0::DOUBLE AS k FROM s), u AS (SELECT series_id, t, n, abs(2 * sum(k) OVER (PARTITION BY series_id ORDER BY t) - t * (n + 1)) AS u FROM r)
@@ -258,7 +279,7 @@ query("ranking", lambda s, d: frequency.ranking(events(s, d)).select("series_id"
 _LP3 = f"""lt AS (SELECT *, {_PERIODS} AS period FROM f), lk AS (SELECT *, {_wh('skew_log', '(1 - 1 / period)')} AS factor FROM lt), lq AS (SELECT *, exp(mean_log + factor * sd_log) AS q, sd_log * sqrt(greatest(1 + factor * factor / 2 * (1 + 3 * skew_log * skew_log / 4) + factor * skew_log, 0) / n) AS se FROM lk)"""
 query("lp3", lambda s, d: frequency.lp3(events(s, d)), f"WITH {_EVENTS}, {_LOGFIT}, {_LP3} SELECT series_id, period, n, mean_log, sd_log, skew_log, factor, q, se, q * exp(-{_Z975} * se) AS q_low, q * exp({_Z975} * se) AS q_high FROM lq", digits=4, columns="period mean_log sd_log skew_log factor q se q_low q_high")
 query("skew_decision", lambda s, d: frequency.skew_decision(events(s, d)), f"WITH {_EVENTS}, {_LOGFIT}, z AS (SELECT series_id, skew_log, abs(skew_log) / se_skew AS z FROM f) SELECT series_id, skew_log, z, 1 - {norm_cdf('z')} AS tail, z < 1 AS within, abs(skew_log) >= 0.9 AS kurtosis_governed FROM z", columns="skew_log z tail")
-query("skew_band", lambda s, d: frequency.skew_band(events(s, d)), f"""WITH {_EVENTS}, {_LOGFIT}, h AS (SELECT *, 1.96::DOUBLE * se_skew AS h FROM f), g AS (SELECT *, UNNEST(range(CAST(floor(2 * h / 0.05::DOUBLE) AS INTEGER) + 1)) AS i FROM h), k AS (SELECT *, round(skew_log - h + 0.05::DOUBLE * i, 6) AS skew FROM g), t AS (SELECT *, {_PERIODS} AS period FROM k)
+query("skew_band", lambda s, d: frequency.skew_band(events(s, d)), f"""WITH {_EVENTS}, {_LOGFIT}, h AS (SELECT *, 1.96::DOUBLE * se_skew AS h FROM f), g AS (SELECT *, UNNEST(range(CAST(floor(2 * h / 0.05::DOUBLE) AS INTEGER) + 2)) AS i FROM h), k AS (SELECT DISTINCT * EXCLUDE i, round(least(skew_log + h, skew_log - h + 0.05::DOUBLE * i), 6) AS skew FROM g), t AS (SELECT *, {_PERIODS} AS period FROM k)
 SELECT series_id, skew, period, exp(mean_log + ({_wh('skew', '(1 - 1 / period)')}) * sd_log) AS q, exp(mean_log + ({_wh('skew', '(1 - 1 / period)')}) * sd_log) / exp(mean_log + ({_wh('skew_log', '(1 - 1 / period)')}) * sd_log) AS ratio FROM t""", digits=3, columns="skew period q ratio")
 _DESIGN = f"""WITH {_EVENTS}, {_LOGFIT}, {_LP3}, {_FITS}, fq AS (SELECT series_id, family, period, {_Q} AS q FROM (SELECT *, {_PERIODS} AS period FROM fits)), wide AS (SELECT series_id, period, max(CASE WHEN family = 'gumbel_mom' THEN q END) AS gumbel_mom, max(CASE WHEN family = 'gumbel_lmom' THEN q END) AS gumbel_lmom, max(CASE WHEN family = 'ln2' THEN q END) AS ln2, max(CASE WHEN family = 'exponential' THEN q END) AS exponential FROM fq GROUP BY 1, 2)
 SELECT series_id, period, q AS lp3, q * exp(-{_Z975} * se) AS q_low, q * exp({_Z975} * se) AS q_high, gumbel_mom, gumbel_lmom, ln2, exponential, greatest(q, gumbel_mom, ln2) - least(q, gumbel_mom, ln2) AS spread, 100 * (greatest(q, gumbel_mom, ln2) - least(q, gumbel_mom, ln2)) / q AS spread_percent FROM lq JOIN wide USING (series_id, period)"""
@@ -333,7 +354,30 @@ def station_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("station_checks", lambda s, d: station.checks(records(s, d), station_meta(s, d)), digits=4)
-query("implied_periods", lambda s, d: station.implied_periods(frequency.design_values(events(s, d)).select("series_id", "period", F.col("lp3").alias("q")), moments.summary(events(s, d)).select("series_id", "n", "max")), digits=3)
+query(
+    "implied_periods",
+    lambda s, d: frequency.implied_periods(events(s, d), frequency.lp3(events(s, d))).withColumn("implied_period", F.round("implied_period", 2)),
+    f"""WITH {_EVENTS}, {_LOGFIT}, {_LP3}, x AS (SELECT f.series_id, f.n, mean_log, sd_log, skew_log, ln(max(q)) AS y, max(q) AS max FROM f JOIN s USING (series_id) WHERE sd_log > 0 AND skew_log IS NOT NULL GROUP BY ALL),
+    w AS (SELECT series_id, n, max, w_cdf AS cdf, 1 / greatest(w_sf, {num(1e-12)}) AS implied_period FROM {staged_sql("x", pearson3_steps("y", "mean_log", "sd_log", "skew_log", "w", sql_fold))}),
+    b AS (SELECT series_id, count(CASE WHEN period >= w.n AND q <= max THEN 1 END) AS n_below FROM lq JOIN w USING (series_id) GROUP BY 1)
+    SELECT series_id, n, max, cdf, round(implied_period, 2) AS implied_period, n_below, n_below = 0 AND implied_period <= 2 * (n + 1) AS passed FROM w JOIN b USING (series_id)""",
+    columns="max cdf",
+)
+query(
+    "lp3_distribution",
+    lambda s, d: frequency.lp3_distribution(events(s, d)),
+    f"""WITH {_EVENTS}, {_LOGFIT}, x AS (SELECT f.*, CAST(t AS INTEGER) AS t, q, ln(q) AS y FROM f JOIN s USING (series_id) WHERE sd_log > 0 AND skew_log IS NOT NULL)
+    SELECT series_id, t, n, q, w_cdf AS cdf, w_sf AS sf, w_pdf / q AS density FROM {staged_sql("x", pearson3_steps("y", "mean_log", "sd_log", "skew_log", "w", sql_fold))}""",
+    columns="q cdf sf density",
+)
+query(
+    "factor_gap",
+    lambda s, d: frequency.factor_gap(events(s, d)),
+    f"""WITH {_EVENTS}, {_LOGFIT}, x AS (SELECT series_id, skew_log AS skew, period, 1 - 1 / period AS p FROM (SELECT *, {_PERIODS} AS period FROM f WHERE skew_log IS NOT NULL)),
+    k AS (SELECT *, {_wh("skew", "p")} AS approximate FROM {staged_sql("x", pearson3_factor_steps("p", "skew", "exact", sql_fold))})
+    SELECT series_id, period, skew, exact, approximate, 100 * (approximate - exact) / nullif(abs(exact), 0) AS gap_percent FROM k""",
+    columns="period skew exact approximate gap_percent",
+)
 query("station_checklist", lambda s, d: station.checklist(events(s, d), design=frequency.design_values(events(s, d)), skew=frequency.skew_decision(events(s, d)), fits=frequency.ranking(events(s, d)), tests=battery.tests(events(s, d)), outliers=quality.grubbs(events(s, d))))
 query("exact_factors", lambda s, d: kernels.exact_factors(moments.log_moments(events(s, d)).withColumnRenamed("skew_log", "skew")))
 query("posterior", lambda s, d: resampling.posterior(kernels.mcmc(events(s, d)).cache()), digits=3)
