@@ -60,7 +60,7 @@ def scratch() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _open.remove(paths)
+        _open.pop()  # blocks end in the reverse order of their beginnings
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -586,14 +586,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")), "jaccard-ids")
     again = ids.filter("rows > 1").select(F.col("doc_id").alias("_id"))
     gone = materialize(ids.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id")), "jaccard-gone")
-    own = docs["doc_id"].cast("long")
-    stay = docs.join(_small(gone, "1"), own == F.col("_id"), "left_anti")
+    # The row travels as one column, so its names can't clash with those used here.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_own"), "text")
+    stay = packed.join(_small(gone, "1"), F.col("_own") == F.col("_id"), "left_anti").select("_row.*")
     if not again.limit(1).count():
         return stay
-    several = docs.join(again, own == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    several = packed.join(again, F.col("_own") == F.col("_id"), "left_semi").dropDuplicates(["_own", "text"]).select("_row")
     kinds = materialize(found.join(again, F.col("doc_id") == F.col("_id"), "left_semi").filter("stays").select("doc_id", F.coalesce("cls", F.lit(0)).alias("cls")).distinct(), "jaccard-several")
     at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
-    packed = several.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
     def classed(batches):
         shingler = Shingler()
@@ -602,7 +602,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             cls = [class_of(x) if len(x) else 0 for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(id_at).cast(pa.int64()), pa.array(cls, pa.int64())], names=["_row", "_id", "_cls"])
 
-    schema = T.StructType([*packed.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_cls", T.LongType())])
-    rows = packed.mapInArrow(classed, schema)
+    schema = T.StructType([*several.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_cls", T.LongType())])
+    rows = several.mapInArrow(classed, schema)
     kept = rows.join(kinds, (rows["_id"] == kinds["doc_id"]) & (rows["_cls"] == kinds["cls"]), "left_semi")
     return stay.unionByName(kept.select("_row.*"))
