@@ -27,17 +27,19 @@ from spillway.llm import jaccard_join, language_id, mixing, packing, pii
 from spillway.llm._common import discard, materialize, scratch, table
 from spillway.llm._tokens import vocabulary
 
-_left: list[str] = []
+#: Tables that the last stage of a run has left, by application and input.
+_left: dict[tuple[str, str], list[str]] = {}
 
 
 def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage whose own tables are deleted when the next one begins: its result has been written by then."""
 
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _left)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        discard(spark, _left.pop(key, []))
         with scratch() as used:
             out = work(docs)
-        _left.extend(used)
+        _left[key] = used
         return out
 
     return stage
@@ -60,7 +62,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; each one's table is deleted when the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as written:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, before)
+        before = [p for p in written if f"/pipeline-{name}-" in p]
     return docs
