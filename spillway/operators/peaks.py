@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from .frequency import periods
 from .kernels import fit_gpd, gpd_profile
+from .ranks import percentiles, running
 from .series import PERIODS
 
 #: Candidate thresholds, as percentiles of the base.
@@ -21,7 +22,7 @@ METHODS = ("jenkinson_collison", "profile_penalty", "quantile")
 
 def over_candidates(base: DataFrame, at: tuple[float, ...] = CANDIDATES) -> DataFrame:
     """base: series_id, x. A row for every value and candidate threshold below it: at, u, n_base, y."""
-    g = base.groupBy("series_id").agg(F.percentile("x", F.array(*[F.lit(p) for p in at])).alias("_u"), F.count("x").alias("n_base"))
+    g = percentiles(base, at).select("series_id", F.col("values").alias("_u"), F.col("n").alias("n_base"))
     steps = F.array(*[F.struct(F.lit(p).alias("at"), F.col("_u")[i].alias("u")) for i, p in enumerate(at)])
     df = base.join(g, "series_id").select("series_id", "x", "n_base", F.inline(F.filter(steps, lambda s: s["u"] < F.col("x"))))
     return df.withColumn("y", F.col("x") - F.col("u"))
@@ -55,21 +56,26 @@ def level_stability(scan: DataFrame, per_block: float = 1.0) -> DataFrame:
 
 def jenkinson_collison(base: DataFrame) -> DataFrame:
     """Scans every order statistic from 5 to 95 % of the base as a threshold: the summed squared distance of the excesses
-    over it from the quantiles of an exponential law with their mean; the least one, with its rank k and excesses."""
+    over it from the quantiles of an exponential law with their mean; the least one, with its rank k and excesses.
 
-    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.sort(pdf["x"].to_numpy())
-        m, best = len(z), None
-        for k in range(max(2, int(0.05 * m)), max(3, int(0.95 * m)) + 1):
-            y = z[k:] - z[k - 1]
-            if m >= 10 and len(y) >= 3 and y.mean() > 0:
-                quantiles = -np.log1p(-np.arange(1, len(y) + 1) / (len(y) + 1.0)) * y.mean()
-                d = float(((y - quantiles) ** 2).sum())
-                if best is None or d < best[3]:
-                    best = (int(k), float(z[k - 1]), len(y), d)
-        return pd.DataFrame([(key[0], *(best or (None,) * 4))], columns=["series_id", "k", "threshold", "n", "distance"])
-
-    return base.select("series_id", "x").groupBy("series_id").applyInPandas(scan, "series_id string, k int, threshold double, n long, distance double")
+    With rank r from the top, the quantile of a value over the threshold of rank R is mean (ln R - ln r), whatever the
+    threshold; so all distances follow from running sums of x, x^2, x ln r, ln r and ln^2 r.
+    """
+    centre = base.groupBy("series_id").agg(F.avg("x").alias("_m"))
+    rows = base.select("series_id", "x").join(centre, "series_id").select("series_id", (F.col("x") - F.col("_m")).alias("x"), "_m")
+    x, log = F.col("x"), F.log(F.col("rank").cast("double"))
+    df = running(rows, {"sx": x, "sxx": x * x, "sxl": x * log, "sl": log, "sll": log * log})
+    r, top = F.col("rank") - 1, F.log(F.col("rank").cast("double"))
+    y1 = F.col("sx") - r * x
+    y2 = F.col("sxx") - 2 * x * F.col("sx") + r * x * x
+    ye = F.col("sxl") - x * F.col("sl") - top * y1
+    e2 = F.col("sll") - 2 * top * F.col("sl") + r * top * top
+    df = df.withColumns({"k": F.col("n") + 1 - F.col("rank"), "over": r, "mean": F.when(r > 0, y1 / r)})
+    df = df.withColumn("d", F.round(y2 + 2 * F.col("mean") * ye + F.col("mean") * F.col("mean") * e2, 9))
+    low, high = F.greatest(F.lit(2), F.floor(0.05 * F.col("n"))), F.greatest(F.lit(3), F.floor(0.95 * F.col("n")))
+    usable = F.col("k").between(low, high) & (F.col("over") >= 3) & (F.col("n") >= 10) & (F.col("mean") > 0)
+    g = df.groupBy("series_id").agg(F.min(F.when(usable, F.struct("d", "k", (x + F.col("_m")).alias("u"), F.col("over").cast("long").alias("over")))).alias("b"))
+    return g.select("series_id", F.col("b.k").cast("int").alias("k"), F.col("b.u").alias("threshold"), F.col("b.over").alias("n"), F.col("b.d").alias("distance"))
 
 
 def threshold(base: DataFrame, method: str = "jenkinson_collison") -> DataFrame:
@@ -79,7 +85,7 @@ def threshold(base: DataFrame, method: str = "jenkinson_collison") -> DataFrame:
         raise KeyError(method)
     if method == "quantile":
         at = sorted(CANDIDATES)[len(CANDIDATES) // 2]
-        return base.groupBy("series_id").agg(F.percentile("x", F.lit(at)).alias("u")).withColumn("source", F.lit(f"percentile {at}"))
+        return percentiles(base, [at]).select("series_id", F.col("values")[0].alias("u")).withColumn("source", F.lit(f"percentile {at}"))
     by_penalty = penalty_scan(base).filter("usable and place = 1").select("series_id", F.col("u").alias("_p"))
     if method == "profile_penalty":
         return by_penalty.select("series_id", F.col("_p").alias("u"), F.lit("penalty").alias("source"))

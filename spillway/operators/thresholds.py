@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.special import norm_ppf, num
 from .frequency import periods
-from .series import sized
+from .ranks import descending, intervals, percentiles
 
 
 def exceedances(base: DataFrame, at: float = 0.9) -> DataFrame:
     """base: series_id, ts, x. The values beyond each series' own percentile, as y = x - u."""
-    u = base.groupBy("series_id").agg(F.percentile("x", F.lit(at)).alias("u"), F.count("x").alias("n_base"))
+    u = percentiles(base, [at]).select("series_id", F.col("values")[0].alias("u"), F.col("n").alias("n_base"))
     return base.join(u, "series_id").filter("x > u").withColumn("y", F.col("x") - F.col("u"))
 
 
@@ -23,27 +22,34 @@ def declustered(base: DataFrame, u: float, gap: str = "6 hours") -> DataFrame:
     return over.groupBy("series_id", F.session_window("ts", gap).alias("run")).agg(F.max("x").alias("x"), F.count(F.lit(1)).alias("n")).select("series_id", F.col("run.start").alias("start"), "x", "n")
 
 
-def mean_residual_life(base: DataFrame, points: int = 20, least: int = 5, top: float = 0.92) -> DataFrame:
+def mean_residual_life(base: DataFrame, points: int = 40, least: int = 5, top: float = 0.92) -> DataFrame:
     """Mean excess, sd and 95 % limits over evenly spaced thresholds from the least value to a percentile.
 
-    A value counts for every threshold below it: the thresholds are an array of the series, so no theta join is made.
+    A value is summed once, at the last threshold below it; sums about the series' mean keep the digits of the variance.
     """
-    g = base.groupBy("series_id").agg(F.min("x").alias("_lo"), F.percentile("x", F.lit(top)).alias("_hi"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("k"), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1)).alias("u")))
-    df = base.join(g, "series_id").select("series_id", "x", F.inline(F.filter(at, lambda s: s["u"] < F.col("x"))))
-    m = df.groupBy("series_id", "k").agg(F.first("u").alias("u"), F.count(F.lit(1)).alias("n"), F.avg(F.col("x") - F.col("u")).alias("mean_excess"), F.stddev_samp(F.col("x") - F.col("u")).alias("sd"))
+    g = base.groupBy("series_id").agg(F.min("x").alias("_lo"), F.avg("x").alias("_m")).join(percentiles(base, [top]).select("series_id", F.col("values")[0].alias("_hi")), "series_id")
+    us = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1))
+    d = F.col("x") - F.col("_m")
+    m = intervals(base.select("series_id", "x"), g.select("series_id", "_m", us.alias("us")), {"s1": d, "s2": d * d}).join(g.select("series_id", "_m"), "series_id").filter("n > 0")
+    mean = F.col("s1") / F.col("n")
+    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("s2") - F.col("s1") * mean, F.lit(0.0)) / (F.col("n") - 1)))
+    m = m.withColumns({"mean_excess": mean - (F.col("u") - F.col("_m")), "sd": sd})
     half = F.expr(norm_ppf(num(0.975))) * F.col("sd") / F.sqrt("n")
     enough = F.col("n") >= least
     return m.select("series_id", "k", "u", "n", *[F.when(enough, c).alias(name) for name, c in (("mean_excess", F.col("mean_excess")), ("sd", F.col("sd")), ("low", F.col("mean_excess") - half), ("high", F.col("mean_excess") + half))])
 
 
+def _by_moments(g: DataFrame) -> DataFrame:
+    """Adds xi and beta from the probability-weighted moments a0 and a1 of the excesses."""
+    d = F.col("a0") - 2 * F.col("a1")
+    return g.withColumns({"xi": 2 - F.try_divide(F.col("a0"), d), "beta": F.try_divide(2 * F.col("a0") * F.col("a1"), d)})
+
+
 def gpd_pwm(over: DataFrame) -> DataFrame:
     """Generalised Pareto by probability-weighted moments of the excesses: shape xi, scale beta, and the rate of exceedance."""
-    w = W.partitionBy("series_id").orderBy("y", "x")
-    df = over.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(sized())})
-    g = df.groupBy("series_id").agg(F.first("u").alias("u"), F.first("n_base").alias("n_base"), F.count(F.lit(1)).alias("n"), F.avg("y").alias("a0"), F.avg(F.col("y") * (F.col("_n") - F.col("_i")) / (F.col("_n") - 1)).alias("a1"))
-    d = F.col("a0") - 2 * F.col("a1")
-    return g.filter("n > 1").select("series_id", "u", "n_base", "n", (2 - F.try_divide(F.col("a0"), d)).alias("xi"), F.try_divide(2 * F.col("a0") * F.col("a1"), d).alias("beta"), (F.col("n") / F.col("n_base")).alias("rate"))
+    df = descending(over.select("series_id", "u", "n_base", F.col("y").alias("x")))
+    g = df.groupBy("series_id").agg(F.first("u").alias("u"), F.first("n_base").alias("n_base"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("a0"), F.avg(F.try_divide(F.col("x") * (F.col("rank") - 1), F.col("n") - 1)).alias("a1"))
+    return _by_moments(g.filter("n > 1")).select("series_id", "u", "n_base", "n", "xi", "beta", (F.col("n") / F.col("n_base")).alias("rate"))
 
 
 def return_levels(fit: DataFrame, per_block: float = 1.0) -> DataFrame:
@@ -54,14 +60,16 @@ def return_levels(fit: DataFrame, per_block: float = 1.0) -> DataFrame:
 
 
 def threshold_stability(base: DataFrame, at: tuple[float, ...] = (0.7, 0.75, 0.8, 0.85, 0.9, 0.95), least: int = 10) -> DataFrame:
-    """The fit at several percentile thresholds, with the penalty mean excess + 6 mean excess / sqrt(n); too few excesses are left out."""
-    g = base.groupBy("series_id").agg(F.percentile("x", F.array(*[F.lit(p) for p in at])).alias("_u"), F.count("x").alias("n_base"))
-    steps = F.array(*[F.struct(F.lit(p).alias("at"), F.col("_u")[i].alias("u")) for i, p in enumerate(at)])
-    df = base.join(g, "series_id").select("series_id", "x", "n_base", F.inline(F.filter(steps, lambda s: s["u"] < F.col("x"))))
-    df = df.withColumns({"y": F.col("x") - F.col("u"), "_key": F.concat_ws("@", "series_id", F.col("at").cast("string"))})
-    fit = gpd_pwm(df.select(F.col("_key").alias("series_id"), "x", "y", "u", "n_base"))
-    mean = df.groupBy("series_id", "at", F.col("_key").alias("k")).agg(F.avg("y").alias("mean_excess"), F.count(F.lit(1)).alias("n_over"))
-    out = mean.join(fit.withColumnRenamed("series_id", "k"), "k").filter(F.col("n_over") >= least)
-    return out.select("series_id", "at", "u", "n", "xi", "beta", "mean_excess", (F.col("mean_excess") + 6 * F.col("mean_excess") / F.sqrt("n")).alias("penalty"))
-
+    """The fit at several percentile thresholds, with the penalty mean excess + 6 mean excess / sqrt(n); too few excesses are left out.
 
+    The rank of an excess over a threshold, from the top, is that of its value in the whole record, so the moments at all
+    thresholds are sums of x and x (rank - 1) over the values beyond.
+    """
+    steps = percentiles(base, at).select("series_id", F.col("values").alias("us"))
+    rows = descending(base.select("series_id", "x")).select("series_id", "x", "rank")
+    g = intervals(rows, steps, {"s": F.col("x"), "sr": F.col("x") * (F.col("rank") - 1)}).filter(F.col("n") >= max(least, 2))
+    n, u = F.col("n"), F.col("u")
+    g = g.withColumns({"a0": F.col("s") / n - u, "a1": (F.col("sr") - u * n * (n - 1) / 2) / (n * (n - 1))})
+    names = F.array(*[F.lit(float(p)) for p in at])
+    out = _by_moments(g).withColumn("mean_excess", F.col("a0"))
+    return out.select("series_id", F.get(names, F.col("k")).alias("at"), "u", "n", "xi", "beta", "mean_excess", (F.col("mean_excess") + 6 * F.col("mean_excess") / F.sqrt("n")).alias("penalty"))

@@ -80,7 +80,7 @@ def query(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str |
     QUERIES[name] = lambda spark, sf: rounded(build(spark, sf), digits)
     if sql:
         doubles = [c for c in columns.split() if c]
-        ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in doubles)}) FROM ({sql})" if doubles else sql
+        ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'round("{c}", {digits}) AS "{c}"' for c in doubles)}) FROM ({sql})" if doubles else sql
 
 
 _DAY = "strftime(block, '%Y-%m-%d %H:%M:%S')"
@@ -292,11 +292,19 @@ _OVER = f"{_BASE}, th AS (SELECT series_id, quantile_cont(x, 0.9) AS u, count(*)
 _GPD = "oi AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY y, x) AS i, count(*) OVER (PARTITION BY series_id) AS c FROM o), pw AS (SELECT series_id, max(u) AS u, max(n_base) AS n_base, count(*) AS n, avg(y) AS a0, avg(y * (c - i) / (c - 1)) AS a1 FROM oi GROUP BY 1), gp AS (SELECT series_id, u, n_base, n, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS beta, CAST(n AS DOUBLE) / n_base AS rate FROM pw)"
 query("exceedances", lambda s, d: thresholds.exceedances(base(s, d)).select("series_id", "x", "u", "n_base", "y"), f"WITH {_OVER} SELECT series_id, x, u, n_base, y FROM o", columns="x u y")
 query("declustered", lambda s, d: thresholds.declustered(base(s, d), 50.0))
-query("mean_residual_life", lambda s, d: thresholds.mean_residual_life(base(s, d)), f"""WITH {_BASE}, g AS (SELECT series_id, min(x) AS lo, quantile_cont(x, 0.92) AS hi FROM b GROUP BY 1), t AS (SELECT *, CAST(UNNEST(range(20)) AS INTEGER) AS k FROM g), tu AS (SELECT series_id, k, lo + (hi - lo) * k / 19.0::DOUBLE AS u FROM t),
+query("mean_residual_life", lambda s, d: thresholds.mean_residual_life(base(s, d)), f"""WITH {_BASE}, g AS (SELECT series_id, min(x) AS lo, quantile_cont(x, 0.92) AS hi FROM b GROUP BY 1), t AS (SELECT *, CAST(UNNEST(range(40)) AS INTEGER) AS k FROM g), tu AS (SELECT series_id, k, lo + (hi - lo) * k / 39.0::DOUBLE AS u FROM t),
 m AS (SELECT tu.series_id, k, u, count(*) AS n, avg(x - u) AS me, stddev_samp(x - u) AS sd FROM tu JOIN b ON tu.series_id = b.series_id AND x > u GROUP BY 1, 2, 3) SELECT series_id, k, u, n, CASE WHEN n >= 5 THEN me END AS mean_excess, CASE WHEN n >= 5 THEN sd END AS sd, CASE WHEN n >= 5 THEN me - {_Z975} * sd / sqrt(n) END AS low, CASE WHEN n >= 5 THEN me + {_Z975} * sd / sqrt(n) END AS high FROM m""", digits=4, columns="u mean_excess sd low high")
 query("gpd_pwm", lambda s, d: thresholds.gpd_pwm(thresholds.exceedances(base(s, d))), f"WITH {_OVER}, {_GPD} SELECT * FROM gp", columns="u xi beta rate")
 query("return_levels", lambda s, d: thresholds.return_levels(thresholds.gpd_pwm(thresholds.exceedances(base(s, d))), 100.0), f"WITH {_OVER}, {_GPD}, t AS (SELECT *, {_PERIODS} AS period FROM gp) SELECT series_id, period, CASE WHEN abs(xi) < 1e-8 THEN u + beta * ln(period * rate * 100) ELSE u + beta / xi * (power(period * rate * 100, xi) - 1) END AS q FROM t", digits=3, columns="period q")
-query("threshold_stability", lambda s, d: thresholds.threshold_stability(base(s, d)))
+query(
+    "threshold_stability",
+    lambda s, d: thresholds.threshold_stability(base(s, d)),
+    f"""WITH {_BASE}, u AS (SELECT series_id, UNNEST([0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS "at", UNNEST(quantile_cont(x, [0.7, 0.75, 0.8, 0.85, 0.9, 0.95])) AS u FROM b GROUP BY series_id),
+    o AS (SELECT u.series_id, "at", u, x - u AS y, row_number() OVER (PARTITION BY u.series_id, "at" ORDER BY x) AS i, count(*) OVER (PARTITION BY u.series_id, "at") AS n FROM b JOIN u ON b.series_id = u.series_id AND x > u),
+    p AS (SELECT series_id, "at", u, n, avg(y) AS a0, avg(y * (n - i) / (n - 1)) AS a1 FROM o GROUP BY ALL HAVING n >= 10)
+    SELECT series_id, "at", u, n, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS beta, a0 AS mean_excess, a0 + 6 * a0 / sqrt(n) AS penalty FROM p""",
+    columns="at u xi beta mean_excess penalty",
+)
 query(
     "jenkinson_collison",
     lambda s, d: peaks.jenkinson_collison(events(s, d).select("series_id", F.col("q").alias("x"))),
