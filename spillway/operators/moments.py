@@ -106,17 +106,6 @@ def histogram(series: DataFrame) -> DataFrame:
     return out.select("series_id", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("right"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def density(series: DataFrame, grid: int = 100) -> DataFrame:
-    """A Gaussian kernel density of ln q on an even grid of its range, by Scott's bandwidth."""
-    df = series.withColumn("_x", F.log("q"))
-    g = df.groupBy("series_id").agg(F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.stddev_samp("_x").alias("sd"))
-    g = g.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).filter("h > 0")
-    points = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (grid - 1))
-    both = points.join(df.select("series_id", "_x"), "series_id")
-    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("h"), F.lit(2.0)))
-    return both.groupBy("series_id", "i").agg(F.first("x").alias("x"), (F.sum(k) / (F.first("n") * F.first("h") * F.sqrt(2 * F.pi()))).alias("density"))
-
-
 def percentiles(series: DataFrame, at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
     """Exact percentiles with linear interpolation, long."""
     g = series.groupBy("series_id").agg(F.percentile("q", F.array(*[F.lit(p) for p in at])).alias("_p"))

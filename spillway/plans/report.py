@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import battery, candidates, dependence, features, frequency, moments, quality, series, thresholds, trend, uncertainty
+from ..operators import battery, candidates, densities, dependence, features, frequency, moments, quality, series, thresholds, trend, uncertainty
 from ..sources import files
 
 #: The named tables of a study, each from the canonical series.
@@ -64,7 +64,8 @@ def reduced_variate(period: str = "period"):
 FIGURES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "time_series": time_series,
     "histogram": moments.histogram,
-    "density": moments.density,
+    "density": densities.density,
+    "density_comparison": densities.density_comparison,
     "ecdf": series.ecdf,
     "decades": lambda s: moments.group_shape(series.calendar(s), "decade"),
     "frequency_curves": lambda s: candidates.curves(candidates.ranking(s)),

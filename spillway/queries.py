@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, pearson3_factor_steps, pearson3_steps, sql_fold, staged_sql, student_steps, t_ppf_upper
-from .operators import battery, candidates, dependence, features, frequency, kernels, learning, moments, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
+from .operators import battery, candidates, densities, dependence, features, frequency, kernels, learning, moments, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,13 +153,6 @@ query(
     SELECT e.series_id, e.bin, lo + e.bin * width AS "left", lo + (e.bin + 1) * width AS "right", coalesce(count, 0) AS count FROM e LEFT JOIN c ON e.series_id = c.series_id AND e.bin = c.bin""",
     columns='"left" "right"',
 )
-query(
-    "density",
-    lambda s, d: moments.density(events(s, d)),
-    f"""WITH {_EVENTS}, g AS (SELECT series_id, n, min(ln(q)) AS lo, max(ln(q)) AS hi, stddev_samp(ln(q)) * power(CAST(n AS DOUBLE), -0.2::DOUBLE) AS h FROM s GROUP BY 1, 2), pt AS (SELECT *, CAST(UNNEST(range(100)) AS INTEGER) AS i FROM g)
-    SELECT pt.series_id, i, lo + (hi - lo) * i / 99.0::DOUBLE AS x, sum(exp(-0.5::DOUBLE * power((lo + (hi - lo) * i / 99.0::DOUBLE - ln(q)) / h, 2))) / (max(pt.n) * max(h) * sqrt(2 * pi())) AS density FROM pt JOIN s ON pt.series_id = s.series_id GROUP BY pt.series_id, i, lo, hi""",
-    columns="x density",
-)
 query("percentiles", lambda s, d: moments.percentiles(events(s, d)), " UNION ALL ".join(f"(WITH {_EVENTS} SELECT series_id, {p}::DOUBLE AS p, quantile_cont(q, {p}) AS value FROM s GROUP BY 1)" for p in (0.05, 0.25, 0.5, 0.75, 0.9, 0.95)), columns="p value")
 query("season_shape", lambda s, d: moments.group_shape(series.calendar(orders(s, d)), "season"), f"WITH {_ORDERS}, c AS (SELECT *, CASE WHEN month(block) BETWEEN 6 AND 9 THEN 'southwest_monsoon' WHEN month(block) BETWEEN 10 AND 12 THEN 'post_monsoon' WHEN month(block) BETWEEN 3 AND 5 THEN 'pre_monsoon' ELSE 'winter' END AS season FROM s) SELECT series_id, season, count(*) AS n, avg(q) AS mean, stddev_samp(q) AS sd, quantile_cont(q, 0.25) AS q25, quantile_cont(q, 0.5) AS q50, quantile_cont(q, 0.75) AS q75 FROM c GROUP BY 1, 2 HAVING count(*) >= 4", columns="mean sd q25 q50 q75")
 
@@ -362,6 +355,36 @@ def station_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("station_checks", lambda s, d: station.checks(records(s, d), station_meta(s, d)), digits=4)
+_KDE = """g AS (SELECT series_id, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * power(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h FROM v GROUP BY 1 HAVING stddev_samp(v) > 0),
+    p AS (SELECT v.series_id, (v - lo) / (hi - lo) * 4095 AS p, least(floor((v - lo) / (hi - lo) * 4095), 4094) AS c FROM v JOIN g USING (series_id)),
+    cells AS (SELECT series_id, c, sum(w) AS w FROM (SELECT series_id, c, 1 - (p - c) AS w FROM p UNION ALL SELECT series_id, c + 1, p - c FROM p) GROUP BY 1, 2),
+    gr AS (SELECT *, CAST(UNNEST(range(400)) AS INTEGER) AS i FROM g), gx AS (SELECT *, lo + (hi - lo) * i / 399.0::DOUBLE AS x FROM gr),
+    kd AS (SELECT gx.series_id, i, x, sum(w * exp(-0.5::DOUBLE * power((x - (lo + (hi - lo) * c / 4095.0::DOUBLE)) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())) AS density FROM gx JOIN cells ON cells.series_id = gx.series_id GROUP BY 1, 2, 3)"""
+query(
+    "density",
+    lambda s, d: densities.density(events(s, d)),
+    f"""WITH {_EVENTS}, v AS (SELECT series_id, ln(q) AS v FROM s), {_KDE}, ec AS (SELECT gx.series_id, i, CAST(count(CASE WHEN v <= x THEN 1 END) AS DOUBLE) / max(n) AS ecdf FROM gx JOIN v ON v.series_id = gx.series_id GROUP BY 1, 2)
+    SELECT series_id, i, x, exp(x) AS q, density, ecdf FROM kd JOIN ec USING (series_id, i)""",
+    columns="x q density ecdf",
+)
+query(
+    "density_summary",
+    lambda s, d: densities.density_summary(events(s, d)),
+    f"""WITH {_EVENTS}, v AS (SELECT series_id, ln(q) AS v FROM s), {_KDE}, c AS (SELECT series_id, count(*) AS n, avg(power(v - mv, 2)) AS m2, avg(power(v - mv, 3)) AS m3, avg(power(v - mv, 4)) AS m4 FROM (SELECT *, avg(v) OVER (PARTITION BY series_id) AS mv FROM v) GROUP BY 1),
+    md AS (SELECT series_id, x AS mode_log FROM kd QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(density, 9) DESC, i) = 1)
+    SELECT series_id, c.n, sqrt(CAST(c.n * (c.n - 1) AS DOUBLE)) / (c.n - 2) * m3 / power(m2, 1.5) AS skew, CAST(c.n - 1 AS DOUBLE) / ((c.n - 2) * (c.n - 3)) * ((c.n + 1) * (m4 / power(m2, 2) - 3) + 6) AS kurtosis, h AS bandwidth, mode_log, exp(mode_log) AS mode
+    FROM c JOIN g USING (series_id) JOIN md USING (series_id)""",
+    columns="skew kurtosis bandwidth mode_log mode",
+)
+query(
+    "density_comparison",
+    lambda s, d: densities.density_comparison(events(s, d)),
+    f"""WITH {_EVENTS}, {_LOGFIT}, v AS (SELECT series_id, q AS v FROM s), {_KDE}, o AS (SELECT series_id, avg(q) AS mean, stddev_samp(q) AS sd FROM s GROUP BY 1),
+    j AS (SELECT kd.series_id, i, x AS q, density AS kernel, mean, sd, mean_log, sd_log, skew_log, ln(x) AS y FROM kd JOIN o USING (series_id) JOIN f USING (series_id) WHERE x > 0 AND sd_log > 0 AND skew_log IS NOT NULL)
+    SELECT series_id, i, q, kernel, w_pdf / q AS log_pearson3, exp(-0.5::DOUBLE * power((q - mean) / sd, 2)) / (sd * sqrt(2 * pi())) AS normal FROM {staged_sql("j", pearson3_steps("y", "mean_log", "sd_log", "skew_log", "w", sql_fold))}""",
+    digits=7,
+    columns="q kernel log_pearson3 normal",
+)
 query(
     "implied_periods",
     lambda s, d: frequency.implied_periods(events(s, d), frequency.lp3(events(s, d))).withColumn("implied_period", F.round("implied_period", 2)),
