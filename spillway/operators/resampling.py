@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -69,7 +71,7 @@ def bias_corrected_interval(replicates: DataFrame, points: DataFrame, level: flo
     below = F.sum((F.col("q") < F.col("point")).cast("double")).over(by)
     n = F.count(F.lit(1)).over(by)
     df = df.withColumns({"_n": n, "_i": F.row_number().over(by.orderBy("q")), "_share": (below + 0.5) / (n + 1)}).withColumn("z0", F.expr(norm_ppf("_share")))
-    z = norm_ppf(num(0.5 + level / 2))
+    z = num(NormalDist().inv_cdf(0.5 + level / 2))  # a number: its text is repeated in what follows
     df = df.withColumns({"_lo": F.expr(norm_cdf(f"(2 * z0 - {z})")), "_hi": F.expr(norm_cdf(f"(2 * z0 + {z})"))})
     at = lambda p: F.min(F.when(F.col("_i") >= F.greatest(F.ceil(F.col(p) * F.col("_n")), F.lit(1)), F.col("q")))
     return df.groupBy("series_id", "period").agg(F.first("point").alias("point"), F.first("z0").alias("z0"), at("_lo").alias("low"), at("_hi").alias("high"))

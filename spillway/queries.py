@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, pearson3_factor_steps, pearson3_steps, sql_fold, staged_sql, student_steps, t_ppf_upper
-from .operators import battery, candidates, densities, dependence, features, frequency, kernels, learning, moments, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
+from .operators import battery, candidates, densities, dependence, features, frequency, kernels, learning, moments, parents, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,8 +316,33 @@ _SID = "CAST(('0x' || substr(md5(series_id), 1, 7)) AS BIGINT)"
 _HASH = hash_bits("rep", "i", f"20250101 + {_SID}", "xor({0}, {1})", "(({0}) >> {1})")
 query("bootstrap_moments", lambda s, d: resampling.moment_replicates(events(s, d), 50).select("series_id", "rep", "mean", "sd", "cv"), f"""WITH {_EVENTS}, g AS (SELECT series_id, n, UNNEST(range(50)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), r AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM i)
 SELECT r.series_id, rep, avg(q) AS mean, stddev_samp(q) AS sd, stddev_samp(q) / avg(q) AS cv FROM r JOIN s ON r.series_id = s.series_id AND r.t = s.t GROUP BY 1, 2""", digits=4, columns="mean sd cv")
-query("bootstrap_moments_whole", lambda s, d: resampling.moment_replicates(events(s, d)).select("series_id", "rep", "mean", "sd", "cv"), digits=4)
-query("bootstrap_intervals", lambda s, d: resampling.percentile_interval(resampling.quantile_replicates(resampling.case_resamples(events(s, d)))))
+query("bootstrap_moments_whole", lambda s, d: resampling.moment_replicates(events(s, d)).select("series_id", "rep", "mean", "sd", "cv"), ORACLE["bootstrap_moments"].replace("range(50)", "range(2000)"), digits=4)
+_CASES = f"""cg AS (SELECT series_id, n, UNNEST(range(2000)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), ci AS (SELECT *, UNNEST(range(n)) AS i FROM cg), cr AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM ci),
+cx AS (SELECT cr.series_id, rep, quantile_cont(q, [1 - 1 / 2.0, 1 - 1 / 5.0, 1 - 1 / 10.0, 1 - 1 / 25.0, 1 - 1 / 50.0, 1 - 1 / 100.0, 1 - 1 / 200.0, 1 - 1 / 500.0, 1 - 1 / 1000.0]) AS p FROM cr JOIN s ON cr.series_id = s.series_id AND cr.t = s.t GROUP BY 1, 2),
+cq AS (SELECT series_id, {_PERIODS} AS period, UNNEST(p) AS q FROM cx)"""
+query(
+    "bootstrap_intervals",
+    lambda s, d: resampling.percentile_interval(resampling.quantile_replicates(resampling.case_resamples(events(s, d)))),
+    f"WITH {_EVENTS}, {_CASES} SELECT series_id, period, count(*) AS reps, quantile_cont(q, 0.025) AS low, quantile_cont(q, 0.5) AS median, quantile_cont(q, 0.975) AS high FROM cq GROUP BY 1, 2",
+    columns="period low median high",
+)
+_HASH_T = hash_bits("rep", "i", f"20250104 + {_SID}", "xor({0}, {1})", "(({0}) >> {1})")
+_ZLEVEL = num(1.959963984540054)
+query(
+    "ln2_intervals",
+    lambda s, d: parents.ln2_intervals(events(s, d)),
+    f"""WITH {_EVENTS}, {_CASES}, f AS (SELECT series_id, count(*) AS n, avg(ln(q)) AS p1, stddev_samp(ln(q)) AS p2 FROM s GROUP BY 1), g AS (SELECT *, UNNEST(range(2000)) AS rep FROM f), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), u AS (SELECT *, (({_HASH_T}) + 0.5::DOUBLE) / 2147483648.0::DOUBLE AS u FROM i),
+    x AS (SELECT series_id, rep, quantile_cont(exp(p1 + p2 * {norm_ppf("u")}), [1 - 1 / 2.0, 1 - 1 / 5.0, 1 - 1 / 10.0, 1 - 1 / 25.0, 1 - 1 / 50.0, 1 - 1 / 100.0, 1 - 1 / 200.0, 1 - 1 / 500.0, 1 - 1 / 1000.0]) AS p FROM u GROUP BY 1, 2),
+    pt AS (SELECT *, {_PERIODS} AS period FROM f), po AS (SELECT series_id, period, exp(p1 + p2 * {norm_ppf("(1 - 1 / period)")}) AS point FROM pt),
+    q AS (SELECT series_id, rep, {_PERIODS} AS period, UNNEST(p) AS q FROM x), b AS (SELECT q.*, point, count(*) OVER w AS m, row_number() OVER (PARTITION BY q.series_id, q.period ORDER BY q) AS k, (sum(CASE WHEN q < point THEN 1 ELSE 0 END) OVER w + 0.5::DOUBLE) / (count(*) OVER w + 1) AS share FROM q JOIN po USING (series_id, period) WINDOW w AS (PARTITION BY q.series_id, q.period)),
+    z AS (SELECT *, {norm_ppf("share")} AS z0 FROM b), l AS (SELECT *, {norm_cdf(f"(2 * z0 - {_ZLEVEL})")} AS lo, {norm_cdf(f"(2 * z0 + {_ZLEVEL})")} AS hi FROM z),
+    e AS (SELECT series_id, period, max(point) AS point, min(CASE WHEN k >= greatest(ceil(lo * m), 1) THEN q END) AS ci_low, min(CASE WHEN k >= greatest(ceil(hi * m), 1) THEN q END) AS ci_high, quantile_cont(q, 0.025) AS percentile_low, quantile_cont(q, 0.975) AS percentile_high FROM l GROUP BY 1, 2),
+    c AS (SELECT series_id, period, quantile_cont(q, 0.025) AS case_low, quantile_cont(q, 0.975) AS case_high FROM cq GROUP BY 1, 2)
+    SELECT series_id, period, point, ci_low, ci_high, percentile_low, percentile_high, case_low, case_high, (ci_high - ci_low) / greatest(abs(point), 1e-9) AS relative_width FROM e JOIN c USING (series_id, period)""",
+    digits=3,
+    columns="period point ci_low ci_high percentile_low percentile_high case_low case_high relative_width",
+)
+query("family_intervals", lambda s, d: parents.intervals(candidates.ranking(events(s, d)).filter("is_best")), digits=2)
 query("lp3_intervals", lambda s, d: resampling.lp3_intervals(events(s, d)))
 query("monte_carlo_fan", lambda s, d: resampling.fan(events(s, d)))
 query("coverage", lambda s, d: resampling.coverage(events(s, d)))
