@@ -75,11 +75,13 @@ CLAUSES = (
 def checklist(
     records: DataFrame, quality: DataFrame | None = None, design: DataFrame | None = None, hfl: DataFrame | None = None, skew: DataFrame | None = None,
     fits: DataFrame | None = None, outliers: DataFrame | None = None, peaks: DataFrame | None = None, tests: DataFrame | None = None,
+    placed: DataFrame | None = None, factors: DataFrame | None = None,
 ) -> DataFrame:
-    """The eighteen clauses, long: series_id, clause, requirement, status. A clause whose result is missing is manual, never passed.
+    """The eighteen clauses, long: series_id, clause, requirement, status, evidence. A clause whose result is missing is manual, never passed.
 
     quality: checks(); design: with q_low and q_high; hfl: frequency.implied_periods(); skew: skew_decision(); fits: ranked candidates;
-    outliers: any screen; peaks: the gated fit; tests: the battery.
+    outliers: any screen; peaks: the gated fit; tests: the battery; placed: the observed values at their return periods (series_id,
+    return_period), all of which must have one for 5.1; factors: frequency.factor_gap(), within 10 % throughout for 5.2.
     """
     df = records.groupBy("series_id").agg(F.count("q").alias("n"))
 
@@ -99,6 +101,8 @@ def checklist(
     add(design, designed=F.lit(True), limits=F.min(F.col("q_low").isNotNull() & F.col("q_high").isNotNull()) if design is not None else F.lit(None))
     add(skew, skew_free=F.max(~F.col("kurtosis_governed")) if skew is not None else F.lit(None))
     add(fits, compared=F.lit(True))
+    add(placed, on_curve=F.sum(F.col("return_period").isNotNull().cast("int")) == F.max("n") if placed is not None and "n" in placed.columns else F.lit(None))
+    add(factors, checked=F.max(F.abs("gap_percent")) <= 10 if factors is not None else F.lit(None))
     c = F.col
     known = lambda col, ok: F.when(c(col).isNull(), MANUAL).when(ok, PASS).otherwise(FAIL)
     given = lambda col: F.when(F.coalesce(c(col), F.lit(False)), PASS).otherwise(MANUAL)
@@ -108,7 +112,7 @@ def checklist(
         "2.2": manual, "2.3": manual, "2.4": manual, "2.5": manual, "2.6": given("screened"),
         "3.1": F.when(c("changed").isNull() | c("changed"), MANUAL).otherwise(PASS), "3.2": known("long_enough", c("long_enough")), "3.3": known("peaks_accepted", ~c("peaks_accepted")),
         "4.1": given("designed"), "4.2": known("skew_free", c("skew_free")), "4.3": manual, "4.4": given("limits"), "4.5": given("compared"),
-        "5.1": F.lit(PASS), "5.2": F.lit(PASS), "5.3": given("designed"), "5.4": known("designed", c("n") >= 25),
+        "5.1": known("on_curve", c("on_curve")), "5.2": known("checked", c("checked")), "5.3": given("designed"), "5.4": known("designed", c("n") >= 25),
     }
     return df.select("series_id", F.inline(F.array(*[F.struct(F.lit(k).alias("clause"), F.lit(what).alias("requirement"), status[k].alias("status")) for k, what in CLAUSES])))
 

@@ -252,7 +252,14 @@ UNION ALL SELECT series_id, 'blocks_unique', CASE WHEN blocks = n THEN 'PASS' EL
 UNION ALL SELECT series_id, 'maximum_consistent', CASE WHEN most IS NOT NULL THEN 'PASS' ELSE 'FAIL' END, most FROM g UNION ALL SELECT series_id, 'no_extreme_jumps', CASE WHEN jumps = 0 THEN 'PASS' ELSE 'WARN' END, jumps FROM g""", columns="value")
 query("grubbs", lambda s, d: quality.grubbs(events(s, d)), f"""WITH {_EVENTS}, b AS (SELECT series_id, CAST(n AS DOUBLE) AS n, abs(q - m) / sd AS g, CAST(t AS INTEGER) AS t, q FROM s QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY abs(q - m) / sd DESC, t) = 1), c AS (SELECT *, {t_ppf_upper('CAST(0.05 AS DOUBLE) / (2 * n)', '(n - 2)')} AS tc FROM b),
 d AS (SELECT *, (n - 1) / sqrt(n) * sqrt(tc * tc / (n - 2 + tc * tc)) AS critical FROM c) SELECT series_id, CAST(n AS BIGINT) AS n, g, t, q, critical, g > critical AS is_outlier FROM d""", columns="g q critical")
-query("dixon", lambda s, d: quality.dixon(events(s, d)))
+_R10 = ", ".join(f"({n}, {num(v)})" for n, v in quality.DIXON_R10.items())
+query(
+    "dixon",
+    lambda s, d: quality.dixon(events(s, d)),
+    f"""WITH {_EVENTS}, x AS (SELECT series_id, CAST(max(n) AS INTEGER) AS n, max(CASE WHEN rank = 1 THEN q END) AS x1, max(CASE WHEN rank = 2 THEN q END) AS x2, max(q) AS xn FROM s GROUP BY 1), c AS (SELECT * FROM (VALUES {_R10}) t(n, critical))
+    SELECT series_id, x.n, (x2 - x1) / nullif(xn - x1, 0) AS r10, critical, CASE WHEN critical IS NOT NULL THEN (x2 - x1) / nullif(xn - x1, 0) > critical END AS is_outlier FROM x LEFT JOIN c ON c.n = x.n""",
+    columns="r10 critical",
+)
 query("order_screen", lambda s, d: quality.order_screen(events(s, d)), f"""WITH {_EVENTS}, z AS (SELECT series_id, CAST(t AS INTEGER) AS t, CAST(rank AS INTEGER) AS rank, n, q, ln(q) AS y, {norm_ppf('rank / (n + CAST(1.0 AS DOUBLE))')} AS z FROM s), l AS (SELECT series_id, regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM z WHERE rank / (n + 1.0::DOUBLE) BETWEEN 0.25 AND 0.75 GROUP BY 1),
 r AS (SELECT z.*, y - a - b * z AS residual FROM z JOIN l USING (series_id)), e AS (SELECT *, residual / stddev_samp(residual) OVER (PARTITION BY series_id) AS std_residual FROM r)
 SELECT series_id, t, rank, q, z, residual, std_residual, row_number() OVER (PARTITION BY series_id ORDER BY round(abs(std_residual), 9) DESC, rank) <= 2 AS is_candidate FROM e""", columns="q z residual std_residual")
@@ -284,7 +291,13 @@ query("checklist", lambda s, d: quality.checklist(quality.checks(events(s, d)),
 _OVER = f"{_BASE}, th AS (SELECT series_id, quantile_cont(x, 0.9) AS u, count(*) AS n_base FROM b GROUP BY 1), o AS (SELECT b.series_id, x, u, n_base, x - u AS y FROM b JOIN th USING (series_id) WHERE x > u)"
 _GPD = "oi AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY y, x) AS i, count(*) OVER (PARTITION BY series_id) AS c FROM o), pw AS (SELECT series_id, max(u) AS u, max(n_base) AS n_base, count(*) AS n, avg(y) AS a0, avg(y * (c - i) / (c - 1)) AS a1 FROM oi GROUP BY 1), gp AS (SELECT series_id, u, n_base, n, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS beta, CAST(n AS DOUBLE) / n_base AS rate FROM pw)"
 query("exceedances", lambda s, d: thresholds.exceedances(base(s, d)).select("series_id", "x", "u", "n_base", "y"), f"WITH {_OVER} SELECT series_id, x, u, n_base, y FROM o", columns="x u y")
-query("declustered", lambda s, d: thresholds.declustered(base(s, d), 50.0))
+query(
+    "declustered",
+    lambda s, d: thresholds.declustered(base(s, d), 50.0),
+    f"""WITH {_BASE}, o AS (SELECT series_id, ts, x, CASE WHEN ts >= lag(ts) OVER (PARTITION BY series_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM b WHERE x > 50 AND ts IS NOT NULL),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT series_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, max(x) AS x, count(*) AS n FROM r GROUP BY series_id, run""",
+    columns="x",
+)
 query("mean_residual_life", lambda s, d: thresholds.mean_residual_life(base(s, d)), f"""WITH {_BASE}, g AS (SELECT series_id, min(x) AS lo, quantile_cont(x, 0.92) AS hi FROM b GROUP BY 1), t AS (SELECT *, CAST(UNNEST(range(40)) AS INTEGER) AS k FROM g), tu AS (SELECT series_id, k, lo + (hi - lo) * k / 39.0::DOUBLE AS u FROM t),
 m AS (SELECT tu.series_id, k, u, count(*) AS n, avg(x - u) AS me, stddev_samp(x - u) AS sd FROM tu JOIN b ON tu.series_id = b.series_id AND x > u GROUP BY 1, 2, 3) SELECT series_id, k, u, n, CASE WHEN n >= 5 THEN me END AS mean_excess, CASE WHEN n >= 5 THEN sd END AS sd, CASE WHEN n >= 5 THEN me - {_Z975} * sd / sqrt(n) END AS low, CASE WHEN n >= 5 THEN me + {_Z975} * sd / sqrt(n) END AS high FROM m""", digits=4, columns="u mean_excess sd low high")
 query("gpd_pwm", lambda s, d: thresholds.gpd_pwm(thresholds.exceedances(base(s, d))), f"WITH {_OVER}, {_GPD} SELECT * FROM gp", columns="u xi beta rate")
@@ -346,7 +359,14 @@ query("family_intervals", lambda s, d: parents.intervals(candidates.ranking(even
 query("lp3_intervals", lambda s, d: resampling.lp3_intervals(events(s, d)))
 query("monte_carlo_fan", lambda s, d: resampling.fan(events(s, d)))
 query("coverage", lambda s, d: resampling.coverage(events(s, d)))
-query("block_bootstrap", lambda s, d: resampling.block_resamples(events(s, d)))
+_HASH_B = hash_bits("rep", "(i // 5)", f"20250103 + {_SID}", "xor({0}, {1})", "(({0}) >> {1})")
+query(
+    "block_bootstrap",
+    lambda s, d: resampling.block_resamples(events(s, d)),
+    f"""WITH {_EVENTS}, g AS (SELECT series_id, n, UNNEST(range(2000)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), r AS (SELECT series_id, rep, i, (({_HASH_B}) % n + i % 5) % n + 1 AS at FROM i)
+    SELECT r.series_id, rep, CAST(i AS INTEGER) AS t, q FROM r JOIN s ON s.series_id = r.series_id AND s.t = r.at""",
+    columns="q",
+)
 _FITTED = ["series_id", "family", "n", "k", "p1", "p2", "p3", "loglik", "aic", "bic", "aicc", "hqic", "ks", "ks_p", "a2", "a2_p", "qq_r2", "accepted", "rank", "weight", "place"]
 query("searched_fits", lambda s, d: candidates.ranking(events(s, d)).select(*_FITTED), digits=3)
 query("family_curves", lambda s, d: candidates.curves(candidates.ranking(events(s, d))), digits=2)

@@ -26,11 +26,11 @@ def test_sheet(spark, tmp_path):
 
 def test_study_is_fail_soft(spark, tmp_path, monkeypatch):
     s = series.synthetic(spark, 60)
-    monkeypatch.setitem(study.STAGES, "summary", lambda df: df.select("nowhere"))
+    monkeypatch.setitem(study.STAGES, "summary", study.Stage(lambda t, o: t["canonical"].select("nowhere")))
     found = study.run(s, str(tmp_path / "out"), ("summary", "quality", "ranking", "design"))
     assert found["summary"] != "ok" and found["quality"] == found["ranking"] == found["design"] == "ok"
     text = study.report(spark, str(tmp_path / "out"), ("quality", "design"))
-    assert "## design" in text and "| series_id |" in text
+    assert "## Design values" in text and "| series_id |" in text
     assert spark.read.text(str(tmp_path / "out/quality.meta")).count() == 1
 
 
