@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, pearson3_factor_steps, pearson3_steps, sql_fold, staged_sql, student_steps, t_ppf_upper
-from .operators import battery, candidates, densities, dependence, features, frequency, kernels, learning, moments, parents, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
+from .operators import battery, candidates, densities, dependence, features, frequency, kernels, learning, lookup, moments, parents, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,7 +182,16 @@ _ACF = """a0 AS (SELECT series_id, t, n, q - avg(q) OVER (PARTITION BY series_id
 a AS (SELECT x.series_id, x.t - y.t AS lag, a1.n, sum(x.d * y.d) / max(ss) AS rb, sum(x.d * y.d) / max(ss) * a1.n / (a1.n - (x.t - y.t)) AS r FROM a0 x JOIN a0 y ON x.series_id = y.series_id AND x.t > y.t AND x.t - y.t <= 15 JOIN a1 ON x.series_id = a1.series_id WHERE x.t - y.t <= greatest(a1.n // 4, 1) GROUP BY 1, 2, 3)"""
 _Z975 = norm_ppf(num(0.975))
 query("acf", lambda s, d: dependence.acf_table(events(s, d)), f"WITH {_EVENTS}, {_ACF} SELECT series_id, CAST(lag AS INTEGER) AS lag, n, r, rb AS r_biased, {_Z975} / sqrt(CAST(n AS DOUBLE)) AS band, abs(r) <= {_Z975} / sqrt(CAST(n AS DOUBLE)) AS inside FROM a", columns="r r_biased band")
-query("pacf", lambda s, d: dependence.pacf(events(s, d)))
+query(
+    "pacf",
+    lambda s, d: dependence.pacf(events(s, d)),
+    f"""WITH RECURSIVE {_EVENTS}, {_ACF}, l AS (SELECT series_id, list(r ORDER BY lag) AS r FROM a GROUP BY 1), k AS (
+      SELECT series_id, 1 AS k, [r[1]] AS phi, r[1] AS p, r FROM l
+      UNION ALL SELECT series_id, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - pn * phi[k + 1 - j]), [pn]), pn, r
+      FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS pn FROM k WHERE k < len(r))
+    ) SELECT series_id, CAST(k AS INTEGER) AS lag, p AS pacf FROM k""",
+    columns="pacf",
+)
 query("effective_size", lambda s, d: dependence.effective_size(events(s, d)), f"""WITH {_EVENTS}, {_ACF}, pr AS (SELECT series_id, (lag - 1) // 2 AS m, sum(r) AS p FROM a GROUP BY 1, 2 HAVING count(*) = 2), st AS (SELECT *, min(CASE WHEN p > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY m) AS on_ FROM pr),
 tt AS (SELECT series_id, greatest(1 + 2 * sum(on_ * p), 1) AS tau FROM st GROUP BY 1), o AS (SELECT a.series_id, n, r AS r1, coalesce(tau, 1) AS tau FROM a LEFT JOIN tt USING (series_id) WHERE lag = 1)
 SELECT series_id, n, r1, tau, n * (1 - r1) / (1 + r1) AS n_r1, n / tau AS n_tau, least(n * (1 - r1) / (1 + r1), n / tau, n) AS n_effective FROM o""", columns="r1 tau n_r1 n_tau n_effective")
@@ -224,8 +233,25 @@ query(
     SELECT series_id, n, rho, p, false AS is_exact FROM {staged_sql('t', student_steps('t', 'df', 'p', sql_fold))}""",
     columns="rho p",
 )
-query("hamed_rao", lambda s, d: trend.hamed_rao(events(s, d)))
-query("prewhitened", lambda s, d: trend.prewhitened(events(s, d)))
+query(
+    "hamed_rao",
+    lambda s, d: trend.hamed_rao(events(s, d)),
+    f"""WITH {_EVENTS}, {_MK}, {_SEN}, y AS (SELECT s.series_id, t, s.n, s.q - slope * t AS y FROM s JOIN sc USING (series_id)),
+    k AS (SELECT series_id, t, n, rank() OVER (PARTITION BY series_id ORDER BY y) + (count(*) OVER (PARTITION BY series_id, y) - 1) / 2.0::DOUBLE AS k FROM y), d AS (SELECT *, k - avg(k) OVER (PARTITION BY series_id) AS d FROM k),
+    v AS (SELECT series_id, max(n) AS n, sum(d * d) AS ss FROM d GROUP BY 1),
+    c AS (SELECT a.series_id, a.t - b.t AS lag, sum(a.d * b.d) / max(ss) AS r FROM d a JOIN d b ON a.series_id = b.series_id AND a.t - b.t BETWEEN 1 AND 10 JOIN v ON v.series_id = a.series_id WHERE a.t - b.t <= greatest(a.n // 4, 1) GROUP BY 1, 2),
+    i AS (SELECT c.series_id, greatest(1 + 2.0::DOUBLE / (max(n) * (max(n) - 1) * (max(n) - 2)) * sum(CASE WHEN abs(r) > {_Z975} / sqrt(CAST(n AS DOUBLE)) THEN (n - lag) * (n - lag - 1) * (n - lag - 2) * r ELSE 0 END), 1e-9) AS inflation FROM c JOIN v USING (series_id) GROUP BY 1),
+    h AS (SELECT mk.series_id, CAST(mk.n AS BIGINT) AS n, s, inflation, (s - sign(s)) / sqrt(var_s * inflation) AS z FROM mk JOIN i USING (series_id)) SELECT series_id, n, s, inflation, z, {norm_sf2("z")} AS p FROM h""",
+    columns="s inflation z p",
+)
+query(
+    "prewhitened",
+    lambda s, d: trend.prewhitened(events(s, d)),
+    f"""WITH {_EVENTS}, {_MK}, {_SEN}, y AS (SELECT s.series_id, t, block, s.n, slope, s.q - slope * t AS y FROM s JOIN sc USING (series_id)), d AS (SELECT *, y - avg(y) OVER (PARTITION BY series_id) AS d, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS before FROM y),
+    r AS (SELECT a.series_id, sum(a.d * b.d) / max(v) * max(a.n) / (max(a.n) - 1) AS r1 FROM d a JOIN d b ON a.series_id = b.series_id AND a.t = b.t + 1 JOIN (SELECT series_id, sum(d * d) AS v FROM d GROUP BY 1) v ON v.series_id = a.series_id GROUP BY 1)
+    SELECT series_id, CAST(t AS INTEGER) AS t, {_DAY} AS block, y - r1 * before + slope * t AS q FROM d JOIN r USING (series_id) WHERE before IS NOT NULL""",
+    columns="q",
+)
 query("pettitt", lambda s, d: trend.pettitt(events(s, d)), f"""WITH {_EVENTS}, r AS (SELECT series_id, t, n, rank() OVER (PARTITION BY series_id ORDER BY q) + (count(*) OVER (PARTITION BY series_id, q) - 1) / 2.0::DOUBLE AS k FROM s), u AS (SELECT series_id, t, n, abs(2 * sum(k) OVER (PARTITION BY series_id ORDER BY t) - t * (n + 1)) AS u FROM r)
 SELECT series_id, n, CAST(t AS INTEGER) AS change_at, u, least(1, 2 * exp(-6 * u * u / (power(CAST(n AS DOUBLE), 3) + power(CAST(n AS DOUBLE), 2)))) AS p FROM u QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY u DESC, t) = 1""", columns="u p")
 query("runs", lambda s, d: trend.runs(events(s, d)), f"""WITH {_EVENTS}, md AS (SELECT series_id, quantile_cont(q, 0.5) AS md FROM s GROUP BY 1), g AS (SELECT series_id, t, sign(q - md) AS g FROM s JOIN md USING (series_id) WHERE q <> md), l AS (SELECT *, CASE WHEN lag(g) {_W} = g THEN 0 ELSE 1 END AS c FROM g),
@@ -439,6 +465,15 @@ query(
     SELECT series_id, n, max, cdf, round(implied_period, 2) AS implied_period, n_below, n_below = 0 AND implied_period <= 2 * (n + 1) AS passed FROM w JOIN b USING (series_id)""",
     columns="max cdf",
 )
+query(
+    "period_lookup",
+    lambda s, d: lookup.close_join(
+        frequency.periods(events(s, d).select("series_id").distinct()).select("series_id", (1 / (1 - (1 - 1 / F.col("period")))).alias("asked")), frequency.lp3(events(s, d)).select("series_id", "period", "q"), "asked", "period"
+    ),
+    f"""WITH {_EVENTS}, {_LOGFIT}, {_LP3}, o AS (SELECT series_id, 1 / (1 - (1 - 1 / period)) AS asked FROM (SELECT series_id, {_PERIODS} AS period FROM (SELECT DISTINCT series_id FROM s)))
+    SELECT o.series_id, asked, period, q FROM o JOIN lq ON lq.series_id = o.series_id AND abs(asked - period) <= 1e-8 + 1e-5 * abs(period)""",
+    columns="asked period q",
+)
 query(
     "lp3_distribution",
     lambda s, d: frequency.lp3_distribution(events(s, d)),
