@@ -33,6 +33,14 @@ def acf_table(series: DataFrame, lags: int = 15, alpha: float = 0.05) -> DataFra
     return acf(series, lags).withColumn("band", z / F.sqrt("n")).withColumn("inside", F.abs("r") <= F.col("band"))
 
 
+def residual_acf(residuals: DataFrame, lags: int = 15, alpha: float = 0.05) -> DataFrame:
+    """acf_table() of the normal scores z of each series and family, what a fit leaves: series_id, family, t, z."""
+    key = F.to_json(F.struct("series_id", "family"))
+    named = residuals.select(key.alias("series_id"), "t", F.col("z").alias("q")).dropna()
+    out = acf_table(named, lags, alpha).withColumn("_k", F.from_json("series_id", "series_id string, family string"))
+    return out.select("_k.series_id", "_k.family", *[c for c in out.columns if c not in ("series_id", "_k")])
+
+
 def pacf(series: DataFrame, lags: int = 15) -> DataFrame:
     """Partial autocorrelations by the Durbin-Levinson recursion over each series' ACF array.
 

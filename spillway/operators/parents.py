@@ -20,7 +20,7 @@ from ..functions.special import hash_bits, norm_cdf, norm_ppf, num
 from .frequency import periods
 from .kernels import family_quantile
 from .resampling import case_resamples, percentile_interval, quantile_replicates, series_number
-from .series import PERIODS
+from .series import PERIODS, ranked
 
 NODES, EDGE = 1025, 6.5
 #: Families whose inverse has no closed form.
@@ -76,6 +76,13 @@ def points(fits: DataFrame) -> DataFrame:
     return with_quantile(df, "point").select("series_id", "family", "period", "point")
 
 
+def qq_points(series: DataFrame, fits: DataFrame) -> DataFrame:
+    """series_id, family, rank, q and fitted: each order statistic beside the quantile of each law at rank / (n + 1)."""
+    law = with_nodes(fits.filter("p1 IS NOT NULL").select("series_id", "family", "p1", "p2", "p3"))
+    df = ranked(series).select("series_id", "rank", "n", "q").join(law, "series_id").withColumn("u", F.col("rank") / (F.col("n") + 1))
+    return with_quantile(df, "fitted").select("series_id", "family", "rank", "q", "fitted")
+
+
 def replicates(drawn: DataFrame) -> DataFrame:
     """The empirical T-value of every simulated record: series_id, family, rep, period, q."""
     p = F.array(*[F.lit(1 - 1 / t) for t in PERIODS])

@@ -78,6 +78,30 @@ def posterior_design(chains: DataFrame, greatest: DataFrame, thin: int = 10) ->
     return g.select("series_id", "period", "draws", "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("high"), "p_above_record")
 
 
+def predictive(chains: DataFrame, at: tuple[float, ...] = (100.0, 1000.0), thin: int = 1) -> DataFrame:
+    """The chains' design values as further parameters Q100 and Q1000: series_id, chain, draw, parameter, value."""
+    wide = chains.filter(F.col("draw") % thin == 0).groupBy("series_id", "chain", "draw").pivot("parameter", ["mean_log", "sd_log", "skew_log"]).agg(F.first("value"))
+    df = wide.withColumn("period", F.explode(F.array(*[F.lit(float(t)) for t in at]))).withColumn("p", 1 - 1 / F.col("period"))
+    q = F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log"))
+    return df.select("series_id", "chain", "draw", F.concat(F.lit("Q"), F.col("period").cast("int").cast("string")).alias("parameter"), q.alias("value"))
+
+
+def binned(draws: DataFrame, bins: int = 45) -> DataFrame:
+    """draws: series_id, parameter, value. Even bins with common edges for all chains: bin, left, right, count and density.
+
+    Empty bins are kept; the counts of a parameter sum to its draws. A parameter without spread has one bin.
+    """
+    ends = draws.filter("value IS NOT NULL").groupBy("series_id", "parameter").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("draws"))
+    ends = ends.withColumn("bins", F.when(F.col("hi") > F.col("lo"), bins).otherwise(1)).withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins"))
+    at = F.when(F.col("width") > 0, F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("bins") - 1)).otherwise(0).cast("int")
+    keys = ["series_id", "parameter"]
+    counts = draws.filter("value IS NOT NULL").join(ends, keys).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    out = every.join(counts, [*keys, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    left = F.col("lo") + F.col("bin") * F.col("width")
+    return out.select(*keys, "bin", left.alias("left"), (left + F.col("width")).alias("right"), "count", F.when(F.col("width") > 0, F.col("count") / (F.col("draws") * F.col("width"))).alias("density"))
+
+
 def prior_sensitivity(series: DataFrame, chains: DataFrame, prior_sd: float = 0.5, draws: int = 8000) -> DataFrame:
     """The posterior means under a narrower prior beside those of the chains, and their shift in posterior sds."""
     other = kernels.mcmc(series, draws=draws, burn=draws // 4, prior_sd=prior_sd)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.special import chi2_sf, hash_bits, norm_cdf, norm_ppf, norm_sf2, num, pearson3_factor_steps, pearson3_steps, sql_fold, staged_sql, student_steps, t_ppf_upper
 from .operators import battery, candidates, densities, dependence, features, frequency, kernels, learning, lookup, moments, parents, peaks, quality, resampling, series, station, thresholds, trend, uncertainty
+from .plans import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,3 +495,24 @@ query("exact_factors", lambda s, d: kernels.exact_factors(moments.log_moments(ev
 query("posterior", lambda s, d: resampling.posterior(kernels.mcmc(events(s, d)).cache()), digits=3)
 query("r_hat", lambda s, d: resampling.split_r_hat(kernels.mcmc(events(s, d))), digits=3)
 query("learned_scores", lambda s, d: learning.score_table(learning.forecasts(events(s, d), ("linear", "ridge", "forest", "boosting"))), digits=3)
+
+query("qq_points", lambda s, d: parents.qq_points(events(s, d), candidates.ranking(events(s, d)).filter("place <= 6")), digits=3)
+query("residual_acf", lambda s, d: dependence.residual_acf(candidates.residuals(events(s, d), candidates.ranking(events(s, d)).filter("is_best"))))
+query("level_stability", lambda s, d: peaks.level_stability(peaks.penalty_scan(events(s, d).select("series_id", F.col("q").alias("x")))), digits=2)
+query("moments_difference", lambda s, d: candidates.moments_difference(candidates.ranking(events(s, d)), frequency.lp3(events(s, d))), digits=3)
+query(
+    "probability_paper",
+    lambda s, d: report.probability_paper(events(s, d)),
+    f"""WITH {_EVENTS}, p AS (SELECT series_id, rank, q, CAST(rank AS DOUBLE) / (n + 1) AS p FROM s), z AS (SELECT *, {norm_ppf("p")} AS normal, -ln(-ln(p)) AS reduced FROM p)
+    SELECT series_id, CAST(rank AS INTEGER) AS rank, q, p, normal, reduced, corr(q, normal) OVER (PARTITION BY series_id) AS r FROM z""",
+    columns="q p normal reduced r",
+)
+query("time_series", lambda s, d: report.time_series(events(s, d)))
+
+
+def _binned_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    chains = kernels.mcmc(events(spark, sf)).select("series_id", "chain", "draw", "parameter", "value")
+    return uncertainty.binned(chains.select("series_id", "parameter", "value").unionByName(uncertainty.predictive(chains).select("series_id", "parameter", "value")))
+
+
+query("posterior_bins", _binned_posterior)

@@ -9,7 +9,7 @@ from spillway import queries as q
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"learned_scores", "posterior", "coverage", "lp3_intervals", "r_hat", "combined_intervals", "station_checklist", "parameter_spread", "monte_carlo_refit", "bootstrap_moments_whole"}
+SLOW = {"learned_scores", "posterior", "coverage", "lp3_intervals", "r_hat", "combined_intervals", "station_checklist", "parameter_spread", "monte_carlo_refit", "posterior_bins"}
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from test_operators import frame
 
-from spillway.operators import kernels, parents
+from spillway.operators import dependence, kernels, parents, uncertainty
 
 LAWS = {
     "gumbel": (100.0, 20.0, None), "ln2": (4.0, 0.5, None), "lp3": (4.0, 0.4, 0.6), "gev": (100.0, 20.0, -0.1), "weibull": (100.0, 2.0, None),
@@ -51,3 +51,36 @@ def test_intervals_hold_the_point(spark):
     table = parents.ln2_intervals(frame(spark, np.exp(r.normal(4, 0.5, 60)), [5.0] * 9), 200).orderBy("period").collect()
     assert len(table) == 9 and all(t["ci_low"] < t["ci_high"] and t["percentile_low"] < t["percentile_high"] for t in table)
     assert table[-1]["case_high"] <= math.exp(4 + 0.5 * 6) and table[3]["relative_width"] > 0
+
+
+def test_qq_points(spark):
+    q = np.sort(np.random.default_rng(2).gumbel(100, 20, 30))
+    s = frame(spark, q, names=["s"])
+    rows = [r for r in parents.qq_points(s, laws(spark)).collect() if r["family"] in ("gumbel", "lp3")]
+    assert len(rows) == 60
+    for r in rows:
+        assert math.isclose(r["q"], q[r["rank"] - 1]) and math.isclose(r["fitted"], exact(r["family"], r["rank"] / 31), rel_tol=3e-5)
+
+
+def test_bins_hold_all_draws(spark):
+    r = np.random.default_rng(3)
+    rows = [("s", c, d, p, float(v)) for c in range(2) for d in range(500) for p, v in (("mean_log", r.normal(4, 0.1)), ("sd_log", abs(r.normal(0.5, 0.02))), ("skew_log", 0.25))]
+    chains = spark.createDataFrame(rows, "series_id string, chain int, draw int, parameter string, value double")
+    bins = uncertainty.binned(chains.unionByName(uncertainty.predictive(chains))).collect()
+    by = {p: [b for b in bins if b["parameter"] == p] for p in ("mean_log", "sd_log", "skew_log", "Q100", "Q1000")}
+    assert {p: len(b) for p, b in by.items()} == {"mean_log": 45, "sd_log": 45, "skew_log": 1, "Q100": 45, "Q1000": 45}
+    assert all(sum(x["count"] for x in b) == 1000 for b in by.values())
+    x = np.array([v for *_, p, v in rows if p == "mean_log"])
+    assert [b["count"] for b in sorted(by["mean_log"], key=lambda b: b["bin"])] == np.histogram(x, 45)[0].tolist()
+    assert math.isclose(sum(b["density"] * (b["right"] - b["left"]) for b in by["Q100"]), 1.0)
+
+
+def test_acf_of_residuals_by_family(spark):
+    r = np.random.default_rng(4)
+    z = r.normal(size=60)
+    rows = [("a#b", f, t + 1, float(v)) for f in ("ln2", "gev") for t, v in enumerate(z)]
+    out = dependence.residual_acf(spark.createDataFrame(rows, "series_id string, family string, t int, z double")).collect()
+    d = z - z.mean()
+    one = {(x["family"], x["lag"]): x["r_biased"] for x in out}
+    assert {x["series_id"] for x in out} == {"a#b"} and len(out) == 30
+    assert math.isclose(one["gev", 3], (d[3:] @ d[:-3]) / (d @ d), rel_tol=1e-9) and one["gev", 3] == one["ln2", 3]
