@@ -96,11 +96,21 @@ def parametric_resamples(series: DataFrame, reps: int = 2000, seed: int = 202501
     return df.select("series_id", "rep", F.col("i").cast("int").alias("t"), F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "u") * F.col("sd_log")).alias("q"))
 
 
+def keyed(samples: DataFrame) -> DataFrame:
+    """Samples whose series_id names series and replicate together, as JSON, for operators that work by series_id; see unkeyed()."""
+    return samples.withColumn("series_id", F.to_json(F.struct("series_id", "rep"))).drop("rep")
+
+
+def unkeyed(name: str) -> Column:
+    """series_id or rep of a keyed series_id."""
+    return F.from_json("series_id", "series_id string, rep long")[name].alias(name)
+
+
 def lp3_intervals(series: DataFrame, reps: int = 2000) -> DataFrame:
     """Parametric bootstrap of the log-Pearson values: every replicate is fitted anew by moments."""
-    sim = parametric_resamples(series, reps).withColumn("series_id", F.concat_ws("#", "series_id", F.col("rep").cast("string"))).drop("rep")
+    sim = keyed(parametric_resamples(series, reps))
     fit = periods(log_moments(sim)).withColumn("p", 1 - 1 / F.col("period"))
-    q = fit.select(F.regexp_replace("series_id", "#[0-9]+$", "").alias("series_id"), "period", F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log")).alias("q"))
+    q = fit.select(unkeyed("series_id"), "period", F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log")).alias("q"))
     return percentile_interval(q)
 
 
@@ -117,9 +127,9 @@ def coverage(series: DataFrame, reps: int = 200, inner: int = 500) -> DataFrame:
     from .frequency import lp3
 
     truth = lp3(series).select("series_id", "period", F.col("q").alias("truth"))
-    sim = parametric_resamples(series, reps).withColumn("series_id", F.concat_ws("#", "series_id", F.col("rep").cast("string"))).drop("rep")
+    sim = keyed(parametric_resamples(series, reps))
     limits = percentile_interval(quantile_replicates(case_resamples(sim, inner)))
-    df = limits.select(F.expr("regexp_replace(series_id, '#[0-9]+$', '')").alias("series_id"), "period", "low", "high").join(truth, ["series_id", "period"])
+    df = limits.select(unkeyed("series_id"), "period", "low", "high").join(truth, ["series_id", "period"])
     return df.groupBy("series_id", "period").agg(F.count(F.lit(1)).alias("reps"), F.avg(F.col("truth").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"))
 
 

@@ -15,10 +15,10 @@ from .series import PERIODS
 
 def refitted_records(series: DataFrame, reps: int = 500) -> DataFrame:
     """series_id, rep, period, q: log-Pearson values of simulated records of the same length, each fitted anew by moments."""
-    sim = resampling.parametric_resamples(series, reps).withColumn("series_id", F.concat_ws("#", "series_id", F.col("rep").cast("string"))).drop("rep")
+    sim = resampling.keyed(resampling.parametric_resamples(series, reps))
     fit = periods(log_moments(sim)).withColumn("p", 1 - 1 / F.col("period"))
     q = F.exp(F.col("mean_log") + wilson_hilferty("skew_log", "p") * F.col("sd_log"))
-    return fit.select(F.regexp_replace("series_id", "#[0-9]+$", "").alias("series_id"), F.regexp_extract("series_id", "#([0-9]+)$", 1).cast("long").alias("rep"), "period", q.alias("q"), "mean_log", "sd_log", "skew_log")
+    return fit.select(resampling.unkeyed("series_id"), resampling.unkeyed("rep"), "period", q.alias("q"), "mean_log", "sd_log", "skew_log")
 
 
 def monte_carlo(series: DataFrame, reps: int = 500, refit: bool = True) -> DataFrame:

@@ -266,7 +266,15 @@ _STD = f"""z0 AS (SELECT series_id, rank, n, (ln(q) - avg(ln(q)) OVER (PARTITION
 query("anderson_darling", lambda s, d: trend.anderson_darling(events(s, d), log=True), f"""WITH {_EVENTS}, {_STD}, g AS (SELECT x.series_id, x.n, -x.n - avg((2 * x.rank - 1) * (ln(x.u) + ln(1 - y.u))) AS a2 FROM z x JOIN z y ON x.series_id = y.series_id AND y.rank = x.n + 1 - x.rank GROUP BY 1, 2)
 SELECT series_id, n, a2, a2 * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)) AS a2_adjusted FROM g""", columns="a2 a2_adjusted")
 query("kolmogorov_smirnov", lambda s, d: trend.kolmogorov_smirnov(events(s, d), log=True), f"WITH {_EVENTS}, {_STD} SELECT series_id, n, max(greatest(CAST(rank AS DOUBLE) / n - u, u - CAST(rank - 1 AS DOUBLE) / n)) AS d FROM z GROUP BY 1, 2", columns="d")
-query("kpss", lambda s, d: trend.kpss(events(s, d)))
+query(
+    "kpss",
+    lambda s, d: trend.kpss(events(s, d)),
+    f"""WITH {_EVENTS}, {_ACF}, f AS (SELECT series_id, 1 + 2 * sum((1 - lag / (floor(4 * power(n / 100.0::DOUBLE, 0.25::DOUBLE)) + 1)) * rb) AS factor FROM a WHERE lag <= floor(4 * power(n / 100.0::DOUBLE, 0.25::DOUBLE)) AND lag <= 12 GROUP BY 1),
+    c AS (SELECT series_id, n, d, sum(d) OVER (PARTITION BY series_id ORDER BY t) AS c FROM a0), g AS (SELECT series_id, max(n) AS n, sum(c * c) AS s2, avg(d * d) AS v FROM c GROUP BY 1),
+    k AS (SELECT series_id, n, s2 / nullif(power(CAST(n AS DOUBLE), 2) * v * coalesce(factor, 1), 0) AS stat FROM g LEFT JOIN f USING (series_id))
+    SELECT series_id, n, stat, CASE WHEN stat >= 0.739 THEN 0.01::DOUBLE WHEN stat >= 0.463 THEN 0.05::DOUBLE WHEN stat >= 0.347 THEN 0.10::DOUBLE ELSE 1.0::DOUBLE END AS p_at_most FROM k""",
+    columns="stat p_at_most",
+)
 query("adf", lambda s, d: kernels.adf(events(s, d)))
 
 query("rating_curve", lambda s, d: quality.rating_curve(stages(s, d)), f"""WITH {_STAGES}, e AS (SELECT *, greatest(syy * (1 - r2), 0) AS sse FROM c) SELECT series_id, n, b, a, r2, sxx, mx, lo, hi, sqrt(sse / n) AS rmse, sqrt(sse / (n - 2) / sxx) AS se_b, sqrt(sse / (n - 2) * (1.0::DOUBLE / n + mx * mx / sxx)) AS se_a FROM e""", columns="b a r2 sxx mx lo hi rmse se_b se_a")
@@ -312,7 +320,14 @@ _DESIGN = f"""WITH {_EVENTS}, {_LOGFIT}, {_LP3}, {_FITS}, fq AS (SELECT series_i
 SELECT series_id, period, q AS lp3, q * exp(-{_Z975} * se) AS q_low, q * exp({_Z975} * se) AS q_high, gumbel_mom, gumbel_lmom, ln2, exponential, greatest(q, gumbel_mom, ln2) - least(q, gumbel_mom, ln2) AS spread, 100 * (greatest(q, gumbel_mom, ln2) - least(q, gumbel_mom, ln2)) / q AS spread_percent FROM lq JOIN wide USING (series_id, period)"""
 query("design_values", lambda s, d: frequency.design_values(events(s, d)), _DESIGN, digits=3, columns="period lp3 q_low q_high gumbel_mom gumbel_lmom ln2 exponential spread spread_percent")
 query("design_levels", lambda s, d: frequency.design_levels(frequency.design_values(stages(s, d)), quality.rating_curve(stages(s, d))))
-query("gev_lmoments", lambda s, d: frequency.gev_lmoments(events(s, d)))
+query(
+    "gev_lmoments",
+    lambda s, d: frequency.gev_lmoments(events(s, d)),
+    f"""WITH {_EVENTS}, b AS (SELECT series_id, max(n) AS n, avg(q) AS b0, avg(q * (rank - 1) / (n - 1)) AS b1, avg(q * (rank - 1) * (rank - 2) / ((n - 1) * (n - 2))) AS b2 FROM s GROUP BY 1),
+    l AS (SELECT series_id, n, b0 AS l1, 2 * b1 - b0 AS l2, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) AS tau3 FROM b), c AS (SELECT *, 2 / (3 + tau3) - ln(2.0::DOUBLE) / ln(3.0::DOUBLE) AS c FROM l WHERE l2 > 0)
+    SELECT series_id, n, l1, l2, tau3, 7.8590::DOUBLE * c + 2.9554::DOUBLE * c * c AS shape FROM c""",
+    columns="l1 l2 tau3 shape",
+)
 query("checklist", lambda s, d: quality.checklist(quality.checks(events(s, d)), moments.log_moments(events(s, d)), frequency.ranking(events(s, d))))
 
 _OVER = f"{_BASE}, th AS (SELECT series_id, quantile_cont(x, 0.9) AS u, count(*) AS n_base FROM b GROUP BY 1), o AS (SELECT b.series_id, x, u, n_base, x - u AS y FROM b JOIN th USING (series_id) WHERE x > u)"
@@ -399,7 +414,10 @@ query("searched_fits", lambda s, d: candidates.ranking(events(s, d)).select(*_FI
 query("family_curves", lambda s, d: candidates.curves(candidates.ranking(events(s, d))), digits=2)
 query("family_matrix", lambda s, d: candidates.quantile_matrix(candidates.ranking(events(s, d))), digits=2)
 query("fit_residuals", lambda s, d: candidates.residuals(events(s, d), candidates.ranking(events(s, d))), digits=4)
-query("moment_loci", lambda s, d: candidates.loci(s))
+query(
+    "moment_loci",
+    lambda s, d: candidates.loci(s).unionByName(moments.moment_coefficients(events(s, d)).select(F.concat(F.lit("record "), "series_id").alias("family"), F.lit(None).cast("double").alias("shape"), F.col("skew").alias("cs"), "ck")),
+)
 query("nearest_locus", lambda s, d: candidates.nearest_locus(moments.moment_coefficients(events(s, d)).select("series_id", F.col("skew").alias("cs"), "ck"), candidates.loci(s)))
 query("test_battery", lambda s, d: battery.tests(events(s, d)), digits=4)
 query("test_warnings", lambda s, d: battery.warnings(moments.skewness_estimators(events(s, d)), moments.moment_coefficients(events(s, d))))
