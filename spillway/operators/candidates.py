@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -281,9 +282,15 @@ def moments_difference(fits: DataFrame, by_moments: DataFrame) -> DataFrame:
 # --- Moments of whole laws and their place on the plane of skewness and kurtosis.
 
 
+@lru_cache(4)
+def _nodes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss and Legendre's nodes and weights: an eigenvalue problem, solved once."""
+    return np.polynomial.legendre.leggauss(n)
+
+
 def population_moments(ppf: Callable[[np.ndarray], np.ndarray], p_low: float = 1e-11, nodes: int = 400) -> dict[str, float]:
     """Mean, sd, skewness and kurtosis of a law by quadrature: the mean of f(Q(Phi(z))) over the normal law, tails below p_low cut."""
-    at, weight = np.polynomial.legendre.leggauss(nodes)
+    at, weight = _nodes(nodes)
     edge = -pearson3_factor(p_low, 0.0)
     z, w = at * edge, weight * edge * np.exp(-0.5 * (at * edge) ** 2) / math.sqrt(2 * math.pi)
     x = np.asarray(ppf(_phi(z), _phi(-z)), float)
