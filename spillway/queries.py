@@ -80,8 +80,8 @@ def query(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str |
     """Register a query; sql ends in a SELECT whose double columns are listed in `columns` to be rounded alike."""
     QUERIES[name] = lambda spark, sf: rounded(build(spark, sf), digits)
     if sql:
-        doubles = [c for c in columns.split() if c]
-        ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'round("{c}", {digits}) AS "{c}"' for c in doubles)}) FROM ({sql})" if doubles else sql
+        doubles = [c.strip('"') for c in columns.split()]  # + 0.0 makes a negative zero that rounding leaves a plain one
+        ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'round("{c}", {digits}) + 0.0::DOUBLE AS "{c}"' for c in doubles)}) FROM ({sql})" if doubles else sql
 
 
 _DAY = "strftime(block, '%Y-%m-%d %H:%M:%S')"
@@ -369,9 +369,16 @@ query("gpd_profile", lambda s, d: kernels.gpd_profile(thresholds.exceedances(bas
 
 _SID = "CAST(('0x' || substr(md5(series_id), 1, 7)) AS BIGINT)"
 _HASH = hash_bits("rep", "i", f"20250101 + {_SID}", "xor({0}, {1})", "(({0}) >> {1})")
-query("bootstrap_moments", lambda s, d: resampling.moment_replicates(events(s, d), 50).select("series_id", "rep", "mean", "sd", "cv"), f"""WITH {_EVENTS}, g AS (SELECT series_id, n, UNNEST(range(50)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), r AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM i)
-SELECT r.series_id, rep, avg(q) AS mean, stddev_samp(q) AS sd, stddev_samp(q) / avg(q) AS cv FROM r JOIN s ON r.series_id = s.series_id AND r.t = s.t GROUP BY 1, 2""", digits=4, columns="mean sd cv")
-query("bootstrap_moments_whole", lambda s, d: resampling.moment_replicates(events(s, d)).select("series_id", "rep", "mean", "sd", "cv"), ORACLE["bootstrap_moments"].replace("range(50)", "range(2000)"), digits=4)
+query(
+    "bootstrap_moments",
+    lambda s, d: resampling.moment_replicates(events(s, d), 50),
+    f"""WITH {_EVENTS}, g AS (SELECT series_id, n, UNNEST(range(50)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), i AS (SELECT *, UNNEST(range(n)) AS i FROM g), r AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM i),
+    x AS (SELECT r.series_id, rep, q, q - avg(q) OVER (PARTITION BY r.series_id, rep) AS c FROM r JOIN s ON r.series_id = s.series_id AND r.t = s.t)
+    SELECT series_id, rep, avg(q) AS mean, stddev_samp(q) AS sd, avg(power(c, 3)) / power(avg(c * c), 1.5::DOUBLE) AS skew, avg(power(c, 4)) / power(avg(c * c), 2) - 3 AS kurtosis, stddev_samp(q) / avg(q) AS cv FROM x GROUP BY 1, 2""",
+    digits=4,
+    columns="mean sd skew kurtosis cv",
+)
+query("bootstrap_moments_whole", lambda s, d: resampling.moment_replicates(events(s, d)), ORACLE["bootstrap_moments"].replace("range(50)", "range(2000)"), digits=4)
 _CASES = f"""cg AS (SELECT series_id, n, UNNEST(range(2000)) AS rep FROM (SELECT DISTINCT series_id, n FROM s)), ci AS (SELECT *, UNNEST(range(n)) AS i FROM cg), cr AS (SELECT series_id, rep, ({_HASH}) % n + 1 AS t FROM ci),
 cx AS (SELECT cr.series_id, rep, quantile_cont(q, [1 - 1 / 2.0, 1 - 1 / 5.0, 1 - 1 / 10.0, 1 - 1 / 25.0, 1 - 1 / 50.0, 1 - 1 / 100.0, 1 - 1 / 200.0, 1 - 1 / 500.0, 1 - 1 / 1000.0]) AS p FROM cr JOIN s ON cr.series_id = s.series_id AND cr.t = s.t GROUP BY 1, 2),
 cq AS (SELECT series_id, {_PERIODS} AS period, UNNEST(p) AS q FROM cx)"""
