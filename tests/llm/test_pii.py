@@ -102,3 +102,35 @@ def test_thresholds_cover_candidates_beyond_the_sample(documents, monkeypatch):
     out = {r["doc_id"]: r["spans"] for r in pii.find(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
     assert all(out[i] == "email:7:31" for i in range(300, 309))
     assert all(out[i] == "" for i in range(309, len(texts)))
+
+
+def test_places_learnt_from_base_spans_select_what_no_rule_names(documents):
+    known = ["ruf +49 30 1234567 an"] * 60 + ["knoten 10.20.30.40 lauft"] * 60 + ["post anna.b@mail.example.com raus"] * 60
+    hidden = ["ruf 030 123 4567 an", "knoten fe80::1ff:23:4 lauft", "post jane at host dot org raus"] * 15
+    alike = ["wert 030 123 4567 stk", "teil fe80::1ff:23:4 lang", "halt wait at stop dot two hier"] * 40
+    texts = [*known, *hidden, *alike]
+    docs = documents([(i, t, "de", "s") for i, t in enumerate(texts)])
+    seeds = pii._real(pii.candidates(docs)).filter("seed").count()
+    out = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    want = ["phone:4:16", "ip:7:21", "email:5:25"]
+    n = len(known)
+    assert seeds == 0 and [out[i] for i in range(n, n + len(hidden))] == want * 15
+    assert not any(out[i] for i in range(n + len(hidden), len(texts)))
+
+
+def test_context_levels_as_by_counting(documents, spark):
+    texts = ["ruf +49 30 1234567 an"] * 20 + ["die uhr geht vor und die zeit vergeht"] * 40 + [None, ""]
+    docs = documents([(i, t, "de", "s") for i, t in enumerate(texts)])
+    got = pii.contexts(pii.candidates(docs), docs)
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in ("ruf", "die")], "w string").select("w", pii._bucket(pii.F.col("w")).alias("b")).collect()}
+    lift = (20 + pii.SHRINK) / (20 * 20 / (20 * 2 + 40 * 8) + pii.SHRINK)
+    assert int(got[3][bucket["ruf"]]) == int(np.log2(lift)) == 1 and got[3][bucket["die"]] == "0"
+    assert got[0] == "0" * pii.BUCKETS
+
+
+def test_rewritten_base_spans_are_proposed_by_the_wider_patterns(spark):
+    values = {"email": [f"a.{i}@m{i}.example.com" for i in range(9)], "ip": [f"10.{i}.0.7" for i in range(9)], "card": ["4111111111111111", "4111-1111-1111-1111"], "phone": [f"+49 30 12345{i:02}" for i in range(9)]}
+    for kind, vs in values.items():
+        df = spark.createDataFrame([(v,) for v in vs], "v string").select(pii._rewritten(kind, pii.F.col("v")).alias("r"))
+        found = df.select("r", pii.F.regexp_extract(pii.F.concat(pii.F.lit("x "), "r", pii.F.lit(" y")), pii.WIDER[kind], 0).alias("m")).collect()
+        assert all(row["m"] and row["m"].endswith(row["r"]) for row in found), (kind, found)
