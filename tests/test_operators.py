@@ -234,3 +234,11 @@ def test_posterior_quantiles_are_withheld_from_chains_that_do_not_mix(spark):
     out = {x["series_id"]: x for x in resampling.posterior(spark.createDataFrame(rows, "series_id string, parameter string, chain int, draw int, value double, acceptance double")).collect()}
     assert out["good"]["accepted"] and abs(out["good"]["median"]) < 0.1 and out["good"]["ess"] > 2000
     assert not out["bad"]["accepted"] and out["bad"]["low"] is None and out["bad"]["median"] is None
+
+
+def test_a_maximum_held_by_two_blocks_is_not_consistent(spark):
+    q = {"one": [3.0, 9.0, 4.0], "two": [9.0, 2.0, 9.0], "none": [None, None, None]}
+    rows = [(k, t + 1, f"2000-01-0{t + 1}", v) for k, vs in q.items() for t, v in enumerate(vs)]
+    series = spark.createDataFrame(rows, "series_id string, t int, block string, q double").selectExpr("series_id", "t", "CAST(block AS TIMESTAMP) AS block", "q")
+    got = {r["series_id"]: (r["status"], r["value"]) for r in quality.checks(series).filter("check = 'maximum_consistent'").collect()}
+    assert got == {"one": ("PASS", 1.0), "two": ("FAIL", 2.0), "none": ("FAIL", 0.0)}

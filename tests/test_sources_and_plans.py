@@ -53,3 +53,10 @@ def test_entry_without_training_data_part(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_headers_that_claim_one_column_or_tell_of_two_are_refused():
+    for headers in (["Year", "Water year"], ["Date and time"], ["Other x", "other_x"], ["WL (m)", "Q at level"]):
+        with pytest.raises(ValueError):
+            files.canonical_names(headers)
+    assert files.canonical_names(["Yearly note", "Wl"]) == {"Yearly note": "yearly_note", "Wl": "wl_m"}
