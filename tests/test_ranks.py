@@ -82,3 +82,27 @@ def test_moments_over_thresholds(spark, buckets):
         assert r["n"] == n and np.isclose(r["xi"], 2 - a0 / (a0 - 2 * a1)) and np.isclose(r["beta"], 2 * a0 * a1 / (a0 - 2 * a1))
     over = one(thresholds.gpd_pwm(thresholds.exceedances(table(spark, {"a": x}), 0.95)))
     assert np.isclose(over["xi"], fits["a", 0.95]["xi"]) and over["n_base"] == len(x)
+
+
+def test_percentile_between_equal_values_is_that_value(spark, buckets):
+    rec = {f"s{i}": np.repeat(v, 61) for i, v in enumerate((127.71, 60.67, 0.1, 115.26, 68.61, 113.35))}
+    at = tuple(i / 97 for i in range(98))
+    for r in ranks.percentiles(table(spark, rec), at).collect():
+        assert set(r["values"]) == {rec[r["series_id"]][0]}
+    x = np.repeat(np.round(np.random.default_rng(5).exponential(50, 40), 2), 60)
+    for r in thresholds.threshold_stability(table(spark, {"copies": x})).collect():
+        lo, hi = (np.percentile(x, 100 * r["at"], method=m) for m in ("lower", "higher"))
+        assert r["n"] == (x > (lo if lo == hi else (lo + hi) / 2)).sum()
+
+
+def test_sums_over_thresholds_read_the_records_once_and_rank_no_row(spark, buckets, tmp_path, monkeypatch):
+    rec = records(4)
+    table(spark, rec).write.parquet(f"{tmp_path}/base")
+    base = spark.read.parquet(f"{tmp_path}/base")
+    monkeypatch.setattr(ranks, "_long", lambda df: pytest.fail("a job of its own over the records"))
+    counted = {r["series_id"]: r for r in thresholds.gpd_pwm(thresholds.counted_exceedances(base)).collect()}
+    plain = {r["series_id"]: r for r in thresholds.gpd_pwm(thresholds.exceedances(base)).collect()}
+    assert counted.keys() == plain.keys() and {"a", "ties", "wide"} <= counted.keys()
+    for k, r in plain.items():
+        assert (counted[k]["n"], counted[k]["n_base"]) == (r["n"], r["n_base"]) and np.isclose(counted[k]["beta"], r["beta"]) and np.isclose(counted[k]["xi"], r["xi"])
+    assert thresholds.mean_residual_life(base).count() and thresholds.threshold_stability(base).count()
