@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .features import folds, lag_features, scores
 
+#: Rows of a partition of the training data, and fits that are under way at once.
+ROWS, AT_ONCE = 50_000, 10
+
 
 def models(seed: int = 7) -> dict[str, object]:
     own = {"featuresCol": "x", "labelCol": "q", "predictionCol": "p"}
@@ -23,30 +28,46 @@ def models(seed: int = 7) -> dict[str, object]:
     }
 
 
+def _dealt(series: DataFrame, k: int) -> DataFrame:
+    """The rows of all folds, cached in as few partitions as they fill, dealt and sorted by their keys.
+
+    A boosted fit is hundreds of small jobs with a task for each partition, mostly empty ones if there are as many as the
+    session's shuffles have; and trees draw their samples by partition, so the fits do not depend on the session.
+    """
+    data = folds(lag_features(series), k)
+    parts = max(1, -(-data.count() // ROWS))
+    return data.repartition(parts, "series_id", "t").sortWithinPartitions("series_id", "t", "fold").cache()
+
+
+def _fits(data: DataFrame, names: tuple[str, ...], k: int) -> list[tuple[str, int, PipelineModel]]:
+    """Each model fitted on each fold's training rows over all series together; several fits are under way at once."""
+    columns = [c for c in data.columns if c not in ("series_id", "t", "q", "fold", "role")]
+
+    def fit(one: tuple[str, int]) -> tuple[str, int, PipelineModel]:
+        name, fold = one
+        steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), models()[name]]
+        return name, fold, Pipeline(stages=steps).fit(data.filter((F.col("fold") == fold) & (F.col("role") == "train")))
+
+    asked = [(name, fold) for name in names for fold in range(k)]
+    with ThreadPool(max(1, min(AT_ONCE, len(asked)))) as pool:
+        return pool.map(inheritable_thread_target(data.sparkSession)(fit), asked, chunksize=1)
+
+
 def forecasts(series: DataFrame, names: tuple[str, ...] = ("linear", "ridge", "forest", "boosting"), k: int = 5) -> DataFrame:
     """Out-of-fold predictions of each model, fitted over all series together; the driver loops over models and folds only."""
-    data = folds(lag_features(series), k).cache()
-    columns = [c for c in data.columns if c not in ("series_id", "t", "q", "fold", "role")]
+    data = _dealt(series, k)
     out = []
-    for name in names:
-        for fold in range(k):
-            steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), models()[name]]
-            part = data.filter(F.col("fold") == fold)
-            fitted = Pipeline(stages=steps).fit(part.filter("role = 'train'"))
-            out.append(fitted.transform(part.filter("role = 'test'")).select("series_id", "t", F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.col("q").alias("y"), "p", F.col("lag_1").alias("baseline")))
+    for name, fold, fitted in _fits(data, names, k):
+        test = data.filter((F.col("fold") == fold) & (F.col("role") == "test"))
+        out.append(fitted.transform(test).select("series_id", "t", F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.col("q").alias("y"), "p", F.col("lag_1").alias("baseline")))
     return reduce(DataFrame.unionByName, out)
 
 
 def importances(series: DataFrame, names: tuple[str, ...] = ("forest", "boosting"), k: int = 5) -> DataFrame:
     """model, fold, feature, importance of the tree models' fits; the mean by feature ranks them."""
-    data = folds(lag_features(series), k).persist()
+    data = _dealt(series, k)
     columns = [c for c in data.columns if c not in ("series_id", "t", "q", "fold", "role")]
-    rows = []
-    for name in names:
-        for fold in range(k):
-            steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), models()[name]]
-            fitted = Pipeline(stages=steps).fit(data.filter((F.col("fold") == fold) & (F.col("role") == "train")))
-            rows += [(name, fold, c, float(v)) for c, v in zip(columns, fitted.stages[-1].featureImportances.toArray(), strict=True)]
+    rows = [(name, fold, c, float(v)) for name, fold, fitted in _fits(data, names, k) for c, v in zip(columns, fitted.stages[-1].featureImportances.toArray(), strict=True)]
     data.unpersist()
     return series.sparkSession.createDataFrame(rows, "model string, fold int, feature string, importance double")
 
