@@ -45,9 +45,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers; at most `words` words are kept."""
+    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, words: int = 600_000):
+    About `words` words are kept, in two halves: when the newer half is full, the older one goes, and a word of it that is
+    met again moves to the newer. So frequent words stay, while rare ones, which most are, take no memory for long.
+    """
+
+    def __init__(self, path: str, words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
 
@@ -63,19 +67,18 @@ class Encoder:
         self.lower = bool(head["normalizer"])
         self.pattern = _PLAIN.get(pattern)
         self.model, self.letters = self.library.model, _byte_letters()
-        self.words, self.limit = {}, words
+        self.words, self.older, self.limit = {}, {}, words
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > self.limit:
-            self.words.clear()
-            missing = words
-        tokenize, letters, kept = self.model.tokenize, self.letters, self.words
+        if len(self.words) + len(missing) > self.limit // 2:
+            self.older, self.words, missing = self.words, {}, words
+        tokenize, letters, kept, older = self.model.tokenize, self.letters, self.words, self.older
         for w in missing:
-            kept[w] = array("I", [t.id for t in tokenize(w.translate(letters))]).tobytes()
+            kept[w] = older.get(w) or array("I", [t.id for t in tokenize(w.translate(letters))]).tobytes()
 
     def _joined(self, words: list[str]) -> bytes:
         self._learn(set(words))

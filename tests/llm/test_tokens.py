@@ -89,3 +89,15 @@ def test_plan_uses_each_length_as_counted():
             for x in lengths:
                 used[x] = used.get(x, 0) + k
         assert {k: v for k, v in used.items() if v} == counts
+
+
+def test_rare_words_are_not_kept_and_ids_do_not_depend_on_it():
+    from spillway.llm._tokens import Encoder, vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    few, many = Encoder(path, words=400), Encoder(path)
+    for i in range(20):
+        texts = [f"the same words w{chr(97 + i)}{chr(97 + j)}q and more" for j in range(20)] * 2
+        assert few.ids(texts) == many.ids(texts)
+        assert len(few.words) <= 200 and len(few.older) <= 200
+    assert "same" in few.words and Encoder(path).limit <= 200_000
